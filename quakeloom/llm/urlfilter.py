@@ -91,7 +91,7 @@ def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col:
     """``page_id, host, path, rule, verdict, template, bad_share`` for every row of ``pages``.
 
     ``labels``: (page_id, bad), bad 1 or 0; its null rows and repeated ids beyond the first are left out. A null or
-    malformed url has an empty host and path, no template of its own and the corpus's verdict. Hot hosts are combined
+    malformed url has an empty host and path, and a template that holds them all; a template without labels is allowed. Hot hosts are combined
     map-side: only counts of distinct paths meet.
     """
     host, path = host_and_path(F.col(url_col))
@@ -108,9 +108,9 @@ def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col:
     smooth = by.join(hosts, by.host == hosts.h).crossJoin(F.broadcast(total))
     prior = (F.col("host_bad") + PRIOR * F.col("rate")) / (F.col("host_known") + PRIOR)
     share = (F.col("bad") + PRIOR * prior) / (F.col("known") + PRIOR)
-    judged = smooth.select(F.col("host").alias("jh"), F.col("template").alias("jt"), share.alias("bad_share"))
-    by_shape = shapes.join(judged, (shapes.host == judged.jh) & (shapes.template == judged.jt)).select(F.col("host").alias("sh"), F.col("segs").alias("ss"), "template", "bad_share")
+    judged = smooth.select(F.col("host").alias("jh"), F.col("template").alias("jt"), share.alias("bad_share"), F.col("known").alias("labelled"))
+    by_shape = shapes.join(judged, (shapes.host == judged.jh) & (shapes.template == judged.jt)).select(F.col("host").alias("sh"), F.col("segs").alias("ss"), "template", "bad_share", "labelled")
     rows = own.withColumn("segs", _segments(F.col("path"))).withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
     rows = rows.join(by_shape, (rows.host == by_shape.sh) & (rows.segs == by_shape.ss), "left")
-    method = F.when(F.col("bad_share") >= REJECT, F.lit("block")).otherwise(F.lit("allow"))
+    method = F.when((F.col("bad_share") >= REJECT) & (F.col("labelled") > 0), F.lit("block")).otherwise(F.lit("allow"))
     return rows.select(F.col("page_id").alias(id_col), "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", method).alias("verdict"), "template", "bad_share")
