@@ -1,6 +1,495 @@
-"""Registered catalogue queries and their SQL."""
+"""Registered catalogue queries: each runs operators over whole driver tables; the SQL beside it says the same to DuckDB."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..functions import geo, signal
+from ..operators import associate, classify, magnitude, match, relational, stats
+from . import views as V
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+BOXES = [("south", 40.0, 43.0, -130.0, -121.0), ("middle", 42.0, 46.0, -128.0, -124.0), ("north", 46.0, 50.0, -130.0, -125.5)]
+
+
+def query(sql: str | None = None):
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _r(*names: str) -> list:
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Origins with pick counts, gap and distances, through the quality gate, counted by month."""
+    o, a = V.order_origins(spark, sf_dir), V.assoc(spark, sf_dir)
+    s = V.stations(spark, sf_dir).select("sta", F.col("lat").alias("slatitude"), F.col("lon").alias("slongitude"))
+    _, geometry = relational.event_geometry(a.join(match.small(s), "sta", "left"), o)
+    rows = geometry.join(relational.phase_counts(a), "orid", "left")
+    return stats.monthly_rate(relational.qc_gate(rows, 2, 2, 2.5), "ts")
+
+
+COUNTS = "counts as (select orid, count(*) filter (phase = 'P') as p_picks, count(*) filter (phase = 'S') as s_picks, count(*) as picks from assoc_v group by orid)"
+PICKED = f"with {V.ASSOC}, {V.ORDER}, {COUNTS}, picked as (select order_v.*, coalesce(p_picks, 0) as p_picks, coalesce(s_picks, 0) as s_picks from order_v left join counts using (orid))"
+
+
+def _picked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = V.order_origins(spark, sf_dir).join(relational.phase_counts(V.assoc(spark, sf_dir)), "orid", "left")
+    return o.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("p_picks", "s_picks")})
+
+
+@query(PICKED + " select orid, p_picks, s_picks, rms from picked where p_picks >= 2 and s_picks >= 2 and rms < 2.5")
+def qc_gate(spark, sf_dir):
+    return relational.qc_gate(_picked(spark, sf_dir), 2, 2).select("orid", "p_picks", "s_picks", "rms")
+
+
+@query(PICKED + " select orid, (p_picks >= 2 and s_picks >= 2 and rms < 2.5) as qc_pass from picked")
+def qc_flag(spark, sf_dir):
+    return relational.qc_gate(_picked(spark, sf_dir), 2, 2, flag_only=True).select("orid", "qc_pass")
+
+
+GEOMETRY = f"""with {V.ASSOC}, {V.ORDER}, {V.STATION},
+a as (select assoc_v.*, {V.azimuth('o.lat', 'o.lon', 's.lat', 's.lon')} as esaz, {V.hav('o.lat', 'o.lon', 's.lat', 's.lon')} / (pi() * 6371.0 / 180) as delta
+  from assoc_v join order_v o using (orid) left join station_v s using (sta)),
+l as (select *, esaz - lag(esaz) over (partition by orid order by esaz) as step from a),
+g as (select orid, count(*) as nass, count(*) filter (phase = 'S') as nsphz,
+  case when count(*) = 1 then 0.0 else greatest(max(step), 360 + min(esaz) - max(esaz)) end as gap, max(delta) as far from l group by orid)"""
+
+
+def _geometry(spark, sf_dir):
+    o, a = V.order_origins(spark, sf_dir), V.assoc(spark, sf_dir)
+    s = V.stations(spark, sf_dir).select("sta", F.col("lat").alias("slatitude"), F.col("lon").alias("slongitude"))
+    return relational.event_geometry(a.join(match.small(s), "sta", "left"), o)
+
+
+@query(GEOMETRY + " select orid, nass, nsphz, round(gap, 6) as gap, round(far, 6) as far from g")
+def origin_geometry(spark, sf_dir):
+    a, o = _geometry(spark, sf_dir)
+    far = a.groupBy("orid").agg(F.max("delta").alias("far"))
+    return o.join(far, "orid").select("orid", "nass", "nsphz", *_r("gap", "far"))
+
+
+@query(GEOMETRY + " select orid, round(gap, 6) as gap, depth from g join order_v using (orid) where gap < 300 and nsphz >= 3 and depth > 0")
+def well_constrained(spark, sf_dir):
+    return relational.well_constrained(_geometry(spark, sf_dir)[1], 300, 3).select("orid", *_r("gap"), "depth")
+
+
+@query(f"with {V.ASSOC}, {V.ORDER} select sta, phase, count(*) as n, count(distinct orid) as events, round(avg(depth), 6) as mean_depth, round(sum(amp), 2) as amp from assoc_v left join order_v using (orid) group by sta, phase")
+def arrival_assoc_origin(spark, sf_dir):
+    a = V.assoc(spark, sf_dir)
+    arrival = a.select("arid", "sta", F.col("phase").alias("iphase"), "orid", "amp")
+    rows = arrival.join(V.order_origins(spark, sf_dir), "orid", "left")
+    return rows.groupBy("sta", F.col("iphase").alias("phase")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("orid").alias("events"), F.round(F.avg("depth"), 6).alias("mean_depth"), F.round(F.sum("amp"), 2).alias("amp"))
+
+
+@query(f"with {V.ASSOC}, {V.STATION}, {V.ORDER} select net, date_trunc('year', ts)::date as year, count(*) as n, count(distinct sta) as stations from assoc_v join station_v using (sta) join order_v using (orid) group by 1, 2")
+def pick_assignments(spark, sf_dir):
+    rows = V.assoc(spark, sf_dir).join(match.small(V.stations(spark, sf_dir).select("sta", "net")), "sta").join(V.order_origins(spark, sf_dir).select("orid", "ts"), "orid")
+    return rows.groupBy("net", F.date_trunc("year", "ts").cast("date").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sta").alias("stations"))
+
+
+DT, KM = 300.0, 300.0
+PAIRS = f"with {V.ORIGIN}, pairs as (select r.id as ref_id, l.id as id, l.time_s - r.time_s as dt, {V.hav('r.lat', 'r.lon', 'l.lat', 'l.lon')} as dist, l.mag as mag, abs(l.lat - r.lat) as dlat, abs(l.lon - r.lon) as dlon from origin_v r join local_v l on r.cat = '{{cat}}' and l.time_s between r.time_s - {DT} and r.time_s + {DT})"
+
+
+def _matched(where: str, rank: str, cat: str = "view") -> str:
+    return PAIRS.format(cat=cat) + f" select ref_id, id, round(dt, 6) as dt, round(dist, 6) as dist from (select *, row_number() over (partition by ref_id order by {rank}, id) as k from pairs where {where}) where k = 1"
+
+
+def _match(spark, sf_dir, **options):
+    return match.match_events(V.catalogue(spark, sf_dir, "view"), V.local(spark, sf_dir), DT, **options).select("ref_id", "id", *_r("dt", "dist"))
+
+
+@query(_matched(f"dist <= {KM}", "abs(dt)"))
+def match_nearest_time(spark, sf_dir):
+    return _match(spark, sf_dir, dist_km=KM)
+
+
+@query(_matched(f"dist <= {KM} and dt < {DT}", "dist"))
+def match_nearest_dist(spark, sf_dir):
+    return _match(spark, sf_dir, dist_km=KM, rank_by="dist", half_open=True)
+
+
+@query(_matched(f"abs(dt) < {DT} and dlat < 3 and dlon < 3", "-mag"))
+def match_largest_mag(spark, sf_dir):
+    return _match(spark, sf_dir, box_deg=3.0, rank_by="mag", strict=True)
+
+
+@query(_matched(f"dist <= {KM}", f"sqrt(pow(dt / {DT}, 2) + pow(dist / {KM}, 2))"))
+def match_scaled(spark, sf_dir):
+    return _match(spark, sf_dir, dist_km=KM, rank_by="scaled")
+
+
+@query(f"with {V.ORIGIN}, p as (select l.id as id, r.id as ref_id, sqrt(pow((r.time_s - l.time_s) / 120.0, 2) + pow({V.hav('l.lat', 'l.lon', 'r.lat', 'r.lon')} / 25.0, 2)) as metric from local_v l join origin_v r on r.cat = 'view') select id, ref_id, round(metric, 6) as metric from (select *, row_number() over (partition by id order by metric, ref_id) as k from p) where k = 1")
+def nearest_scaled_unbounded(spark, sf_dir):
+    return match.nearest_scaled(V.local(spark, sf_dir), V.catalogue(spark, sf_dir, "view"), first_window=4.0).select("id", "ref_id", *_r("metric"))
+
+
+FLAGS = f"with {V.ORIGIN}, hits as (select r.cat as cat, l.id as id, abs(l.time_s - r.time_s) as dt, r.id as ref_id from origin_v r join local_v l on r.cat in ('view', 'click') and l.time_s between r.time_s - {DT} and r.time_s + {DT} where {V.hav('r.lat', 'r.lon', 'l.lat', 'l.lon')} <= {KM}), best as (select * from (select *, row_number() over (partition by ref_id order by dt, id) as k from hits) where k = 1), flags as (select id, id in (select id from best where cat = 'view') as matched_a, id in (select id from best where cat = 'click') as matched_b from local_v)"
+
+
+def _flags(spark, sf_dir):
+    return match.compare_catalogs(V.local(spark, sf_dir), {"a": V.catalogue(spark, sf_dir, "view"), "b": V.catalogue(spark, sf_dir, "click")}, DT, KM)
+
+
+@query(FLAGS + " select id from flags where not matched_a and not matched_b")
+def new_events(spark, sf_dir):
+    return _flags(spark, sf_dir).where("is_new").select("id")
+
+
+@query(FLAGS + " select matched_a, matched_b, (matched_a and matched_b) as in_all, lat between 42 and 46 and lon between -128 and -124 as in_region, count(*) as n from flags join local_v using (id) group by all")
+def partition_flags(spark, sf_dir):
+    return _flags(spark, sf_dir).groupBy("matched_a", "matched_b", "in_all", geo.in_box("lat", "lon", 42, 46, -128, -124).alias("in_region")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {V.ORIGIN}, p as (select l.id as id, r.id as rid, r.time_s as rt, abs(r.time_s - l.time_s) as gap from local_v l left join origin_v r on r.cat = 'view' and r.time_s between l.time_s - 20 and l.time_s + 20) select id, rid as right_id, round(gap, 6) as gap from (select *, row_number() over (partition by id order by gap nulls last, rt, rid) as k from p) where k = 1")
+def asof_nearest(spark, sf_dir):
+    rows = match.asof_nearest(V.local(spark, sf_dir), V.catalogue(spark, sf_dir, "view").select("id", "time_s"), "time_s", tolerance_s=20)
+    return rows.select("id", "right_id", F.round(F.abs(F.col("right_time_s") - F.col("time_s")), 6).alias("gap"))
+
+
+@query()
+def dedupe_greedy(spark, sf_dir):
+    """Events after greedy de-duplication within 60 s and 300 km."""
+    return relational.dedupe_events(V.origins(spark, sf_dir).drop("ts"), 60, 300).select("id", *_r("time_s", "lat", "lon"))
+
+
+FLAT = "sqrt(pow((s.lat - e.lat) * 111.0, 2) + pow((s.lon - e.lon) * 111.0 * cos(radians(e.lat)), 2))"
+
+
+def _named(spark, sf_dir):
+    return V.stations(spark, sf_dir).where("net < 5").select(F.concat(F.lit("S"), F.lpad(F.col("sta").cast("string"), 6, "0")).alias("name"), "lat", "lon")
+
+
+NAMED = f"with {V.ORIGIN}, {V.STATION}, d as (select e.id as id, 'S' || lpad(s.sta::varchar, 6, '0') as name, {FLAT} as km from origin_v e cross join station_v s where s.net < 5), near as (select id, arg_min(name, (km, name)) as name, min(km) as km from d group by id)"
+
+
+@query(NAMED + " select id, name, round(km, 6) as km from near")
+def nearest_named_point(spark, sf_dir):
+    return match.nearest_named(V.origins(spark, sf_dir).select("id", "lat", "lon"), _named(spark, sf_dir)).select("id", "name", F.round("name_km", 6).alias("km"))
+
+
+@query(NAMED + " select name, count(*) as n from near where km < 20 group by name order by n desc, name limit 8")
+def named_point_counts(spark, sf_dir):
+    return match.within_radius_counts(V.origins(spark, sf_dir).select("id", "lat", "lon"), _named(spark, sf_dir))
+
+
+@query(f"with {V.STATION}, nodes as (select n_regionkey as region, 40 + (n_nationkey * 7 % 10)::double as lat, -130 + (n_nationkey * 5 % 9)::double as lon from nation) select distinct s.sta as sta, n.region as region from station_v s join nodes n on {V.hav('s.lat', 's.lon', 'n.lat', 'n.lon')} <= 80.0 + 20.0")
+def points_in_region(spark, sf_dir):
+    n = V.table(spark, sf_dir, "nation")
+    nodes = n.select(F.col("n_regionkey").alias("region"), (40 + F.col("n_nationkey") * 7 % 10).cast("double").alias("lat"), (-130 + F.col("n_nationkey") * 5 % 9).cast("double").alias("lon"), F.lit(80.0).alias("radius"), F.lit(20.0).alias("buffer_zone"))
+    return match.in_regions(V.stations(spark, sf_dir).select("sta", "lat", "lon"), nodes).select("sta", "region")
+
+
+@query(f"with {V.ORIGIN}, {V.STATION}, d as (select e.id, s.sta, {V.hav('e.lat', 'e.lon', 's.lat', 's.lon')} as dist from origin_v e cross join station_v s) select id, sta, rank, round(dist, 6) as dist from (select *, row_number() over (partition by id order by dist, sta) as rank from d) where rank <= 4")
+def stations_topk(spark, sf_dir):
+    return relational.nearest_stations(V.origins(spark, sf_dir), V.stations(spark, sf_dir), 3).select("id", "sta", "rank", *_r("dist"))
+
+
+@query(f"with {V.ORDER}, m as (select date_trunc('month', ts) as month, count(*) as n from order_v group by 1), s as (select unnest(generate_series((select min(month) from m)::timestamp, (select max(month) from m)::timestamp, interval 1 month)) as month) select s.month::date as month, coalesce(n, 0) as n from s left join m on m.month = s.month")
+def monthly_rate(spark, sf_dir):
+    return stats.monthly_rate(V.order_origins(spark, sf_dir), "ts").select(F.col("month").cast("date").alias("month"), "n")
+
+
+@query(f"with {V.ORDER}, {V.ASSOC} select date_trunc('month', ts)::date as month, count(distinct sta) as stations from assoc_v join order_v using (orid) group by 1")
+def stations_per_month(spark, sf_dir):
+    return stats.stations_per_month(V.assoc(spark, sf_dir), V.order_origins(spark, sf_dir)).select(F.col("month").cast("date").alias("month"), "stations")
+
+
+@query(f"with {V.ORDER}, z as (select date_trunc('day', min(ts))::timestamp as t0 from order_v) select cast(floor((epoch_us(ts) - epoch_us(t0)) / (30 * 86400 * 1000000.0)) as bigint) as bin, count(*) as n from order_v, z group by 1")
+def rate_30d(spark, sf_dir):
+    return stats.fixed_rate(V.order_origins(spark, sf_dir), "ts", 30)
+
+
+@query(f"with {V.ORIGIN} select cast(least(23, floor((depth - 0.0) / 2.5)) as integer) as bin, count(*) as n, round(count(*) / ((select count(*) from origin_v where depth between 0 and 60) * 2.5), 9) as density from origin_v where depth between 0 and 60 group by 1")
+def hist_uniform(spark, sf_dir):
+    return stats.histogram(V.origins(spark, sf_dir), "depth", 24, 0.0, 60.0).select("bin", "n", F.round("density", 9).alias("density"))
+
+
+@query(f"with {V.ORIGIN} select cast(floor(lon / 0.5) as bigint) as ix, cast(floor(lat / 0.25) as bigint) as iy, count(*) as n from origin_v group by 1, 2")
+def hexbin_square(spark, sf_dir):
+    return stats.density_2d(V.origins(spark, sf_dir), "lon", "lat", 0.5, 0.25)
+
+
+@query(f"with {V.ORIGIN}, s as (select unnest(range(0, 18)) as slice) select cast(slice as bigint) as slice, count(*) as n, round(median(depth), 6) as median from origin_v join s on lon between -130 + slice * 0.5 and -130 + (slice + 1) * 0.5 where lon between -130 and -121 group by 1")
+def slice_median(spark, sf_dir):
+    return stats.slice_median(V.origins(spark, sf_dir), "lon", "depth", -130.0, -121.0, 0.5).select(F.col("slice").cast("bigint"), "n", *_r("median"))
+
+
+BIN = "cast(floor(round(mag * 1000) / 100) * 100 as bigint)"
+FMD = f"with {V.ORIGIN}, b as (select cat, {BIN} as mbin, count(*) as n from origin_v group by 1, 2), f as (select *, sum(n) over (partition by cat order by mbin desc) as cum from b)"
+
+
+@query(FMD + " select cat, mbin, n, cast(cum as bigint) as cum from f")
+def fmd(spark, sf_dir):
+    return stats.fmd(V.origins(spark, sf_dir), "mag", ["cat"])
+
+
+MC = FMD + ", mc as (select cat, arg_max(mbin, (n, -mbin)) / 1000.0::double + 0.2 as mc from f group by cat)"
+
+
+@query(MC + ", s as (select cat, any_value(mc) as mc, count(*) as n, avg(mag) as m, var_pop(mag) as v from origin_v join mc using (cat) where mag >= mc - 1e-9 group by cat) select cat, round(mc, 6) as mc, n, round(log10(exp(1)) / (m - (mc - 0.05)), 6) as b, round(2.3 * pow(log10(exp(1)) / (m - (mc - 0.05)), 2) * sqrt(v / (n - 1)), 6) as sigma, round(log10(n) + log10(exp(1)) / (m - (mc - 0.05)) * mc, 6) as a from s")
+def completeness_mc_b(spark, sf_dir):
+    o = V.origins(spark, sf_dir)
+    mc = stats.completeness(stats.fmd(o, "mag", ["cat"]), ["cat"], 0.2)
+    return stats.b_value(o, "mag", mc, ["cat"]).select("cat", "n", *_r("mc", "b", "sigma", "a"))
+
+
+BOX_SQL = "boxes(region, s, n, w, e) as (values " + ", ".join(f"('{r}', {s}, {n}, {w}, {e})" for r, s, n, w, e in BOXES) + ")"
+REGIONAL = f"with {V.ORIGIN}, {BOX_SQL}, inside as (select region, cat, mag from origin_v join boxes b on lat between s and b.n and lon between w and e), b as (select region, cat, {BIN} as mbin, count(*) as n from inside group by 1, 2, 3), mc as (select region, cat, arg_max(mbin, (n, -mbin)) / 1000.0::double as mc from b group by 1, 2)"
+
+
+@query(REGIONAL + ", s as (select region, cat, any_value(mc) as mc, count(*) as n, avg(mag) as m from inside join mc using (region, cat) where mag >= mc - 1e-9 group by 1, 2) select region, cat, round(mc, 6) as mc, n, case when n >= 20 then round(log10(exp(1)) / (m - (mc - 0.05)), 6) end as b from s")
+def b_by_region(spark, sf_dir):
+    boxes = spark.createDataFrame(BOXES, "region string, s double, n double, w double, e double")
+    rows = V.origins(spark, sf_dir).join(F.broadcast(boxes), F.col("lat").between(F.col("s"), F.col("n")) & F.col("lon").between(F.col("w"), F.col("e"))).select("region", "cat", "mag")
+    mc = stats.completeness(stats.fmd(rows, "mag", ["region", "cat"]), ["region", "cat"])
+    return stats.b_value(rows, "mag", mc, ["region", "cat"], least=20).select("region", "cat", "n", *_r("mc", "b"))
+
+
+@query(FMD + " select cat, round(-regr_slope(log10(cum), mbin / 1000.0::double), 6) as b, round(regr_intercept(log10(cum), mbin / 1000.0::double), 6) as a from f where cum >= 50 group by cat")
+def ls_b(spark, sf_dir):
+    return stats.least_squares_b(stats.fmd(V.origins(spark, sf_dir), "mag", ["cat"]), 50, ["cat"]).select("cat", *_r("b", "a"))
+
+
+def _anchors(spark, sf_dir):
+    """Means of every user's events: one anchor a user."""
+    return V.origins(spark, sf_dir).groupBy("user_id").agg(F.avg("mag").alias("x"), F.avg("depth").alias("y"))
+
+
+ANCHORS = f"with {V.ORIGIN}, a as (select user_id, avg(mag) as x, avg(depth) as y from origin_v group by 1)"
+
+
+@query(ANCHORS + ", s as (select (q.y - p.y) / (q.x - p.x) as s from a p join a q on p.x < q.x), m as (select median(s) as slope from s) select round(slope, 6) as slope, round((select median(y) from a) - slope * (select median(x) from a), 6) as intercept from m")
+def theil_sen(spark, sf_dir):
+    return stats.theil_sen(_anchors(spark, sf_dir), "x", "y").select(*_r("slope", "intercept"))
+
+
+@query(f"with {V.ORIGIN}, m as (select cat, median(mag) as med from origin_v group by 1) select cat, round(any_value(med), 6) as median, round(1.4826 * median(abs(mag - med)), 6) as mad from origin_v join m using (cat) group by cat")
+def mad(spark, sf_dir):
+    return stats.mad(V.origins(spark, sf_dir), "mag", ["cat"]).select("cat", *_r("median", "mad"))
+
+
+@query(ANCHORS + " select round(regr_slope(y, x), 6) as slope, round(regr_intercept(y, x), 6) as intercept from a")
+def ols(spark, sf_dir):
+    return stats.ols(_anchors(spark, sf_dir), "x", "y").select(*_r("slope", "intercept"))
+
+
+DAILY = f"with {V.ORIGIN}, d as (select date_trunc('day', ts) as day, count(*) filter (cat = 'view') as x, count(*) filter (cat = 'click') as y from origin_v group by 1), r as (select x, y, rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0::double as rx, rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0::double as ry from d)"
+
+
+@query(DAILY + " select count(*) as n, round(corr(x, y), 6) as pearson, round(corr(rx, ry), 6) as spearman from r")
+def corr_pearson_spearman(spark, sf_dir):
+    days = V.origins(spark, sf_dir).groupBy(F.date_trunc("day", "ts").alias("day")).agg(F.count_if(F.col("cat") == "view").alias("x"), F.count_if(F.col("cat") == "click").alias("y"))
+    return stats.correlations(days, "x", "y").select("n", *_r("pearson", "spearman"))
+
+
+@query(f"with {V.ORIGIN}, s as (select depth as x, (cat = 'view')::int as a, (cat = 'click')::int as b from origin_v where cat in ('view', 'click')), c as (select x, sum(a) as a, sum(b) as b from s group by 1), u as (select sum(a) over (order by x) / sum(a) over ()::double as fa, sum(b) over (order by x) / sum(b) over ()::double as fb from c) select round(max(abs(fa - fb)), 9) as d from u")
+def ks_two_sample(spark, sf_dir):
+    o = V.origins(spark, sf_dir)
+    return stats.ks_two_sample(o.where("cat = 'view'"), o.where("cat = 'click'"), "depth").select(F.round("d", 9).alias("d"))
+
+
+KDE = f"with {V.ORIGIN}, v as (select lon as x, lat as y from origin_v where cat = 'view'), c as (select covar_samp(x, x) * 0.09 as a, covar_samp(x, y) * 0.09 as b, covar_samp(y, y) * 0.09 as c, count(*) as m from v), g as (select -130 + i as gx, 40 + j as gy from range(0, 10) r(i), range(0, 11) s(j))"
+
+
+@query(KDE + " select cast(gx as double) as gx, cast(gy as double) as gy, round(sum(exp(-0.5 * (c.c * pow(gx - x, 2) - 2 * c.b * (gx - x) * (gy - y) + c.a * pow(gy - y, 2)) / (c.a * c.c - c.b * c.b))) / (any_value(m) * 2 * pi() * any_value(sqrt(c.a * c.c - c.b * c.b))), 6) as density from v, c, g group by 1, 2")
+def kde_grid(spark, sf_dir):
+    grid = spark.range(10).select((F.col("id") - 130).cast("double").alias("gx")).crossJoin(spark.range(11).select((F.col("id") + 40).cast("double").alias("gy")))
+    points = V.catalogue(spark, sf_dir, "view").select(F.col("lon").alias("x"), F.col("lat").alias("y"))
+    return stats.kde2d(points, grid, 0.3).select("gx", "gy", *_r("density"))
+
+
+@query()
+def kcore_prune(spark, sf_dir):
+    """Measurements of stations with 8 rows and events with 5, pruned to a fixed point."""
+    obs = V.assoc(spark, sf_dir).select("arid", "l_partkey", F.col("sta").alias("station"), F.col("orid").alias("event_id"), "phase")
+    return magnitude.kcore_prune(obs, 8, 5)
+
+
+@query()
+def magnitude_inversion(spark, sf_dir):
+    """Relative magnitudes of all events with two measurements, and their errors."""
+    obs = V.assoc(spark, sf_dir).select(F.col("orid").alias("event_id"), F.concat(F.lit("S"), F.col("sta") % 100).alias("station"), "phase", F.col("dist").alias("dist_hypo_km"), F.log10("amp").alias("log10A"))
+    obs = magnitude.kcore_prune(obs, 8, 2)
+    mags, terms, coeffs = magnitude.invert_magnitudes(obs, fix_n=1.0)
+    return magnitude.event_magnitudes(magnitude.residuals(obs, mags, terms, coeffs)).select("event_id", "n_obs", "n_P", "n_S", *_r("M_rel", "M_sta_std", "M_rel_sem"))
+
+
+@query(f"with {V.RASTER}, {V.ORIGIN}, p as (select id, (event_id_mod % 380) / 10.0::double as x, (event_id_mod * 7 % 380) / 10.0::double as y from (select id, id as event_id_mod from origin_v)), c as (select id, x - floor(x) as fx, y - floor(y) as fy, cast(floor(x) as bigint) as x0, cast(floor(y) as bigint) as y0 from p), k as (select c.id, (case when i = 1 then fx else 1 - fx end) * (case when j = 1 then fy else 1 - fy end) as w, z from c, range(0, 2) a(i), range(0, 2) b(j), raster_v r where r.x = x0 + i and r.y = y0 + j) select id, round(sum(w * z), 6) as v from k where w > 0 group by id")
+def grid_bilinear(spark, sf_dir):
+    grid = V.raster(spark, sf_dir).select(F.col("x").cast("double").alias("lon"), F.col("y").cast("double").alias("lat"), F.col("z").alias("v"))
+    p = V.origins(spark, sf_dir).select("id", (F.col("id") % 380 / 10.0).alias("lon"), (F.col("id") * 7 % 380 / 10.0).alias("lat"))
+    return classify.grid_bilinear(p, grid, 1.0, "v").select("id", *_r("v"))
+
+
+@query(f"with {V.RASTER}, e as (select min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from raster_v), n as (select c.x as cx, c.y as cy, r.z as z from raster_v c, e, range(-2, 3) a(i), range(-2, 3) b(j), raster_v r where r.x = greatest(x0, least(x1, c.x + i)) and r.y = greatest(y0, least(y1, c.y + j))) select cx as x, cast(cy as bigint) as y, round(sqrt(greatest(0.0, avg(z * z) - avg(z) * avg(z))), 4) as rough from n group by 1, 2")
+def raster_roughness(spark, sf_dir):
+    return classify.roughness(V.raster(spark, sf_dir)).select("x", "y", F.round("rough", 4).alias("rough"))
+
+
+CUBE = f"with {V.ASSOC}, cube as (select l_linenumber as depth, l_partkey % 20 as lat, sta % 10 as lon, avg(amp) as v from assoc_v group by 1, 2, 3)"
+
+
+def _cube(spark, sf_dir):
+    return V.assoc(spark, sf_dir).groupBy(F.col("l_linenumber").alias("depth"), (F.col("l_partkey") % 20).alias("lat"), (F.col("sta") % 10).alias("lon")).agg(F.avg("amp").alias("v"))
+
+
+@query(CUBE + " select depth, lat, lon, round(100 * (v - avg(v) over (partition by depth)) / avg(v) over (partition by depth), 6) as anomaly from cube")
+def model_anomaly(spark, sf_dir):
+    return classify.model_anomaly(_cube(spark, sf_dir)).select("depth", "lat", "lon", *_r("anomaly"))
+
+
+@query(CUBE + " select depth, lon, round(avg(v), 4) as v from cube where lat between 5 and 9 group by 1, 2")
+def swath_section(spark, sf_dir):
+    return classify.swath(_cube(spark, sf_dir), 5, 9).select("depth", "lon", F.round("v", 4).alias("v"))
+
+
+@query(f"with {V.ASSOC}, j as (select orid as id, dist, dist - lag(dist) over (partition by orid order by dist) as jump from assoc_v) select id from j group by id having count(*) filter (dist <= 50) >= 2 and coalesce(max(jump), 0) <= 100")
+def station_geometry_ok(spark, sf_dir):
+    return relational.station_geometry_ok(V.assoc(spark, sf_dir).select(F.col("orid").alias("id"), "dist"))
+
+
+@query("select l_orderkey as pick, 'P' as phase, l_shipdate as time from lineitem where l_linenumber % 2 = 1 union all select l_orderkey, 'S', l_shipdate from lineitem where l_linenumber % 2 = 0")
+def unpivot_picks(spark, sf_dir):
+    a = V.assoc(spark, sf_dir)
+    wide = a.select(F.col("orid").alias("pick"), F.when(F.col("phase") == "P", F.col("pick_time")).alias("trace_p_arrival"), F.when(F.col("phase") == "S", F.col("pick_time")).alias("trace_s_arrival"))
+    return C.unpivot_arrivals(wide, ["pick"])
+
+
+@query("select event_id as id, dense_rank() over (order by date_trunc('hour', ts)) - 1 as event_no from events")
+def dense_event_no(spark, sf_dir):
+    rows = V.origins(spark, sf_dir).select("id", F.unix_seconds(F.date_trunc("hour", "ts")).alias("hour"))
+    return C.dense_numbers(rows, "hour", "event_no").select("id", "event_no")
+
+
+@query("select event_id as id, row_number() over (order by ts, event_id) - 1 as pick_id from events")
+def ordered_pick_id(spark, sf_dir):
+    return C.row_ids(V.origins(spark, sf_dir).select("id", F.unix_micros("ts").alias("us")), ["us", "id"]).select("id", "pick_id")
+
+
+@query(f"with {V.ASSOC}, {V.STATION}, f as (select case l_linenumber % 4 when 0 then 'ok' when 1 then 'no_data' when 2 then 'response' else 'short' end as reason, net as network, sta as station from assoc_v join station_v using (sta)) select reason, network, station, count(*) as n from f where reason <> 'ok' group by grouping sets ((reason), (reason, network), (reason, network, station))")
+def reject_breakdown(spark, sf_dir):
+    k = F.col("l_linenumber") % 4
+    rows = V.assoc(spark, sf_dir).join(match.small(V.stations(spark, sf_dir).select("sta", "net")), "sta")
+    rows = rows.select(F.when(k == 0, "ok").when(k == 1, "no_data").when(k == 2, "response").otherwise("short").alias("reason"), F.col("net").alias("network"), F.col("sta").alias("station"))
+    return stats.reject_breakdown(rows)
+
+
+@query("with d as (select o_orderkey as k from orders where o_orderkey % 3 > 0 union all select o_orderkey from orders where o_orderkey % 7 = 0 union all select o_orderkey + 1000000000 from orders where o_orderkey % 11 = 0), s as (select k, count(*) as n from d group by k) select o_orderkey as k, 'missing' as problem from orders where o_orderkey not in (select k from s) union all select k, 'unexpected' from s where k not in (select o_orderkey from orders) union all select k, 'repeated' from s where n > 1")
+def coverage_check(spark, sf_dir):
+    k = V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    errors = k.where("k % 7 = 0").unionAll(k.where("k % 11 = 0").select((F.col("k") + 1000000000).alias("k")))
+    return relational.coverage_check(k, k.where("k % 3 > 0"), errors, ["k"])
+
+
+@query(f"with {V.TRACE} select id, round(list_max(list_transform(samples[21:40], lambda x: abs(x))), 6) as peak, round(sqrt(list_sum(list_transform(samples[1:20], lambda x: x * x)) / 20), 6) as noise from trace_v")
+def trim_peak(spark, sf_dir):
+    t = V.traces(spark, sf_dir)
+    part = signal.around("samples", "t0", "fs", F.col("t0") + 30, 10, 10)
+    return t.select("id", F.round(signal.peak(part), 6).alias("peak"), F.round(signal.rms(F.slice("samples", 1, 20)), 6).alias("noise"))
+
+
+@query(f"with {V.TRACE}, w as (select id, samples, unnest(range(0, (len(samples) - 16) // 8 + 1)) as win from trace_v where len(samples) >= 16) select id, cast(win as integer) as win, cast(win * 8 as integer) as start, round(list_sum(samples[win * 8 + 1 : win * 8 + 16]), 6) as total from w")
+def windows(spark, sf_dir):
+    w = signal.windows(V.traces(spark, sf_dir), 16, 8, ["id"])
+    return w.select("id", "win", "start", F.round(F.aggregate("samples", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+@query(f"with {V.TRACE}, w as (select id, samples, unnest(range(0, (len(samples) - 16) // 8 + 1)) as win from trace_v where len(samples) >= 16), v as (select id, win * 8 + i as sample, samples[win * 8 + i + 1] as x from w, range(2, 14) r(i)) select id, cast(sample as integer) as sample, round(max(x), 6) as p from v group by 1, 2")
+def overlap_stack(spark, sf_dir):
+    w = signal.windows(V.traces(spark, sf_dir), 16, 8, ["id"]).withColumnRenamed("samples", "p")
+    return signal.overlap_stack(w, ["id"], (2, 2)).select("id", "sample", *_r("p"))
+
+
+@query(f"with {V.TRACE}, s as (select id, i as sample, samples[i + 1] as p from trace_v, range(0, 64) r(i) where i < len(samples)), o as (select *, sample - row_number() over (partition by id order by sample) as g from s where sample >= 4 and p >= 0.1) select id, cast(min(sample) as integer) as onset, cast(max(sample) as integer) as offset_, cast(arg_max(sample, (p, -sample)) as integer) as pick, round(max(p), 6) as max_prob from o group by id, g")
+def trigger_picks(spark, sf_dir):
+    s = V.traces(spark, sf_dir).select("id", F.posexplode("samples").alias("sample", "p")).where("sample < 64")
+    t = signal.trigger(s, ["id"], 0.1, 4)
+    return t.select("id", F.col("onset").cast("int"), F.col("offset").cast("int").alias("offset_"), F.col("pick").cast("int"), *_r("max_prob"))
+
+
+@query(f"with {V.TRACE} select id, round(list_sum(samples[1:48]), 5) as total, least(len(samples), 48) + greatest(0, 48 - len(samples)) as n from trace_v")
+def pad_truncate(spark, sf_dir):
+    t = V.traces(spark, sf_dir).select("id", signal.fixed_length("samples", 48).alias("f"))
+    return t.select("id", F.round(F.aggregate("f", F.lit(0.0), lambda s, x: s + x), 5).alias("total"), F.array_size("f").cast("bigint").alias("n"))
+
+
+EVENT_PAIRS = f"with {V.ORIGIN}, e as (select * from origin_v where cat = 'view'), pairs as (select a.id as id_a, b.id as id_b from e a join e b on a.id < b.id and abs(a.lat - b.lat) <= 0.1 and abs(a.lon - b.lon) <= 0.1)"
+
+
+@query(EVENT_PAIRS + " select id_a, id_b from pairs")
+def event_pairs(spark, sf_dir):
+    return match.event_pairs(V.catalogue(spark, sf_dir, "view"), 0.1)
+
+
+@query(f"with {V.ORDER}, {V.ASSOC}, p as (select orid, sta, phase, min(dist) as t from assoc_v group by 1, 2, 3), e as (select a.orid as id_a, b.orid as id_b from order_v a join order_v b on a.orid < b.orid and abs(a.lat - b.lat) <= 0.1 and abs(a.lon - b.lon) <= 0.1) select id_a, id_b, x.sta as station, x.phase as phase, round(x.t - y.t, 6) as dt from e join p x on x.orid = id_a join p y on y.orid = id_b and y.sta = x.sta and y.phase = x.phase")
+def pair_diff_times(spark, sf_dir):
+    picks = V.assoc(spark, sf_dir).groupBy(F.col("orid").alias("id"), F.col("sta").alias("station"), "phase").agg(F.min("dist").alias("travel_s"))
+    return match.pair_times(match.event_pairs(V.order_origins(spark, sf_dir).withColumnRenamed("orid", "id"), 0.1), picks).select("id_a", "id_b", "station", "phase", *_r("dt"))
+
+
+@query(f"with {V.ORIGIN}, e as (select * from origin_v where cat = 'view'), n as (select a.id as id, count(*) as n from e a join e b on a.id <> b.id and {V.hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 50 group by 1) select id from n where n >= 10")
+def isolated_events(spark, sf_dir):
+    return match.drop_isolated(V.catalogue(spark, sf_dir, "view"), 10, 50).select("id")
+
+
+@query()
+def associate_votes(spark, sf_dir):
+    """Events associated from picks that the views' events would give at the nearest stations."""
+    s = V.stations(spark, sf_dir)
+    near = relational.nearest_stations(V.catalogue(spark, sf_dir, "view"), s, 4).join(V.catalogue(spark, sf_dir, "view").select("id", "time_s"), "id")
+    picks = near.select(F.explode(F.array(F.struct(F.lit("P").alias("phase"), (F.col("time_s") + F.col("dist") / 6).alias("time_s")), F.struct(F.lit("S").alias("phase"), (F.col("time_s") + F.col("dist") / 3.5).alias("time_s")))).alias("p"), "id", "sta")
+    picks = picks.select(F.xxhash64("id", "sta", "p.phase").alias("pick_id"), "sta", "p.phase", "p.time_s")
+    nodes = V.raster(spark, sf_dir).where("x % 4 = 0 and y % 4 = 0").select((F.col("x") * 100 + F.col("y")).alias("node"), (40 + F.col("y") / 4.0).alias("lat"), (-130 + F.col("x") * 0.225).alias("lon"), F.lit(10.0).alias("depth"))
+    v1d = spark.createDataFrame([(0.0, 6.0, 3.5)], "depth double, vp double, vs double")
+    events, _ = associate.associate_picks(picks, s, nodes, v1d, 5, 1, 2, 1, 6.0, 150.0)
+    return events.select("id", "node", *_r("time_s", "lat", "lon"), "picks")
+
+
+@query(f"with {V.ORIGIN} select cat, count(mag) as n, round(min(mag), 6) as least, round(quantile_cont(mag, 0.01), 6) as p01, round(median(mag), 6) as median, round(quantile_cont(mag, 0.99), 6) as p99, round(max(mag), 6) as greatest from origin_v group by cat")
+def magnitude_summary(spark, sf_dir):
+    return stats.summary(V.origins(spark, sf_dir), "mag", ["cat"]).select("cat", "n", *_r("least", "p01", "median", "p99", "greatest"))
+
+
+@query(f"with {V.ORIGIN} select cat, count(*) as n, round(count(*) / (select count(*) from origin_v)::double, 9) as share from origin_v group by cat")
+def class_shares(spark, sf_dir):
+    return stats.shares(V.origins(spark, sf_dir), "cat").select("cat", "n", F.round("share", 9).alias("share"))
+
+
+@query(f"with {V.ORIGIN} select id, case when lon < -127.5 then 'oceanic' when lon < -124.5 then 'margin' else 'land' end as domain, round(1.7 + 0.8 * mag, 6) as mw, round(log10(greatest(depth, 0.001) / 100) + 0.00035 * greatest(depth, 0.001), 6) as loss from origin_v")
+def scalar_functions(spark, sf_dir):
+    o = V.origins(spark, sf_dir)
+    return o.select("id", classify.domain(F.col("lon"), ((-127.5, "oceanic"), (-124.5, "margin")), "land").alias("domain"), F.round(magnitude.to_mw(F.col("mag")), 6).alias("mw"), F.round(geo.attenuation("depth", 1.0, 0.00035), 6).alias("loss"))
+
+
+@query(f"with {V.ASSOC}, {V.ORDER} select 0 as step, 'picks' as stage, count(*) as n from assoc_v union all select 1, 'associated', count(*) from assoc_v where orid in (select orid from order_v) union all select 2, 'events', count(distinct orid) from assoc_v")
+def funnel(spark, sf_dir):
+    a = V.assoc(spark, sf_dir)
+    return stats.funnel({"picks": a, "associated": a.join(V.order_origins(spark, sf_dir), "orid", "left_semi"), "events": a.select("orid").distinct()})
+
+
+@query(f"with {V.ASSOC} select sta, phase, count(*) as n, round(avg(amp), 4) as mean, round(stddev_samp(amp), 4) as std, round(stddev_samp(amp) / sqrt(count(*)), 4) as sem from assoc_v group by 1, 2")
+def mean_errors(spark, sf_dir):
+    a = V.assoc(spark, sf_dir)
+    counts = a.groupBy("sta", "phase").agg(F.count(F.lit(1)).alias("n"))
+    return stats.mean_error(a, "amp", ["sta", "phase"]).join(counts, ["sta", "phase"]).select("sta", "phase", "n", *[F.round(c, 4).alias(c) for c in ("mean", "std", "sem")])
+
+
+@query("with s as (select o_orderkey as k, o_custkey as station, o_orderdate as start_date, o_orderdate + interval 90 day as end_date from orders), t as (select l_orderkey, l_linenumber, l_partkey, o_custkey as station, l_shipdate as t from lineitem join orders on o_orderkey = l_orderkey) select l_orderkey, l_linenumber, l_partkey, arg_min(k, (start_date, k)) as epoch from t join s using (station) where start_date <= t and t < end_date group by all")
+def interval_epochs(spark, sf_dir):
+    o = V.table(spark, sf_dir, "orders")
+    epochs = o.select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("station"), F.col("o_orderdate").alias("start_date"), (F.col("o_orderdate") + F.expr("interval 90 day")).alias("end_date"))
+    t = V.table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "l_partkey", F.col("o_custkey").alias("station"), F.col("l_shipdate").alias("t"))
+    return match.interval_join(t, epochs, "station", "t").where("epoch_k is not null").groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.min_by("epoch_k", F.struct("epoch_start_date", "epoch_k")).alias("epoch"))
