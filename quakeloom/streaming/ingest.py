@@ -43,13 +43,14 @@ def monthly_table(path: str, ts: str = "ts"):
     return write
 
 
-def dedupe_stream(events: DataFrame, dt_s: float = 10, dist_km: float = 25, delay: str = "1 minute") -> DataFrame:
+def dedupe_stream(events: DataFrame, dt_s: float = 10, dist_km: float = 25, delay: str = "1 minute", by: str | None = None) -> DataFrame:
     """Kept event ids. Events that can conflict are within one session window, which is walked when it closes; rows later than the watermark are dropped.
 
-    ``events``: id, ts, lat, lon.
+    ``events``: id, ts, lat, lon. ``by``: a column, such as a region far from the others, whose values never conflict.
     """
+    key = F.col(by) if by else F.pmod("id", F.lit(1))  # session windows need a key: one for all
     gap = f"{int(dt_s)} seconds 1 microsecond"
-    rows = events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap)).agg(F.collect_list(F.struct("id", (F.unix_micros("ts") / 1e6).alias("time_s"), "lat", "lon")).alias("rows"))
+    rows = events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), key.alias("k")).agg(F.collect_list(F.struct("id", (F.unix_micros("ts") / 1e6).alias("time_s"), "lat", "lon")).alias("rows"))
 
     @F.pandas_udf("array<long>")
     def kept(sessions: pd.Series) -> pd.Series:
