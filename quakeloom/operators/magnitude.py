@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.geo import attenuation, haversine_km, hypocentral_km
+from ..functions.lineage import cut
 
 
 def amplitude_distance(picks_amp: DataFrame) -> DataFrame:
@@ -38,7 +39,7 @@ def kcore_prune(obs: DataFrame, min_sta: int = 8, min_ev: int = 3, station: str
         good = own.groupBy(station).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_sta).select(station)
         own = own.join(good, station, "left_semi")
         good = own.groupBy(event).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_ev).select(event)
-        own = own.join(good, event, "left_semi").checkpoint()
+        own = cut(own.join(good, event, "left_semi"))
         now = own.count()
         if now == n:
             return own.select(*obs.columns)
@@ -68,7 +69,8 @@ def invert_magnitudes(obs: DataFrame, damp: float = 1e-3, gauge_w: float = 1000.
     slopes = [F.struct(F.concat_ws("|", F.lit("k"), "phase").alias("k"), (-F.col("r")).alias("v"))]
     if fix_n is None:
         slopes.append(F.struct(F.concat_ws("|", F.lit("n"), "phase").alias("k"), (-F.col("g")).alias("v")))
-    terms = rows.withColumn("o", F.monotonically_increasing_id()).withColumn("x", F.array(F.struct(key.alias("k"), F.lit(1.0).alias("v")), *slopes)).checkpoint()
+    terms = rows.withColumn("x", F.array(F.struct(key.alias("k"), F.lit(1.0).alias("v")), *slopes))
+    terms = cut(terms)
     events = terms.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("b"))
     u = terms.select("event_id", F.explode("x").alias("x")).groupBy("event_id", "x.k").agg(F.sum("x.v").alias("v"))
     d2 = damp * damp

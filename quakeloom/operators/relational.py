@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.geo import bearing, haversine_km
+from ..functions.lineage import cut
 from .match import candidates, small
 
 ALGORITHM = "genie"
@@ -181,10 +182,10 @@ def _rounds(events: DataFrame, dt_s: float, dist_km: float) -> DataFrame:
     left, kept = events.select("id").persist(), None
     while not left.isEmpty():
         live = edges.join(left.withColumnRenamed("id", "a"), "a", "left_semi").join(left.withColumnRenamed("id", "b"), "b", "left_semi")
-        stay = left.join(live.select(F.col("b").alias("id")).distinct(), "id", "left_anti").checkpoint()
+        stay = cut(left.join(live.select(F.col("b").alias("id")).distinct(), "id", "left_anti"))
         gone = live.join(stay.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
         kept = stay if kept is None else kept.union(stay)
-        left = left.join(stay, "id", "left_anti").join(gone, "id", "left_anti").checkpoint()
+        left = cut(left.join(stay, "id", "left_anti").join(gone, "id", "left_anti"))
     return kept
 
 
