@@ -114,12 +114,12 @@ from whole where parts not in (select parts from prefixes)
 """
 
 SHARDING_SQL = """
-with t(i, v) as (select i, list_reduce([i::ubigint, 0, 0, 0, 0], (x, y) -> case when x & 1 = 1 then xor(x >> 1, 3988292384::ubigint) else x >> 1 end) from range(16) r(i)),
+with t(i, v) as (select i, list_reduce([i::ubigint, 0, 0, 0, 0], lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384::ubigint) else x >> 1 end) from range(16) r(i)),
 nib as (select list(v order by i) as v from t),
-hexes as (select doc_id, source, coalesce(text, '') as x, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), b -> ('0x' || b)::ubigint) as bytes from documents),
+hexes as (select doc_id, source, coalesce(text, '') as x, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda b: ('0x' || b)::ubigint) as bytes from documents),
 sums as (
   select doc_id, source, cast(len(bytes) + 1 as bigint) as size,
-    cast(xor(list_reduce(list_prepend(4294967295::ubigint, bytes), (c, b) -> xor(xor(xor(c, b) >> 4, nib.v[1 + (xor(c, b) & 15)]) >> 4, nib.v[1 + (xor(xor(c, b) >> 4, nib.v[1 + (xor(c, b) & 15)]) & 15)])), 4294967295::ubigint) as bigint) as text_crc32,
+    cast(xor(list_reduce(list_prepend(4294967295::ubigint, bytes), lambda c, b: xor(xor(xor(c, b) >> 4, nib.v[1 + (xor(c, b) & 15)::bigint]) >> 4, nib.v[1 + (xor(xor(c, b) >> 4, nib.v[1 + (xor(c, b) & 15)::bigint]) & 15)::bigint])), 4294967295::ubigint) as bigint) as text_crc32,
     md5('interleave:' || doc_id) as h
   from hexes, nib),
 ranked as (select *, row_number() over (partition by source order by h) - 1 as r, count(*) over (partition by source) as n, count(*) over () as total from sums),
