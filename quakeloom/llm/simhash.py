@@ -181,7 +181,7 @@ def hamming_links(fps: DataFrame, radius: int = 4, fp: str = "fp", block: int =
         pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: 1 + F.least(own, j) * F.col("blocks") + F.greatest(own, j))
         rows = keys.join(heavy, "key", "left").withColumn("part", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(pairs))).select("fp", "key", "part")
     return (
-        rows.select("key", "part", "fp").repartition("key", "part").sortWithinPartitions("key", "part")
+        rows.select("key", "part", "fp").repartition("key", "part").sortWithinPartitions("key", "part", "fp")
         .mapInPandas(lambda it: _links(it, radius), "a long, b long")
     )
 

@@ -184,7 +184,7 @@ def fit(documents: list[set[str]], labels: list[int], landmarks: int = LANDMARKS
         for d in toxic:
             best = top(d, score)
             picked.update(w for w in best if score[w] >= 0.6 * score[best[0]] or w == best[0])
-        positive = [w for w, _ in picked.most_common(TRAIN_WORDS)]
+        positive = [w for w, _ in sorted(picked.items(), key=lambda v: (-v[1], v[0]))[:TRAIN_WORDS]]
         if not positive:
             return none
         marks = positive[: landmarks // 2]
