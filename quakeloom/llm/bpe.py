@@ -26,13 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, text_or_empty
-from .tokens import BatchEncoder, portions
+from .tokens import BatchEncoder, packed, portions
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of a piece up to which it is a leaf of the tree.
 LEAF = 48
 #: Pieces that a worker remembers.
-MEMO = 300_000
+MEMO = 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -61,7 +61,7 @@ class TreeCodec:
         self.leaf_text = leaf_text or (lambda text: list(chain.from_iterable(map(self.encode_piece, self.pattern.findall(text)))))
         self._fits: dict[tuple[int, int], bool] = {}
         self._pieces: dict[str, tuple[int, ...]] = {}
-        self.batches = BatchEncoder(lambda cuts: list(map(self.encode_cut, cuts)))
+        self.batches = BatchEncoder(lambda cuts: [packed(self.encode_cut(c)) for c in cuts])
         length = [len(self.bytes_of.get(i, b"")) for i in range(max(self.bytes_of) + 1)]
         self._length, self._blob = np.array(length), np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(len(length))), np.uint8)
         self.decimals = np.array(list(map(str, range(len(length)))), dtype=object)

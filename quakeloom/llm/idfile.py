@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, text_or_empty
-from .tokens import BatchEncoder, portions
+from .tokens import BatchEncoder, packed, portions
 
 VOCABULARY = "byte_bpe_50k.json"
 MAGIC, BLOCK, CHUNK_IDS, END = b"BPS1", 8192, 1 << 18, 2
@@ -61,12 +61,45 @@ def unpack(payload: bytes) -> np.ndarray:
     return out[:n]
 
 
+class Library:
+    """The tokenizers library on many short cuts: those that begin with white space and don't end with it are joined first.
+
+    Where such cuts meet the library cuts in any case, so the ids of the whole are theirs in a row, and the bytes of the
+    tokens tell where one ends.
+    """
+
+    def __init__(self, path: str, joined: int = 512):
+        from tokenizers import Tokenizer
+
+        self.own, self.joined = Tokenizer.from_file(path), joined
+        self.length = np.array([len(self.own.id_to_token(i) or "") for i in range(self.own.get_vocab_size())])
+
+    def __call__(self, cuts: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(cuts)
+        apart = [i for i, c in enumerate(cuts) if not c or c[0] not in " \n\t\r" or c[-1].isspace()]
+        taken = set(apart)
+        rest = [i for i in range(len(cuts)) if i not in taken]
+        for i, x in zip(apart, self.own.encode_batch_fast([cuts[i] for i in apart], add_special_tokens=False), strict=True):
+            out[i] = packed(x.ids)
+        groups = [rest[at : at + self.joined] for at in range(0, len(rest), self.joined)]
+        whole = self.own.encode_batch_fast(["".join([cuts[i] for i in g]) for g in groups], add_special_tokens=False)
+        for g, x in zip(groups, whole, strict=True):
+            ids = np.array(x.ids, dtype="<u4")
+            ends = np.cumsum(self.length[ids])
+            want = np.cumsum([len(c) if c.isascii() else len(c.encode("utf-8", "replace")) for c in map(cuts.__getitem__, g)])
+            stop = np.searchsorted(ends, want) + 1
+            if not (ends[stop - 1] == want).all():
+                raise ValueError("tokens cross a cut")
+            raw, first = ids.tobytes(), 0
+            for i, last in zip(g, stop.tolist(), strict=True):
+                out[i] = raw[4 * first : 4 * last]
+                first = last
+        return out
+
+
 @lru_cache(1)
 def encoder(path: str) -> BatchEncoder:
-    from tokenizers import Tokenizer
-
-    own = Tokenizer.from_file(path)
-    return BatchEncoder(lambda cuts: [x.ids for x in own.encode_batch_fast(cuts, add_special_tokens=False)])
+    return BatchEncoder(Library(path))
 
 
 def write_ids(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end: int = END) -> None:
@@ -76,7 +109,7 @@ def write_ids(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     next to each other. An empty table writes an empty table of chunks.
     """
     spark = df.sparkSession
-    small_batches(spark)
+    small_batches(spark, 2000)
     vocab = vocabulary or public_tokenizers.path(VOCABULARY)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Cuts that a worker remembers, and the characters up to which one is worth it.
-MEMO, LONGEST = 700_000, 64
+MEMO, LONGEST = 500_000, 64
 #: Runs of other characters with the white space before them; and white space that needs more care.
 CHUNK, ODD = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+"), re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 
@@ -34,32 +34,42 @@ def _marked(text: str) -> str:
     return text.replace(" ", "\0 ")
 
 
+def packed(ids: Sequence[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    return np.array(ids, dtype="<u4").tobytes() if len(ids) > 40 else b"".join([v.to_bytes(4, "little") for v in ids])
+
+
 class BatchEncoder:
-    """``encode_new``: from distinct cuts to their ids."""
+    """``encode_new``: from distinct cuts to their ids, packed. The memo has two halves; what is met again moves to the younger."""
 
-    def __init__(self, encode_new: Callable[[list[str]], Sequence[Sequence[int]]]):
-        self.encode_new, self.memo = encode_new, {}
+    def __init__(self, encode_new: Callable[[list[str]], Sequence[bytes]]):
+        self.encode_new, self.young, self.old = encode_new, {}, {}
 
     def ids_of(self, cuts: list[str]) -> list[bytes]:
-        memo = self.memo
-        got = list(map(memo.get, cuts))
-        new = [i for i, x in enumerate(got) if x is None]
+        if len(self.young) > MEMO // 2:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        out = list(map(young.get, cuts))
+        rest = [i for i, x in enumerate(out) if x is None]
+        new = []
+        for i, x in zip(rest, map(old.get, [cuts[i] for i in rest]), strict=True):
+            if x is None:
+                new.append(i)
+            else:
+                out[i] = young[cuts[i]] = x
         if new:
-            ids = self.encode_new([cuts[i] for i in new])
-            if len(memo) + len(new) > MEMO:
-                memo.clear()
-            for i, x in zip(new, ids, strict=True):
-                got[i] = x = np.array(x, dtype="<u4").tobytes() if len(x) > 40 else b"".join([v.to_bytes(4, "little") for v in x])
+            for i, x in zip(new, self.encode_new([cuts[i] for i in new]), strict=True):
+                out[i] = x
                 if len(cuts[i]) <= LONGEST:
-                    memo[cuts[i]] = x
-        return got
+                    young[cuts[i]] = x
+        return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's ids begin (one more than texts)."""
         plain = [t if t and "\0" not in t else "" for t in texts]
         lists = pc.split_pattern(pa.array(map(_marked, plain), pa.large_string()), pattern="\0")
         coded = lists.flatten().dictionary_encode()
-        unique = self.ids_of(coded.dictionary.to_pylist())
+        unique = self.ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         flat = np.frombuffer(b"".join(unique), dtype="<u4")
         length = np.fromiter(map(len, unique), dtype=np.int64, count=len(unique)) // 4
         start = np.cumsum(length) - length
@@ -74,7 +84,7 @@ class BatchEncoder:
         return ids, bounds
 
 
-def portions(texts: Sequence[str], most_chars: int = 6_000_000) -> Iterator[tuple[int, int]]:
+def portions(texts: Sequence[str], most_chars: int = 8_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows with up to ``most_chars`` characters, or one row."""
     at, total = 0, 0
     for i, t in enumerate(texts):
