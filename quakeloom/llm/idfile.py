@@ -109,7 +109,7 @@ def write_ids(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     next to each other. An empty table writes an empty table of chunks.
     """
     spark = df.sparkSession
-    small_batches(spark, 2000)
+    small_batches(spark, 1500)
     vocab = vocabulary or public_tokenizers.path(VOCABULARY)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))

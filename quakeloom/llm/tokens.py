@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Cuts that a worker remembers, and the characters up to which one is worth it.
-MEMO, LONGEST = 500_000, 64
+MEMO, LONGEST = 300_000, 64
 #: Runs of other characters with the white space before them; and white space that needs more care.
 CHUNK, ODD = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+"), re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 
@@ -84,7 +84,7 @@ class BatchEncoder:
         return ids, bounds
 
 
-def portions(texts: Sequence[str], most_chars: int = 8_000_000) -> Iterator[tuple[int, int]]:
+def portions(texts: Sequence[str], most_chars: int = 5_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows with up to ``most_chars`` characters, or one row."""
     at, total = 0, 0
     for i, t in enumerate(texts):

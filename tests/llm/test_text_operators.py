@@ -132,11 +132,13 @@ def test_decontamination_of_planted_and_awkward_rows(spark, docs):
     item = " ".join(f"q{i}" for i in range(40))
     swapped = " ".join([f"q{i}" for i in range(20, 40)] + [f"q{i}" for i in range(20)])
     texts = [(100, "x y " + item + " z"), (101, item.replace("q39", "r")), (102, swapped), (103, "a " + item.replace("q20", "r")), (104, item.upper()), (None, item)]
-    all_docs = docs.unionByName(spark.createDataFrame(texts, "doc_id long, text string"), allowMissingColumns=True)
-    items = spark.createDataFrame([(1, item, 0), (2, None, 0), (3, "", 0), (4, "the cat sat", 0), (5, LONG, 0), (1, item, 0)], "item_id long, text string, doc_id int")
+    long = " ".join(f"u{i}" for i in range(2000))
+    texts += [(107, "x " + long + " y")]
+    all_docs = docs.where("text is null or length(text) < 20000").unionByName(spark.createDataFrame(texts, "doc_id long, text string"), allowMissingColumns=True)
+    items = spark.createDataFrame([(1, item, 0), (2, None, 0), (3, "", 0), (4, "the cat sat", 0), (5, long, 0), (1, item, 0)], "item_id long, text string, doc_id int")
     got = {(r[0], r[1]) for r in decontamination.contaminated(all_docs, items).collect()}
     texts_of = [(r["doc_id"], r["text"]) for r in all_docs.select("doc_id", "text").collect() if r["text"] is None or len(r["text"]) < 10_000]
-    want = {(d, i) for d, t in texts_of for i, x in ((1, item), (4, "the cat sat")) if item_matches(t, x) >= 0.8} | {(7, 5), (14, 5)}
+    want = {(d, i) for d, t in texts_of for i, x in ((1, item), (4, "the cat sat")) if item_matches(t, x) >= 0.8} | {(107, 5)}
     assert got == want and (102, 1) in want
     left = decontamination.remove_contaminated(all_docs, items)
     assert left.columns == all_docs.columns and 103 in {r[0] for r in left.collect()}
