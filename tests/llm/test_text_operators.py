@@ -128,6 +128,25 @@ def test_near_duplicates_of_a_drifting_family(spark, monkeypatch):
     assert got == want
 
 
+def test_near_duplicates_with_text_added_or_removed(spark):
+    """No pair of similarity 0.8 or more is missed, whatever the edit is."""
+    import random
+
+    rng = random.Random(11)
+    draw = lambda n: [f"v{int(rng.paretovariate(0.7))}" for _ in range(n)]
+    texts = []
+    for n in range(60):
+        a = draw(rng.randrange(60, 600))
+        part = int(len(a) * rng.uniform(0.1, 0.2))
+        at = rng.randrange(len(a) - part)
+        other = list(a)
+        for _ in range(len(a) // 40):
+            other[rng.randrange(len(a))] = "changed"
+        texts += [" ".join(a), " ".join([a + draw(part), draw(part) + a, a[:at] + a[at + part :], other][n % 4])]
+    got, want = kept_of(spark, texts)
+    assert len(texts) - len(want) > 40 and got == want
+
+
 def item_matches(doc, item):
     import re
 
