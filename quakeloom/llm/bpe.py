@@ -61,7 +61,7 @@ class TreeCodec:
         self.leaf_text = leaf_text or (lambda text: list(chain.from_iterable(map(self.encode_piece, self.pattern.findall(text)))))
         self._fits: dict[tuple[int, int], bool] = {}
         self._pieces: dict[str, tuple[int, ...]] = {}
-        self.batches = BatchEncoder(lambda cuts: [packed(self.encode_cut(c)) for c in cuts])
+        self.batches = BatchEncoder(lambda cuts: [packed(self.encode_cut(c)) for c in cuts.to_pylist()])
         length = [len(self.bytes_of.get(i, b"")) for i in range(max(self.bytes_of) + 1)]
         self._length, self._blob = np.array(length), np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(len(length))), np.uint8)
         self.decimals = np.array(list(map(str, range(len(length)))), dtype=object)

@@ -13,14 +13,18 @@ Spark writes the table, so a lost executor leaves no half-written chunk and any
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -31,6 +35,7 @@ from .tokens import BatchEncoder, packed, portions
 
 VOCABULARY = "byte_bpe_50k.json"
 MAGIC, BLOCK, CHUNK_IDS, END = b"BPS1", 8192, 1 << 18, 2
+WHITE = pa.array([" ", "\n", "\t", "\r"], pa.large_string())
 CHUNK_SCHEMA = "part int, chunk int, first long, n_ids long, doc_ids array<long>, starts array<long>, lengths array<long>, payload binary"
 
 
@@ -65,35 +70,42 @@ class Library:
     """The tokenizers library on many short cuts: those that begin with white space and don't end with it are joined first.
 
     Where such cuts meet the library cuts in any case, so the ids of the whole are theirs in a row, and the bytes of the
-    tokens tell where one ends.
+    tokens tell where one ends. A task has a core, so the library's own threads are off.
     """
 
     def __init__(self, path: str, joined: int = 512):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.own, self.joined = Tokenizer.from_file(path), joined
         self.length = np.array([len(self.own.id_to_token(i) or "") for i in range(self.own.get_vocab_size())])
 
-    def __call__(self, cuts: list[str]) -> list[bytes]:
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.own.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, cuts: pa.Array) -> list[bytes]:
+        white = pc.is_in(pc.utf8_slice_codeunits(cuts, 0, 1), WHITE)
+        joins = pc.and_not(white, pc.utf8_is_space(pc.utf8_slice_codeunits(cuts, -1))).to_numpy(zero_copy_only=False)
+        apart, rest = np.nonzero(~joins)[0], np.nonzero(joins)[0]
         out: list[bytes] = [b""] * len(cuts)
-        apart = [i for i, c in enumerate(cuts) if not c or c[0] not in " \n\t\r" or c[-1].isspace()]
-        taken = set(apart)
-        rest = [i for i in range(len(cuts)) if i not in taken]
-        for i, x in zip(apart, self.own.encode_batch_fast([cuts[i] for i in apart], add_special_tokens=False), strict=True):
-            out[i] = packed(x.ids)
-        groups = [rest[at : at + self.joined] for at in range(0, len(rest), self.joined)]
-        whole = self.own.encode_batch_fast(["".join([cuts[i] for i in g]) for g in groups], add_special_tokens=False)
-        for g, x in zip(groups, whole, strict=True):
-            ids = np.array(x.ids, dtype="<u4")
-            ends = np.cumsum(self.length[ids])
-            want = np.cumsum([len(c) if c.isascii() else len(c.encode("utf-8", "replace")) for c in map(cuts.__getitem__, g)])
-            stop = np.searchsorted(ends, want) + 1
-            if not (ends[stop - 1] == want).all():
-                raise ValueError("tokens cross a cut")
-            raw, first = ids.tobytes(), 0
-            for i, last in zip(g, stop.tolist(), strict=True):
-                out[i] = raw[4 * first : 4 * last]
-                first = last
+        for i, ids in zip(apart.tolist(), self._encoded(cuts.take(pa.array(apart)).to_pylist()), strict=True):
+            out[i] = packed(ids)
+        some = cuts.take(pa.array(rest))
+        sizes = pc.binary_length(some).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        data = memoryview(some.buffers()[2]) if len(rest) else b""  # what was taken lies in a row from 0
+        edges = [0, *ends[self.joined - 1 :: self.joined].tolist()]
+        edges += [int(ends[-1])] * (len(ends) % self.joined > 0)
+        whole = self._encoded([str(data[a:b], "utf-8") for a, b in pairwise(edges)])
+        ids = np.array(list(chain.from_iterable(whole)), dtype="<u4")
+        reached = np.cumsum(self.length[ids])
+        stop = np.searchsorted(reached, ends) + 1
+        if len(ends) and not (reached[np.minimum(stop, len(reached)) - 1] == ends).all():
+            raise ValueError("tokens cross a cut")
+        raw, first = ids.tobytes(), 0
+        for i, last in zip(rest.tolist(), (4 * stop).tolist(), strict=True):
+            out[i] = raw[first:last]
+            first = last
         return out
 
 

@@ -42,26 +42,27 @@ def packed(ids: Sequence[int]) -> bytes:
 class BatchEncoder:
     """``encode_new``: from distinct cuts to their ids, packed. The memo has two halves; what is met again moves to the younger."""
 
-    def __init__(self, encode_new: Callable[[list[str]], Sequence[bytes]]):
+    def __init__(self, encode_new: Callable[[pa.Array], Sequence[bytes]]):
         self.encode_new, self.young, self.old = encode_new, {}, {}
 
-    def ids_of(self, cuts: list[str]) -> list[bytes]:
+    def ids_of(self, cuts: pa.Array) -> list[bytes]:
         if len(self.young) > MEMO // 2:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
-        out = list(map(young.get, cuts))
+        keys = cuts.to_numpy(zero_copy_only=False).tolist()
+        out = list(map(young.get, keys))
         rest = [i for i, x in enumerate(out) if x is None]
         new = []
-        for i, x in zip(rest, map(old.get, [cuts[i] for i in rest]), strict=True):
+        for i, x in zip(rest, map(old.get, map(keys.__getitem__, rest)), strict=True):
             if x is None:
                 new.append(i)
             else:
-                out[i] = young[cuts[i]] = x
+                out[i] = young[keys[i]] = x
         if new:
-            for i, x in zip(new, self.encode_new([cuts[i] for i in new]), strict=True):
+            for i, x in zip(new, self.encode_new(cuts.take(pa.array(new))), strict=True):
                 out[i] = x
-                if len(cuts[i]) <= LONGEST:
-                    young[cuts[i]] = x
+                if len(k := keys[i]) <= LONGEST:
+                    young[k] = x
         return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +70,7 @@ class BatchEncoder:
         plain = [t if t and "\0" not in t else "" for t in texts]
         lists = pc.split_pattern(pa.array(map(_marked, plain), pa.large_string()), pattern="\0")
         coded = lists.flatten().dictionary_encode()
-        unique = self.ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        unique = self.ids_of(coded.dictionary)
         flat = np.frombuffer(b"".join(unique), dtype="<u4")
         length = np.fromiter(map(len, unique), dtype=np.int64, count=len(unique)) // 4
         start = np.cumsum(length) - length
@@ -79,7 +80,7 @@ class BatchEncoder:
         ids = flat[np.repeat(start[code] - ends[:-1], n) + np.arange(ends[-1])]
         bounds = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         if any("\0" in t for t in texts):  # NUL is the mark: such a text goes to the encoder cut by cut
-            rows = [np.frombuffer(b"".join(self.ids_of(chunks(t))), dtype="<u4") if "\0" in t else ids[a:b] for t, a, b in zip(texts, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            rows = [np.frombuffer(b"".join(self.ids_of(pa.array(chunks(t), pa.large_string()))), dtype="<u4") if "\0" in t else ids[a:b] for t, a, b in zip(texts, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             ids, bounds = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
         return ids, bounds
 
