@@ -3,8 +3,11 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quakeloom.llm import decontamination, neardup, queries, simhash, syncmers
@@ -94,7 +97,7 @@ def test_near_duplicates_against_brute_force(spark, data):
     want = components(ids, [(a, b) for n, a in enumerate(ids) for b in ids[:n] if jaccard(text[a], text[b]) >= 0.8])
     df = spark.read.parquet(f"{data}/documents.parquet")
     kept = {r[0] for r in neardup.drop_near_duplicates(df).select("doc_id").collect()}
-    assert kept >= set(want.values()) and len(kept - set(want.values())) <= 0.02 * len(ids)
+    assert kept == set(want.values())
 
 
 def test_near_duplicates_of_awkward_rows(spark, docs):
@@ -104,6 +107,28 @@ def test_near_duplicates_of_awkward_rows(spark, docs):
     assert neardup.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_one_fingerprint_or_one_id(spark):
+    """All texts of a fingerprint are compared, and different texts of one id are documents of their own."""
+    import random
+
+    words = [f"w{i}" for i in range(150)]
+    shuffled = list(words)
+    random.Random(1).shuffle(shuffled)
+    rows = [(1, " ".join(shuffled)), (2, " ".join(words)), (3, " ".join([*words, words[-1]])), (7, " ".join(words)), (7, "quite another text of this id"), (7, "quite another text of this id"), (8, "Quite another text OF this id")]
+    df = spark.createDataFrame([(*r, 1, "a") for r in rows], "doc_id long, text string, gone_id int, h1 string")
+    got = sorted((r[0], r[1]) for r in neardup.drop_near_duplicates(df).collect())
+    assert got == [(1, rows[0][1]), (2, rows[1][1]), (7, rows[4][1])]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=300), st.sets(st.integers(0, 2**64 - 1), max_size=300), st.sets(st.integers(0, 2**64 - 1), max_size=300))
+def test_sketches_bound_what_sets_share(a, b, both):
+    x, y = (np.array(sorted(v | both), np.uint64).view(np.int64) for v in (a, b))
+    assert neardup.most_shared(neardup.sketch(x), neardup.sketch(y)) >= len((a | both) & (b | both))
+    want = len((a | both) & (b | both)) / max(1, len(a | b | both))
+    assert abs(neardup.similarity_of(neardup.packed(x), neardup.packed(y)) - (want if a | b | both else 1)) < 0.02
+
+
 def kept_of(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     classes = components(list(range(len(texts))), [(a, b) for a in range(len(texts)) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8])
@@ -148,45 +173,53 @@ def test_near_duplicates_with_text_added_or_removed(spark):
 
 
 def item_matches(doc, item):
+    """The similarity of the best item-sized window; the whole of a shorter document."""
     import re
 
     words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     d, w = words(doc), words(item)
     n, k = len(w), min(5, len(w))
-    if not n or len(d) < n:
+    if not n or len(d) < k:
         return 0.0
     grams = lambda x: Counter(tuple(x[i : i + k]) for i in range(len(x) - k + 1))
     g, best = grams(w), 0.0
-    for s in range(len(d) - n + 1):
+    if not set(g) & set(grams(d)):
+        return 0.0
+    for s in range(max(1, len(d) - n + 1)):
         h = grams(d[s : s + n])
         best = max(best, (h & g).total() / (h | g).total())
     return best
 
 
 def test_decontamination_against_all_windows(spark, data):
-    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").where("doc_id < 60").collect()
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
     items = spark.read.parquet(f"{data}/benchmark.parquet").collect()
     want = {(d[0], i[0]) for d in docs for i in items if item_matches(d[1], i[1]) >= 0.8}
-    got = {(r[0], r[1]) for r in queries.op3_decontamination(spark, data).where("doc_id < 60").collect()}
+    got = {(r[0], r[1]) for r in queries.op3_decontamination(spark, data).collect()}
     assert want and got == want
 
 
 def test_decontamination_of_planted_and_awkward_rows(spark, docs):
     item = " ".join(f"q{i}" for i in range(40))
+    other = " ".join(f"z{i}" for i in range(30))
     swapped = " ".join([f"q{i}" for i in range(20, 40)] + [f"q{i}" for i in range(20)])
-    texts = [(100, "x y " + item + " z"), (101, item.replace("q39", "r")), (102, swapped), (103, "a " + item.replace("q20", "r")), (104, item.upper()), (None, item)]
+    cut = " ".join(f"q{i}" for i in range(37))
+    texts = [(100, "x y " + item + " z"), (101, item.replace("q39", "r")), (102, swapped), (103, "a " + item.replace("q20", "r")), (104, item.upper()), (None, item), (None, "a clean text of no id"), (None, "b " + other)]
+    texts += [(105, cut), (7, item), (7, "y " + other), (7, "y " + other), (106, "qq " * 20_000 + item)]
     long = " ".join(f"u{i}" for i in range(2000))
-    texts += [(107, "x " + long + " y")]
-    all_docs = docs.where("text is null or length(text) < 20000").unionByName(spark.createDataFrame(texts, "doc_id long, text string"), allowMissingColumns=True)
-    items = spark.createDataFrame([(1, item, 0), (2, None, 0), (3, "", 0), (4, "the cat sat", 0), (5, long, 0), (1, item, 0)], "item_id long, text string, doc_id int")
-    got = {(r[0], r[1]) for r in decontamination.contaminated(all_docs, items).collect()}
-    texts_of = [(r["doc_id"], r["text"]) for r in all_docs.select("doc_id", "text").collect() if r["text"] is None or len(r["text"]) < 10_000]
-    want = {(d, i) for d, t in texts_of for i, x in ((1, item), (4, "the cat sat")) if item_matches(t, x) >= 0.8} | {(107, 5)}
-    assert got == want and (102, 1) in want
-    left = decontamination.remove_contaminated(all_docs, items)
-    assert left.columns == all_docs.columns and 103 in {r[0] for r in left.collect()}
-    assert decontamination.contaminated(all_docs, items.limit(0)).count() == 0
-    assert decontamination.contaminated(all_docs.limit(0), items).count() == 0
+    texts += [(107, "x " + long + " y"), (108, " ".join(long.split()[:1000]))]
+    all_docs = docs.unionByName(spark.createDataFrame(texts, "doc_id long, text string"), allowMissingColumns=True)
+    items = [(1, item, 0), (2, None, 0), (3, "", 0), (4, "the cat sat", 0), (5, long, 0), (1, item, 0), (6, other, 0)]
+    frame = spark.createDataFrame(items, "item_id long, text string, k1 int")
+    got = [(r[0], r[1]) for r in decontamination.contaminated(all_docs, frame).collect()]
+    rows = [(r["doc_id"], r["text"]) for r in all_docs.select("doc_id", "text").collect()]
+    want = {(d, i) for d, t in rows for i, x, _ in items if item_matches(t, x) >= 0.8}
+    assert len(got) == len(set(got)) and set(got) == want and {(102, 1), (105, 1), (7, 1), (7, 6), (None, 1), (None, 6), (106, 1), (107, 5)} <= want
+    left = decontamination.remove_contaminated(all_docs, frame)
+    clean = sorted((str(d), t or "") for d, t in rows if not any(item_matches(t, x) >= 0.8 for _, x, _ in items))
+    assert left.columns == all_docs.columns and sorted((str(r["doc_id"]), r["text"] or "") for r in left.collect()) == clean
+    assert decontamination.contaminated(all_docs, frame.limit(0)).count() == 0
+    assert decontamination.contaminated(all_docs.limit(0), frame).count() == 0
 
 
 def test_syncmer_query(spark, data):
