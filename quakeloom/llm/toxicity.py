@@ -6,8 +6,8 @@ weaken a match without losing it. Landmark words give each word a Nyström vecto
 machine with squared hinge loss is trained. A sentence scores as its highest word, a document as its highest
 sentence, and a logistic curve fitted on training documents makes it a probability.
 
-Training sentences carry their document's label: all words of a clean document are clean, one word at least
-of a toxic one is not, so each round takes the highest words of each toxic document as its witnesses.
+Training sentences carry their document's label: all sentences of a clean document are clean, one at least
+of a toxic one is not, so each round takes the highest sentence of each toxic document, and in it the highest words, as its witnesses.
 
 The trained machine is linear in the subsequences of the landmarks, so it is folded into one weight per
 subsequence and scoring needs no landmark: exact, and the same for any number of landmarks.
@@ -35,6 +35,8 @@ WINDOW = 20
 #: Labelled documents that are fitted on at most (in expectation; a hash of the id picks them), landmarks, and words of either class.
 TRAIN_DOCUMENTS, LANDMARKS, TRAIN_WORDS = 3000, 256, 6_000
 WORD = re.compile(r"\w+")
+#: Where a sentence ends.
+SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 #: Single characters set apart by single others, as in "i d i o t" or "i.d.i.o.t".
 SPELLED = re.compile(r"(?<!\w)(?:\w[^\w\n]){2,}\w(?!\w)")
 
@@ -50,6 +52,11 @@ def words_of(text: str) -> set[str]:
     return words
 
 
+def sentences_of(text: str) -> list[set[str]]:
+    """The words of each sentence. No word goes across a sentence's end, so together they are the text's words."""
+    return [w for w in map(words_of, SENTENCE.split(text)) if w]
+
+
 def _code(words: list[str]) -> np.ndarray:
     """Codes of words of one length, with a mark before and after."""
     points = np.array(["".join(words)]).view(np.uint32).reshape(len(words), -1).astype(np.int64)
@@ -133,6 +140,16 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, share: np.ndarray, cost: float
     return w
 
 
+def _backing(x: np.ndarray, counts: np.ndarray, alike: float = 0.7) -> np.ndarray:
+    """Weights of the witnesses, the first rows of ``x``: how many documents' witnesses are like each, for one and the clean words (the other rows) that are."""
+    unit = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    n, out = len(counts), []
+    for at in range(0, n, 500):
+        near = unit[at : min(at + 500, n)] @ unit.T >= alike
+        out.append((near[:, :n] @ counts - 1) / (1 + near[:, n:].sum(1)))
+    return np.log1p(np.maximum(np.concatenate(out), 0)) + 0.1
+
+
 def _logistic(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Platt's curve with his smoothed targets."""
     pos, neg = y.sum(), (1 - y).sum()
@@ -149,38 +166,46 @@ def _logistic(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def fit(documents: list[set[str]], labels: list[int], landmarks: int = LANDMARKS, rounds: int = 3) -> Model:
-    """Fit on the words of labelled documents. With one class only, every score is that class's share, smoothed."""
+def fit(documents: list[list[set[str]]], labels: list[int], landmarks: int = LANDMARKS, rounds: int = 3) -> Model:
+    """Fit on the sentences (sets of words) of labelled documents. With one class only, every score is that class's share, smoothed."""
     y = np.array(labels)
     none = Model(np.zeros(CODES**3, np.float32), 0.0, 0.0, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5 + 1))), 0.0)
     toxic, clean = [d for d, l in zip(documents, labels, strict=True) if l == 1 and d], [d for d, l in zip(documents, labels, strict=True) if l == 0 and d]
     if not toxic or not clean:
         return none
-    seen = Counter(w for d in clean for w in d)
-    often = Counter(w for d in toxic for w in d if w not in seen)
-    sure = {w: n for w, n in often.items() if n >= 5}  # in that many toxic documents and no clean one
+    seen = set().union(*(s for d in clean for s in d))
     # The first witnesses: words whose subsequences many toxic documents have and few clean ones.
-    memo: dict[str, set[int]] = {}
-    triples = lambda w: memo.get(w) or memo.setdefault(w, _triples(w))
-    in_toxic, in_clean = Counter(), Counter()
-    a, b = min(len(toxic), 400), min(len(clean), 400)
-    for d in toxic[:a]:
-        in_toxic.update(set().union(*(triples(w) for w in d if w not in seen)))
-    for d in clean[:b]:
-        in_clean.update(set().union(*map(triples, d)))
-    odds = defaultdict(float)
-    odds |= {t: n / a * np.log(((n + 0.5) / (a + 1)) / ((in_clean[t] + 0.5) / (b + 1))) for t, n in in_toxic.items()}
-    first = lambda w: sorted((odds[t] for t in triples(w)), reverse=True)[:3]
-
-    def top(d: set[str], score: dict) -> list[str]:
-        return sorted((w for w in d if w not in seen), key=lambda w: (score[w], w), reverse=True)[:3]
-
-    score = {w: float(np.mean(first(w) or [0.0])) for d in toxic for w in d if w not in seen}
+    every = sorted(set().union(*(s for d in documents for s in d)))
+    memo: dict[str, np.ndarray] = {}
+    for places, code in by_length(every):
+        i, j, k = np.array(_subsequences(code.shape[1])).T
+        own = ((code[:, i] * CODES + code[:, j]) * CODES + code[:, k]).astype(np.int32)
+        memo.update(zip([every[p] for p in places.tolist()], own, strict=True))
+
+    def with_triple(docs: list[list[set[str]]], but: set[str]) -> np.ndarray:
+        """In how many documents each subsequence is."""
+        out = np.zeros(CODES**3)
+        for d in docs:
+            own = [memo[w] for w in set().union(*d) if w not in but]
+            if own:
+                out[np.unique(np.concatenate(own))] += 1
+        return out
+
+    in_toxic, in_clean = with_triple(toxic, seen), with_triple(clean, set())
+    a, b = len(toxic), len(clean)
+    odds = in_toxic / a * np.log(((in_toxic + 0.5) / (a + 1)) / ((in_clean + 0.5) / (b + 1)))
+
+    def top(d: list[set[str]], score: dict) -> list[str]:
+        """The highest words of the highest sentence."""
+        ranked = [sorted((w for w in s if w not in seen), key=lambda w: (score[w], w), reverse=True)[:3] for s in d]
+        return max((r for r in ranked if r), key=lambda r: (score[r[0]], r[0]), default=[])
+
+    score = {w: float(np.sort(odds[np.unique(memo[w])])[-3:].mean()) for d in toxic for s in d for w in s if w not in seen}
     rng = np.random.default_rng(5)
     background = sorted(seen)
     background = [background[i] for i in rng.permutation(len(background))[:TRAIN_WORDS]]
     for _ in range(rounds):
-        picked = Counter(sure)
+        picked = Counter()
         for d in toxic:
             best = top(d, score)
             picked.update(w for w in best if score[w] >= 0.6 * score[best[0]] or w == best[0])
@@ -189,7 +214,7 @@ def fit(documents: list[set[str]], labels: list[int], landmarks: int = LANDMARKS
             return none
         marks = positive[: landmarks // 2]
         marks += background[: landmarks - len(marks)]
-        index = {t: n for n, t in enumerate(sorted(set().union(*map(triples, marks))))}
+        index = {t: n for n, t in enumerate(sorted(set().union(*(memo[w].tolist() for w in marks))))}
         z = _features(marks, index)
         values, vectors = np.linalg.eigh(z @ z.T)
         keep = values > 1e-5 * values.max()
@@ -198,20 +223,19 @@ def fit(documents: list[set[str]], labels: list[int], landmarks: int = LANDMARKS
         words = positive + background
         x = np.vstack([_features(words[i : i + 2000], index) @ fold for i in range(0, len(words), 2000)])
         sign = np.array([1.0] * len(positive) + [-1.0] * len(background))
-        counts = np.array([picked[w] for w in positive], float)
+        counts = np.array([picked[w] for w in positive], float) * _backing(x, np.array([picked[w] for w in positive], float))
         share = np.concatenate([0.5 * counts / counts.sum(), np.full(len(background), 0.5 / max(1, len(background)))])
         w = _squared_hinge(x, sign, share)
         weight = np.zeros(CODES**3, np.float32)
         weight[list(index)] = fold @ w[:-1]
         model = Model(weight, float(w[-1]), 1.0, 0.0, -1.5)
-        every = sorted(set().union(*toxic))
-        score = dict(zip(every, model.words(every).tolist(), strict=True))
+        of_toxic = sorted(set().union(*(s for d in toxic for s in d)))
+        score = dict(zip(of_toxic, model.words(of_toxic).tolist(), strict=True))
         hard = sorted(seen)
         risen = np.array(hard, dtype=object)[np.argsort(-model.words(hard))[: TRAIN_WORDS // 4]].tolist()
         background = list(dict.fromkeys(risen + background))[:TRAIN_WORDS]
-    every = sorted(set().union(*documents))
     score = dict(zip(every, model.words(every).tolist(), strict=True))
-    best = np.array([max(map(score.__getitem__, d), default=model.floor) for d in documents])
+    best = np.array([max((score[w] for s in d for w in s), default=model.floor) for d in documents])
     model.slope, model.offset = _logistic(best, y)
     return model
 
@@ -225,13 +249,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on about ``most`` labelled documents that aren't held out; a hash of the id picks them. Rows without a label are left out."""
     known = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).where("y is not null and k is not null").where(~held_out("k"))
     picked = known.where(hashed_share(F.col("k"), sampling_rate(known, most))).dropDuplicates(["k"]).limit(2 * most)  # bounded, so it is broadcast
-    rows = docs.join(F.broadcast(picked), docs[id_col] == picked.k).select(text_or_empty(docs[text_col]).alias("t"), "y").toPandas()
-    rows = rows.sort_values(["t", "y"], ignore_index=True)
-    return fit([words_of(t) for t in rows["t"]], rows["y"].tolist())
+    rows = docs.join(F.broadcast(picked), docs[id_col] == picked.k).select(text_or_empty(docs[text_col]).alias("t"), picked.y.alias("label")).toPandas()
+    rows = rows.sort_values(["t", "label"], ignore_index=True)
+    return fit([sentences_of(t) for t in rows["t"]], rows["label"].tolist())
 
 
-def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score``, a probability, over every word of every text. Null and empty texts score as having no word."""
+def score_documents(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """``docs`` with ``score_col``, a probability, over every word of every text. Null and empty texts score as having no word."""
     small_batches(docs.sparkSession)
     known: dict[str, float] = {}
 
@@ -248,4 +272,4 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> Da
             out += [max(map(known.__getitem__, s), default=model.floor) for s in sets]
         return pd.Series(model.probability(np.array(out, float)))
 
-    return docs.withColumn("score", scored(text_or_empty(text_col)))
+    return docs.withColumn(score_col, scored(text_or_empty(text_col)))
