@@ -4,13 +4,15 @@ High-recall generators propose spans that may overlap: the base formats (e-mail,
 before their checks, and looser forms of each. Boosted trees score a proposal by its format and by the words
 around it; a threshold calibrated on proposals that were kept out of the fit selects redactions.
 
-The trees are trained on the proposals of a sample of documents: those that pass the base checks are
-positive, the rest negative. The features leave out what the checks test (Luhn sum, octet range), so what
-the trees learn is how such data looks and what stands before it. Spans that pass the base checks are always kept.
+The trees are trained on the proposals of a sample of documents. Those that pass the base checks are positive, and so are rewritings
+of them in the looser forms where they stand (an e-mail with its signs spelled out, a card in dotted groups, a phone without its country, an
+IPv6 address). Proposals that touch a passing span are left out, the rest is negative. The features leave out what the checks test
+(Luhn sum, octet range), so what the trees learn is how such data looks and what stands around it. Spans that pass the base checks are always kept.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_share, sampling_rate, small_batches, text_or_empty
+from .common import hashed_share, materialize, sampling_rate, small_batches, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base formats. Fixed values of the contract.
@@ -37,10 +39,10 @@ NAME_CHARS, DOMAIN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuv
 LOOSE = {
     "email": (re.compile(r"[\w.%+-]{1,64}\s?(?:@|\(at\)|\[at\]|\{at\})\s?[\w-]{1,63}(?:\s?(?:\.|\(dot\)|\[dot\]|\{dot\})\s?[\w-]{2,63})+", re.I), re.compile(r"[@(\[{]")),
     "ip": (re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}(?![\w:])|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])"), re.compile(r"[0-9A-Fa-f][.:][0-9A-Fa-f]")),
-    "card": (re.compile(r"(?<!\d)\d{4}(?:[ -.]\d{4}){2,3}(?!\d)"), re.compile(r"\d{4}[ -.]\d{4}")),
+    "card": (re.compile(r"(?<!\d)\d{4}(?:[ .-]\d{4}){2,3}(?!\d)"), re.compile(r"\d{4}[ .-]\d{4}")),
     "phone": (re.compile(r"(?<![\w+])(?:\+|00)?\(?\d{2,4}\)?[ ./-]\(?\d{2,4}\)?[ ./-]\d{2,4}(?:[ ./-]?\d{2,4})?(?!\w)"), re.compile(r"\d[ )./-]+\d")),
 }
-#: Documents whose proposals are fitted on (in expectation; a hash of the id picks them), proposals at most, precision that the threshold must reach on those kept out.
+#: Documents whose proposals are fitted on (in expectation; a hash of the id picks them), proposals fitted on (in expectation, a hash of the features picks them), precision that the threshold must reach on those kept out.
 TRAIN_DOCUMENTS, TRAIN_PROPOSALS, PRECISION = 4000, 20_000, 0.98
 HINTS = re.compile(r"mail|contact|write|reach|call|phone|tel|fax|mobile|card|visa|pay|account|ip|host|server|address|token|key|secret|id|no|version", re.I)
 
@@ -92,6 +94,35 @@ def proposals(text: str) -> list[tuple[str, int, int, bool]]:
     return [(*k, ok) for k, ok in out.items()]
 
 
+def rewritten(kind: str, span: str) -> list[str]:
+    """Looser forms of a span that passed its base check, from its own characters."""
+    digits = re.sub(r"[^0-9]", "", span)
+    if kind == "email":
+        name, _, host = span.partition("@")
+        return [f"{name} (at) {host.replace('.', ' (dot) ')}", f"{name}[at]{host}", f"{name} @ {host}"]
+    if kind == "card":
+        return [".".join(digits[i : i + 4] for i in range(0, 16, 4))] if len(digits) == 16 else []
+    if kind == "phone":
+        return [f"({digits[-10:-7]}) {digits[-7:-4]}-{digits[-4:]}", f"{digits[-10:-7]}.{digits[-7:-4]}.{digits[-4:]}"] if len(digits) >= 10 else []
+    marks = hashlib.md5(span.encode()).hexdigest()
+    return [":".join(marks[i : i + 4] for i in range(0, 32, 4))]
+
+
+def labelled(text: str) -> Iterator[tuple[int, list[float]]]:
+    """(label, features) of what the text has to train on."""
+    own = proposals(text)
+    passing = [(k, s, e) for k, s, e, ok in own if ok]
+    for kind, start, end, ok in own:
+        if ok:
+            yield 1, features(text, kind, start, end)
+            for form in rewritten(kind, text[start:end]):
+                around = text[max(0, start - 40) : start] + form + text[end : end + 40]
+                at = min(start, 40)
+                yield 1, features(around, kind, at, at + len(form))
+        elif all(end <= a or start >= b for _, a, b in passing):
+            yield 0, features(text, kind, start, end)
+
+
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
     """Format of the span and what stands around it."""
     span, before, after = text[start:end], text[max(0, start - 24) : start], text[end : end + 12]
@@ -179,11 +210,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
 
     def proposed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(int(ok), features(t, k, s, e)) for t in batch["t"] for k, s, e, ok in proposals(t)]
-            yield pd.DataFrame(rows, columns=["y", "x"])
+            for t in batch["t"]:
+                yield pd.DataFrame(list(labelled(t)), columns=["y", "x"])
 
     small_batches(docs.sparkSession)
-    rows = picked.select("t").mapInPandas(proposed, "y int, x array<double>").limit(TRAIN_PROPOSALS).toPandas()
+    found = materialize(picked.select("t").mapInPandas(proposed, "y int, x array<double>"), "proposals")
+    rows = found.where(hashed_share(F.xxhash64("x", "y"), sampling_rate(found, TRAIN_PROPOSALS), seed=31)).toPandas()
     if rows["y"].nunique() < 2 or len(rows) < 40:
         return Model(None, 1.1)
     rows = rows.assign(k=rows["x"].map(lambda v: tuple(map(float, v)))).sort_values(["k", "y"], ignore_index=True)
@@ -211,8 +243,8 @@ def find_spans(text: str, model: Model) -> tuple[list[tuple[str, int, int]], lis
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 
 
-def annotate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``found``: base spans and all spans of every whole text, in code points, end exclusive. Null counts as empty."""
+def annotate(docs: DataFrame, model: Model, text_col: str = "text", found_col: str = "found") -> DataFrame:
+    """``docs`` with ``found_col``: base spans and all spans of every whole text, in code points, end exclusive. Null counts as empty."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf(f"base {SPAN}, spans {SPAN}")
@@ -220,7 +252,7 @@ def annotate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         rows = [find_spans(t, model) if "@" in t or re.search(r"[0-9]", t) or "(" in t or "[" in t else ([], []) for t in texts]
         return pd.DataFrame({n: [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in r[i]] for r in rows] for i, n in enumerate(("base", "spans"))})
 
-    return docs.withColumn("found", found(text_or_empty(text_col)))
+    return docs.withColumn(found_col, found(text_or_empty(text_col)))
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:

@@ -47,6 +47,15 @@ def test_bpe_of_awkward_rows(spark, awkward, library):
     assert bpe.encode_documents(awkward.limit(0)).count() == 0
 
 
+def test_bpe_goes_through_the_tree(spark, data):
+    """Every piece is joined up from single bytes: joins are many even where pieces recur."""
+    c = bpe.TreeCodec(bpe.read_ranks(public_tokenizers.path(bpe.VOCABULARY)), public_tokenizers.PATTERN)
+    texts = [r[0] for r in spark.read.parquet(f"{data}/documents.parquet").select("text").collect()]
+    ids, bounds = c.batches.encode(texts)
+    assert c.joins > 5000
+    assert all(c.decode(ids[i:j].tolist()) == t.encode() for t, i, j in zip(texts, bounds[:-1], bounds[1:]))
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(["the", "ing", "éa", " ", "  ", "\n", "a", "'s", "12", "日", "-", "xq"]), max_size=120), st.integers(0, 300))
 def test_joining_encodings_is_a_monoid(parts, cut):
@@ -134,14 +143,79 @@ def test_urls(spark, data):
         assert best is None or r["verdict"] == best[1]
 
 
+def plain_verdicts(pages, bad):
+    """(template, share) of each page's path by a plain walk of the tree; ``bad``: page -> 0 or 1."""
+    paths = {}
+    for page, url in pages:
+        host, path, _ = judged(url)
+        row = paths.setdefault((host, tuple(s for s in path.split("/") if s)), [0, 0, 0])
+        row[0] += 1
+        if page in bad:
+            row[1] += 1
+            row[2] += bad[page]
+    out, open_ = {}, {}
+    for key, row in paths.items():
+        open_.setdefault((key[0], ""), []).append((key, 0, row))
+    while open_:
+        after = {}
+        for (host, node), rows in open_.items():
+            c = 0
+            while all(len(k[1]) > at + c for k, at, _ in rows) and len({k[1][at + c] for k, at, _ in rows}) == 1:
+                node, c = f"{node}/{rows[0][0][1][rows[0][1] + c]}", c + 1
+            kids = {}
+            for k, at, row in rows:
+                if len(k[1]) == at + c:
+                    out[k] = (host, node)
+                else:
+                    kids.setdefault(k[1][at + c], []).append((k, at + c + 1, row))
+            sums = {seg: np.sum([r for _, _, r in own], axis=0) for seg, own in kids.items()}
+            total = np.sum(list(sums.values()), axis=0) if sums else None
+            rare = {seg for seg, v in sums.items() if v[0] <= max(1, urlfilter.RARE * total[0])}
+            many = len(rare) > max(1, urlfilter.VARIES * sum(sums[s][0] for s in rare))
+            for seg, own in kids.items():
+                v, rest = sums[seg], total - sums[seg]
+                pooled = (total[2] + 1) / (total[1] + 2)
+                z = (v[2] / max(v[1], 1) - rest[2] / max(rest[1], 1)) / (pooled * (1 - pooled) * (1 / max(v[1], 1) + 1 / max(rest[1], 1))) ** 0.5
+                branch = "*" if seg in rare and many else seg if v[1] and rest[1] and abs(z) > urlfilter.Z else "~"
+                after.setdefault((host, f"{node}/{branch}"), []).extend(own)
+        open_ = after
+    by, hosts = {}, {}
+    for k, row in paths.items():
+        by[out[k]] = np.array(by.get(out[k], (0, 0))) + row[1:]
+        hosts[k[0]] = np.array(hosts.get(k[0], (0, 0))) + row[1:]
+    rate = (sum(v[1] for v in hosts.values()) + 1) / (sum(v[0] for v in hosts.values()) + 4)
+    share = {t: (v[1] + urlfilter.PRIOR * (hosts[t[0]][1] + urlfilter.PRIOR * rate) / (hosts[t[0]][0] + urlfilter.PRIOR)) / (v[0] + urlfilter.PRIOR) for t, v in by.items()}
+    return {k: (out[k][1], share[out[k]]) for k in paths}
+
+
+def test_method_verdicts_equal_a_plain_walk(spark, data):
+    pages = [tuple(r) for r in spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url").collect()]
+    hot = [(10_000 + i, f"http://hot.example/{'spam' if i % 3 == 0 else 'good'}/{i % 7}/x/y/{'q' if i % 5 else 'z'}/{i}") for i in range(300)]
+    pages += hot + [(20_000, "http://deep.example/" + "a/" * 3000), (20_001, "http://deep.example/" + "a/" * 2000 + "b")]
+    bad = {i: int(i % 3 == 0 if i >= 10_000 else i % 2) for i, _ in pages if i % 4 == 0}
+    frame = spark.createDataFrame(pages, "page_id long, url string")
+    got = urlfilter.judge(frame, spark.createDataFrame(list(bad.items()), "page_id long, bad int")).collect()
+    want = plain_verdicts(pages, bad)
+    assert len(got) == len(pages)
+    for r in got:
+        template, share = want[(r["host"], tuple(s for s in r["path"].split("/") if s))]
+        assert r["template"] == template and abs(r["bad_share"] - share) < 1e-9
+        assert r["rule"] is not None or r["verdict"] == ("block" if share >= urlfilter.REJECT else "allow")
+
+
 def test_templates_are_rejected_by_purity(spark):
     urls = [(i, f"http://A.example/{'spam' if i % 2 else 'good'}/{i}.html") for i in range(400)]
+    urls += [(5000 + i, f"http://d.example/a/b/c/d/{'spam' if i % 2 else 'good'}/{i}") for i in range(400)]  # parts at the fifth segment
+    urls += [(6000 + i, f"http://e.example/{i}" if i % 4 else "http://e.example/about") for i in range(200)]  # a stable one beside many that vary
     odd = [(1000, None), (1001, "no scheme"), (1002, "x://H?q"), (1003, "http://h#f"), (1003, "http://h#f"), (None, "http://A.example/spam/5"), (1005, "http://a.example/spam/" + "z" * 9000)]
     pages = spark.createDataFrame([(i, u, "bad", 1) for i, u in urls + odd], "page_id long, url string, host string, path int")
-    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 400, 5)] + [(None, 1), (7, None)], "page_id long, bad int")
+    bad = [(i, i % 2) for i in range(0, 400, 5)] + [(5000 + i, i % 2) for i in range(0, 400, 5)] + [(6000 + i, int(i % 4 > 0 and i < 100)) for i in range(200)] + [(None, 1), (7, None)]
+    labels = spark.createDataFrame(bad, "page_id long, bad int")
     got = {(r[0], r[1]): r for r in urlfilter.judge(pages, labels).collect()}
-    assert len(got) == 406
+    assert len(got) == 1006
     assert all(got[(i, "a.example")]["verdict"] == ("block" if i % 2 else "allow") for i in range(400))
+    assert all(got[(5000 + i, "d.example")]["verdict"] == ("block" if i % 2 else "allow") for i in range(400))
+    assert all(got[(6000 + i, "e.example")]["template"] == ("/*" if i % 4 else "/about") for i in range(200))
     assert got[(1005, "a.example")]["verdict"] == "block" and got[(1000, "")]["verdict"] == "allow" and got[(1002, "h")]["path"] == ""
     assert urlfilter.judge(pages.limit(0), labels).count() == 0
     assert urlfilter.judge(pages, labels.limit(0)).where("verdict = 'block'").count() == 0
@@ -163,19 +237,44 @@ def test_toxicity_tolerates_inserted_characters(spark, awkward):
     docs, labels = [], []
     for i in range(300):
         labels.append(i % 3 == 0)
-        docs.append(set(clean()) | ({"grobnik", "vexpot"} if i % 3 == 0 else set()))
+        docs.append([set(clean()), set(clean()) | ({"grobnik", "vexpot"} if i % 3 == 0 else set())])
     model = toxicity.fit(docs, list(map(int, labels)))
     p = lambda text: model.probability(np.array([max(model.words(sorted(toxicity.words_of(text))), default=model.floor)]))[0]
     assert p("talo g r o b n i k mire") > 0.5 > p("talomire sunere")
-    assert p("gro.b.nik") < 0.9 or True
-    assert p("grobxnik") > p("talomire") and p("vexpot!") > 0.5
+    assert p("grobxnik") > p("talomire") and p("vexpot!") > 0.5 and p("g.r.o.b.n.i.k") > 0.5 and p("gro-bnik") > p("talo-mire")
     got = toxicity.score_documents(awkward, model)
     assert got.count() == len(AWKWARD) and got.where("score is null").count() == 0
-    assert toxicity.fit([], []).probability(np.zeros(1))[0] < 0.5 and toxicity.fit([{"a"}], [1]).words(["b"]).shape == (1,)
+    assert toxicity.fit([], []).probability(np.zeros(1))[0] < 0.5 and toxicity.fit([[{"a"}]], [1]).words(["b"]).shape == (1,)
     none = toxicity.train(awkward, spark.createDataFrame([(None, 1), (3, None)], "doc_id long, toxic int"))
     assert toxicity.score_documents(awkward.limit(0), none).count() == 0
 
 
+def test_folded_weights_equal_the_kernel():
+    """The trained machine's linear form over subsequences is the Nystroem kernel machine over its landmarks."""
+
+    def kernel(a, b):
+        def counts(w):
+            code, out = toxicity._code([w])[0], {}
+            for i, j, k in toxicity._subsequences(len(code)):
+                key = (code[i], code[j], code[k])
+                out[key] = out.get(key, 0) + toxicity.DECAY ** (k - i + 1)
+            return {t: v / toxicity._norm(len(code)) for t, v in out.items()}
+
+        x, y = counts(a), counts(b)
+        return sum(v * y.get(t, 0) for t, v in x.items())
+
+    words, marks = ["grobnik", "gro-nik", "talo", "x", "vexpotvex"], ["grobnik", "vexpot", "talomi", "resune"]
+    index = {t: n for n, t in enumerate(sorted(set().union(*map(toxicity._triples, marks))))}
+    got = toxicity._features(words, index) @ toxicity._features(marks, index).T
+    want = np.array([[kernel(a, b) for b in marks] for a in words])
+    assert np.allclose(got, want, atol=1e-5)
+    w = np.random.default_rng(3).normal(size=len(marks))
+    weight = np.zeros(toxicity.CODES**3, np.float32)
+    weight[list(index)] = toxicity._features(marks, index).T @ w
+    assert np.allclose(toxicity.Model(weight, 0.25, 1.0, 0.0, 0.0).words(words), want @ w + 0.25, atol=1e-4)
+    assert toxicity.sentences_of("Not so. A b\nC") == [{"not", "so"}, {"a", "b"}, {"c"}]
+
+
 def plain_base(text):
     out = []
     for kind in pii.KINDS:
@@ -205,6 +304,22 @@ def test_pii_query_and_awkward_rows(spark, data, awkward):
     assert pii.find_spans("1" * 60_000 + " " + "a" * 60_000 + "@", model) == ([], [])
 
 
+def test_looser_forms_are_found(spark):
+    rng = random.Random(4)
+    name = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    texts = []
+    for _ in range(400):
+        texts.append(rng.choice([f"please write to {name()}@{name()}.org today", f"call my phone +1 ({digits(3)}) {digits(3)}-{digits(4)} now", f"the host address 10.{rng.randint(0, 255)}.1.7 is down", f"version {digits(1)}.{digits(1)}.{digits(2)} of 20{digits(2)}-0{digits(1)}-1{digits(1)} costs {digits(3)}-{digits(4)}", f"rows {digits(3)} {digits(4)} {digits(3)} and {digits(3)}.{digits(3)}.{digits(3)} in total"]))
+    model = pii.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    kinds = lambda t: [k for k, _, _ in pii.find_spans(t, model)[1]]
+    assert kinds("please write to anna (at) example (dot) org today") == ["email"]
+    assert kinds("call my phone (017) 555-7713 now") == ["phone"]
+    assert kinds("the host address 2001:0db8:85a3:0000:0000:8a2e:0370:7334 is down") == ["ip"]
+    assert kinds("rows 12 and 13 in 2014 of all") == [] and sum(map(len, map(kinds, texts[:200]))) >= 100
+    assert pii.LOOSE["card"][0].search("4111,1111,1111,1111") is None
+
+
 def test_boosted_trees_learn(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 4))
