@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint in ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    """``df`` as a checkpoint in ``spark.checkpoint.dir``. Where that is unset a temporary folder is taken, but only for a local master."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quakeloom-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="quakeloom-"))
     return df.checkpoint()

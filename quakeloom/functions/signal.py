@@ -57,18 +57,28 @@ def windows(traces: DataFrame, n: int = 6000, step: int = 3000, keep: list[str]
     return rows.select(*keep, "win", (F.col("win") * step).alias("start"), F.slice("samples", F.col("win") * step + 1, F.lit(n)).alias("samples"))
 
 
-def normalized(samples: str, by: str = "max", taper: int = 6) -> Column:
-    """Demeaned samples over their deviation or greatest size (a small number is added after the division), edges tapered by a cosine."""
+def normalized(samples: str, by: str = "max", taper: int = 6, scale: Column | None = None) -> Column:
+    """Demeaned samples over their greatest size, or over their deviation with a small number added; edges tapered by a cosine from 0 to 1.
+
+    ``scale``: the deviation over all components (``joint_deviation``), where there are several. A trace of one value gives zeros.
+    """
     n = F.array_size(samples)
     mean = F.aggregate(samples, F.lit(0.0), lambda s, x: s + x) / n
     centred = F.transform(samples, lambda x: x - mean)
     if by == "std":
-        scale = F.sqrt(F.aggregate(centred, F.lit(0.0), lambda s, x: s + x * x) / n)
+        scale = F.sqrt(F.aggregate(centred, F.lit(0.0), lambda s, x: s + x * x) / n) if scale is None else scale
     else:
         scale = F.array_max(F.transform(centred, F.abs))
-    ramp = lambda i: 0.5 * (1 - F.cos(F.lit(np.pi) * i / taper))
+    ramp = lambda i: 0.5 * (1 - F.cos(F.lit(np.pi) * i / (taper - 1)))
     edge = lambda i: F.when(i < taper, ramp(i)).when(i >= n - taper, ramp(n - 1 - i)).otherwise(1.0)
-    return F.transform(centred, lambda x, i: (F.when(scale > 0, x / scale).otherwise(0.0) + EPS) * edge(i))
+    extra = EPS if by == "std" else 0.0
+    return F.transform(centred, lambda x, i: (F.when(scale > 0, x / scale).otherwise(0.0) + extra) * edge(i))
+
+
+def joint_deviation(*components: str) -> Column:
+    """The population deviation of the demeaned samples of several components together."""
+    squares = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x) - F.pow(F.aggregate(c, F.lit(0.0), lambda s, x: s + x), F.lit(2)) / F.array_size(c)
+    return F.sqrt(sum(map(squares, components)) / sum(map(F.array_size, components)))
 
 
 def fixed_length(samples: str, n: int) -> Column:
@@ -113,10 +123,16 @@ def component_peaks(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("_p", peak("samples")).groupBy(*keys).agg(F.max("_p").alias("peak"), F.avg("_p").alias("mean_peak"), F.count("_p").alias("n_comp"))
 
 
+#: Velocities (km/s) for the time between P and S. Fixed values.
+VP, VS = 6.0, 3.5
+
+
 def measure_window(dist_km: Column, phase: Column) -> Column:
-    """(pre, post) seconds by distance and phase."""
-    post = F.when(phase == "P", F.greatest(F.lit(2.0), F.least(F.lit(15.0), dist_km / 12))).otherwise(F.greatest(F.lit(5.0), F.least(F.lit(40.0), dist_km / 6)))
-    return F.struct(F.lit(1.0).alias("pre"), post.alias("post"))
+    """(pre, post) seconds around a pick: post grows with distance, for P it ends short of the S arrival."""
+    gap = F.greatest(dist_km * (1 / VS - 1 / VP), F.lit(1.25))
+    p = F.greatest(F.least(1.0 + 0.03 * dist_km, F.lit(15.0), 0.8 * gap), F.lit(1.0))
+    post = F.when(phase == "P", p).otherwise(F.least(2.0 + 0.06 * dist_km, F.lit(60.0)))
+    return F.struct(F.lit(0.3).alias("pre"), post.alias("post"))
 
 
 def overlap_stack(win: DataFrame, keys: list[str], blind: tuple[int, int] = (500, 500)) -> DataFrame:
@@ -235,8 +251,8 @@ def fill_gaps(segments: DataFrame, keys: list[str]) -> DataFrame:
     return segments.groupBy(*keys).applyInPandas(merged, schema)
 
 
-#: Poles, zeros and gain of the Wood-Anderson seismometer (displacement to mm). Fixed values.
-WOOD_ANDERSON = ([-6.283185 + 4.712389j, -6.283185 - 4.712389j], [0j, 0j], 2080.0)
+#: Poles, zeros and gain of the Wood-Anderson seismometer, from ground velocity. Fixed values.
+WOOD_ANDERSON = ([-5.49779 - 5.60886j, -5.49779 + 5.60886j], [0j], 2080.0)
 
 
 def simulate_wood_anderson(df: DataFrame, poles: list[complex], zeros: list[complex], gain: float, water_db: float = 60.0) -> DataFrame:

@@ -86,15 +86,16 @@ def sample_cells(raster: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return raster.where("v is not null").orderBy(F.xxhash64("lon", "lat", F.lit(seed)), "lon", "lat").limit(n)
 
 
-def classify(events: DataFrame, slab: DataFrame, unc: DataFrame, volcanoes: DataFrame, margin: float = 5.0, vol_radius: float = 20.0, step: float = 0.05, crust_km: float = 30.0) -> DataFrame:
+def classify(events: DataFrame, slab: DataFrame, unc: DataFrame, volcanoes: DataFrame, margin: float = 5.0, vol_radius: float = 20.0, step: float = 0.05) -> DataFrame:
     """``event_class`` by where an event lies: near a volcano (strictly within the radius), at the interface (within the grid's
-    uncertainty and margin, ends included), above it in the crust, below it in the slab, or oceanic where there is no slab.
+    uncertainty and margin, ends included), above it in the crust, below it in the slab, or oceanic where slab or uncertainty is unknown.
 
     Adds slab_km (positive down), band_km, dz_km (event minus interface), name and name_km.
     """
     e = grid_bilinear(grid_bilinear(events, slab, step, "_slab"), unc, step, "_unc")
-    e = e.withColumn("slab_km", F.abs("_slab")).withColumn("band_km", F.coalesce("_unc", F.lit(0.0)) + margin).withColumn("dz_km", F.col("depth") - F.col("slab_km")).drop("_slab", "_unc")
-    e = nearest_named(e, volcanoes)
-    volcanic = (F.col("name_km") < vol_radius) & (F.col("depth") < crust_km)
-    kind = F.when(volcanic, "volcanic").when(F.col("slab_km").isNull(), "oceanic").when(F.abs("dz_km") <= F.col("band_km"), "megathrust").when(F.col("dz_km") < 0, "crustal").otherwise("intraslab")
+    e = e.withColumn("slab_km", F.abs("_slab")).withColumn("band_km", F.col("_unc") + margin).withColumn("dz_km", F.col("depth") - F.col("slab_km")).drop("_slab", "_unc")
+    e = nearest_named(e, volcanoes, "flat_named")
+    known = F.col("dz_km").isNotNull() & F.col("band_km").isNotNull()
+    inside = F.when(F.abs("dz_km") <= F.col("band_km"), "megathrust?").when(F.col("dz_km") < 0, "crustal-fault").otherwise("intraslab")
+    kind = F.when(F.col("name_km") < vol_radius, "volcanic").when(known, inside).otherwise("oceanic")
     return e.withColumn("event_class", kind)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import flat_km, haversine_km
+from ..functions.lineage import cut
 
 #: Rows of a table of named points or region nodes up to which it is broadcast.
 SMALL = 100_000
@@ -126,12 +127,50 @@ def in_regions(points: DataFrame, nodes: DataFrame) -> DataFrame:
     return points.join(n, haversine_km("lat", "lon", "_a", "_o") <= F.col("_reach")).drop("_a", "_o", "_reach").distinct()
 
 
+def nearest_k(points: DataFrame, named: DataFrame, k: int, name: str, key: str = "id", metric: str = "flat") -> DataFrame:
+    """``key, name, km, rank`` of the k nearest named points of each point; of equal distances the first by name. Points without a place give no row.
+
+    ``metric``: flat with the point's cosine (``flat``) or the named point's (``flat_named``), or on the sphere (``sphere``). Both sides are dealt to cells; a point looks in its own and the eight around it. It is settled once its k-th distance is
+    less than what lies outside those cells can be; the others go on with cells four times as wide, in the end as wide as the earth.
+    """
+    dist = flat_km("_a", "_o", "_la", "_lo") if metric == "flat_named" else (flat_km if metric == "flat" else haversine_km)("_la", "_lo", "_a", "_o")
+    left = points.where("lat is not null and lon is not null").select(F.col(key).alias("_k"), F.col("lat").cast("double").alias("_la"), F.col("lon").cast("double").alias("_lo"))
+    n = named.where("lat is not null and lon is not null").select(F.col(name).alias("_n"), F.col("lat").cast("double").alias("_a"), F.col("lon").cast("double").alias("_o"))
+    total, south, north, west, east = n.agg(F.count(F.lit(1)), F.min("_a"), F.max("_a"), F.min("_o"), F.max("_o")).first()
+    out = None
+    if metric == "sphere":  # round the back of the earth
+        n = n.select("_n", "_a", F.explode(F.array(*[F.col("_o") + d for d in (-360.0, 0.0, 360.0)])).alias("_o"))
+    width = max(1e-3, ((north - south + 1e-3) * (east - west + 1e-3) * k / max(total, 1)) ** 0.5) if total else 720.0
+    while True:
+        last = width >= 360
+        width = 720.0 if last else width
+        l = left.withColumn("_y", F.explode(_near(F.col("_la"), width))).withColumn("_x", F.explode(_near(F.col("_lo"), width)))
+        cell = n.withColumn("_y", F.floor(F.col("_a") / width)).withColumn("_x", F.floor(F.col("_o") / width))
+        pairs = l.join(cell, ["_y", "_x"]).select("_k", "_la", "_n", dist.alias("_d")).groupBy("_k", "_la", "_n").agg(F.min("_d").alias("_d"))
+        ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("_k").orderBy("_d", "_n"))).where(F.col("rank") <= k)
+        shrink = F.cos(F.radians("_la"))
+        if metric == "flat":
+            reach = width * 111.0 * shrink
+        elif metric == "flat_named":
+            reach = width * 111.0 * F.cos(F.radians(F.least(F.lit(90.0), F.abs("_la") + width)))
+        else:
+            reach = F.lit(0.0) if width >= 90 else 6371.0 * F.asin(shrink * F.sin(F.radians(F.lit(width))))
+        far = ranked.groupBy("_k").agg(F.max("_d").alias("_f"), F.count(F.lit(1)).alias("_c"), F.first(reach).alias("_r"))
+        found = ranked.select("_k", "_n", "_d", "rank")
+        if not last:
+            settled = cut(far.where((F.col("_c") == k) & (F.col("_f") < F.col("_r"))).select("_k"))
+            found = cut(found.join(settled, "_k", "left_semi"))
+            left = cut(left.join(settled, "_k", "left_anti"))
+        out = found if out is None else out.unionByName(found)
+        if last or left.isEmpty():
+            return out.select(F.col("_k").alias(key), F.col("_n").alias(name), F.col("_d").alias("km"), "rank")
+        width *= 4
+
+
 def nearest_named(points: DataFrame, named: DataFrame, metric: str = "flat", key: str = "id") -> DataFrame:
     """``points`` with ``name`` and ``name_km`` of the nearest named point; of equal distances the first by name."""
-    dist = (flat_km if metric == "flat" else haversine_km)("lat", "lon", "_a", "_o")
-    n = small(named.select(F.col("name"), F.col("lat").alias("_a"), F.col("lon").alias("_o")))
-    best = points.select(key, "lat", "lon").join(n, F.lit(True)).groupBy(key).agg(F.min(F.struct(dist.alias("d"), F.col("name").alias("n"))).alias("_m"))
-    return points.join(best, key, "left").withColumn("name", F.col("_m.n")).withColumn("name_km", F.col("_m.d")).drop("_m")
+    best = nearest_k(points, named, 1, "name", key, metric).select(key, "name", F.col("km").alias("name_km"))
+    return points.join(best, key, "left")
 
 
 def within_radius_counts(points: DataFrame, named: DataFrame, radius_km: float = 20.0, top: int = 8) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.geo import bearing, haversine_km
 from ..functions.lineage import cut
-from .match import candidates, small
+from .match import candidates, nearest_k, small
 
 ALGORITHM = "genie"
 
@@ -190,10 +190,8 @@ def _rounds(events: DataFrame, dt_s: float, dist_km: float) -> DataFrame:
 
 
 def nearest_stations(events: DataFrame, stations: DataFrame, k: int) -> DataFrame:
-    """The k + 1 nearest stations of each event with their rank; partial top lists are kept map-side by ``min_by`` over arrays."""
-    d = events.select("id", F.col("lat").alias("la"), F.col("lon").alias("lo")).join(small(stations.select("sta", F.col("lat").alias("sa"), F.col("lon").alias("so"))), F.lit(True))
-    d = d.select("id", "sta", haversine_km("la", "lo", "sa", "so").alias("dist"))
-    return d.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("dist", "sta"))).where(F.col("rank") <= k + 1)
+    """The k + 1 nearest stations of each event with their rank, from cells that widen until they are proven nearest."""
+    return nearest_k(events, stations, k + 1, "sta", metric="sphere").select("id", "sta", F.col("km").alias("dist"), "rank")
 
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:

@@ -169,10 +169,10 @@ FLAT = "sqrt(pow((s.lat - e.lat) * 111.0, 2) + pow((s.lon - e.lon) * 111.0 * cos
 
 
 def _named(spark, sf_dir):
-    return V.stations(spark, sf_dir).where("net < 5").select(F.concat(F.lit("S"), F.lpad(F.col("sta").cast("string"), 6, "0")).alias("name"), "lat", "lon")
+    return V.stations(spark, sf_dir).select(F.concat(F.lit("S"), F.lpad(F.col("sta").cast("string"), 6, "0")).alias("name"), "lat", "lon")
 
 
-NAMED = f"with {V.ORIGIN}, {V.STATION}, d as (select e.id as id, 'S' || lpad(s.sta::varchar, 6, '0') as name, {FLAT} as km from origin_v e cross join station_v s where s.net < 5), near as (select id, arg_min(name, (km, name)) as name, min(km) as km from d group by id)"
+NAMED = f"with {V.ORIGIN}, {V.STATION}, d as (select e.id as id, 'S' || lpad(s.sta::varchar, 6, '0') as name, {FLAT} as km from origin_v e cross join station_v s), near as (select id, arg_min(name, (km, name)) as name, min(km) as km from d group by id)"
 
 
 @query(NAMED + " select id, name, round(km, 6) as km from near")
@@ -327,7 +327,7 @@ def magnitude_inversion(spark, sf_dir):
     return magnitude.event_magnitudes(magnitude.residuals(obs, mags, terms, coeffs)).select("event_id", "n_obs", "n_P", "n_S", *_r("M_rel", "M_sta_std", "M_rel_sem"))
 
 
-@query(f"with {V.RASTER}, {V.ORIGIN}, p as (select id, (event_id_mod % 380) / 10.0::double as x, (event_id_mod * 7 % 380) / 10.0::double as y from (select id, id as event_id_mod from origin_v)), c as (select id, x - floor(x) as fx, y - floor(y) as fy, cast(floor(x) as bigint) as x0, cast(floor(y) as bigint) as y0 from p), k as (select c.id, (case when i = 1 then fx else 1 - fx end) * (case when j = 1 then fy else 1 - fy end) as w, z from c, range(0, 2) a(i), range(0, 2) b(j), raster_v r where r.x = x0 + i and r.y = y0 + j) select id, round(sum(w * z), 6) as v from k where w > 0 group by id")
+@query(f"with {V.RASTER}, {V.ORIGIN}, p as (select id, (event_id_mod % 380) / 10.0::double as x, (event_id_mod * 7 % 380) / 10.0::double as y from (select id, id as event_id_mod from origin_v)), c as (select id, x - floor(x) as fx, y - floor(y) as fy, cast(floor(x) as bigint) as x0, cast(floor(y) as bigint) as y0 from p), k as (select c.id, (case when i = 1 then fx else 1 - fx end) * (case when j = 1 then fy else 1 - fy end) as w, z from c cross join range(0, 2) a(i) cross join range(0, 2) b(j) left join raster_v r on r.x = x0 + i and r.y = y0 + j) select id, case when count(z) = count(*) then round(sum(w * z), 6) end as v from k where w > 0 group by id")
 def grid_bilinear(spark, sf_dir):
     grid = V.raster(spark, sf_dir).select(F.col("x").cast("double").alias("lon"), F.col("y").cast("double").alias("lat"), F.col("z").alias("v"))
     p = V.origins(spark, sf_dir).select("id", (F.col("id") % 380 / 10.0).alias("lon"), (F.col("id") * 7 % 380 / 10.0).alias("lat"))
@@ -447,14 +447,15 @@ def isolated_events(spark, sf_dir):
 
 @query()
 def associate_votes(spark, sf_dir):
-    """Events associated from picks that the views' events would give at the nearest stations."""
-    s = V.stations(spark, sf_dir)
-    near = relational.nearest_stations(V.catalogue(spark, sf_dir, "view"), s, 4).join(V.catalogue(spark, sf_dir, "view").select("id", "time_s"), "id")
+    """Events associated on blocks of raster cells from picks that all events would give at their three nearest stations."""
+    s, o = V.stations(spark, sf_dir), V.origins(spark, sf_dir).select("id", "time_s", "lat", "lon")
+    near = relational.nearest_stations(o, s, 2).join(o.select("id", "time_s"), "id")
     picks = near.select(F.explode(F.array(F.struct(F.lit("P").alias("phase"), (F.col("time_s") + F.col("dist") / 6).alias("time_s")), F.struct(F.lit("S").alias("phase"), (F.col("time_s") + F.col("dist") / 3.5).alias("time_s")))).alias("p"), "id", "sta")
     picks = picks.select(F.xxhash64("id", "sta", "p.phase").alias("pick_id"), "sta", "p.phase", "p.time_s")
-    nodes = V.raster(spark, sf_dir).where("x % 4 = 0 and y % 4 = 0").select((F.col("x") * 100 + F.col("y")).alias("node"), (40 + F.col("y") / 4.0).alias("lat"), (-130 + F.col("x") * 0.225).alias("lon"), F.lit(10.0).alias("depth"))
+    blocks = V.raster(spark, sf_dir).groupBy((F.floor(F.col("x") / 4)).alias("bx"), (F.floor(F.col("y") / 4)).alias("by")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    nodes = blocks.select((F.col("bx") * 100 + F.col("by")).alias("node"), (40 + F.col("y") / 4.0).alias("lat"), (-130 + F.col("x") * 0.225).alias("lon"), F.lit(10.0).alias("depth"))
     v1d = spark.createDataFrame([(0.0, 6.0, 3.5)], "depth double, vp double, vs double")
-    events, _ = associate.associate_picks(picks, s, nodes, v1d, 5, 1, 2, 1, 6.0, 150.0)
+    events, _ = associate.associate_picks(picks, s, nodes, v1d, 4, 1, 2, 1, 10.0, 250.0)
     return events.select("id", "node", *_r("time_s", "lat", "lon"), "picks")
 
 

@@ -241,7 +241,7 @@ def test_classes_and_grids(spark):
     ev = spark.createDataFrame([(1, 1.0, 1.0, 28.0), (2, 1.0, 1.0, 10.0), (3, 1.0, 1.0, 50.0), (4, 9.0, 9.0, 5.0), (5, 1.9, 1.9, 5.0)], "id int, lat double, lon double, depth double")
     vol = spark.createDataFrame([("V", 1.9, 1.9)], "name string, lat double, lon double")
     got = {r["id"]: r["event_class"] for r in classify.classify(ev, lattice(-20.0), lattice(3.0), vol, step=0.5).collect()}
-    assert got == {1: "megathrust", 2: "crustal", 3: "intraslab", 4: "oceanic", 5: "volcanic"}
+    assert got == {1: "megathrust?", 2: "crustal-fault", 3: "intraslab", 4: "oceanic", 5: "volcanic"}
 
 
 def test_signal(spark):
@@ -314,3 +314,35 @@ def test_pairs(spark):
     r = match.availability(inv).first()
     assert r["has_vertical"] and r["has_horizontal"] and r["has_hh"] and not r["has_eh"]
     assert match.new_rows(spark.range(5), spark.range(3), ["id"]).count() == 2
+
+
+def test_windows_and_norms_follow_the_formulas(spark):
+    df = spark.createDataFrame([(10.0, "P"), (100.0, "P"), (600.0, "P"), (10.0, "S"), (1500.0, "S")], "r double, ph string")
+    got = [tuple(x[0]) for x in df.select(signal.measure_window(F.col("r"), F.col("ph"))).collect()]
+    tsp = lambda r: r * (1 / 3.5 - 1 / 6)
+    want = [(0.3, max(min(1 + 0.03 * r, 15, 0.8 * max(tsp(r), 1.25)), 1)) if p == "P" else (0.3, min(2 + 0.06 * r, 60)) for r, p in df.collect()]
+    assert np.allclose(got, want)
+    z, e = np.sin(np.arange(40.0)), 2 * np.cos(np.arange(40.0)) + 1
+    t = spark.createDataFrame([(z.tolist(), e.tolist())], "z array<double>, e array<double>")
+    row = t.select(signal.normalized("z"), signal.normalized("z", "std", scale=signal.joint_deviation("z", "e"))).first()
+    ramp = 0.5 * (1 + np.cos(np.linspace(np.pi, 2 * np.pi, 6)))
+    edge = np.concatenate([ramp, np.ones(28), ramp[::-1]])
+    both = np.stack([z - z.mean(), e - e.mean()])
+    assert np.allclose(row[0], both[0] / np.abs(both[0]).max() * edge) and np.allclose(row[1], (both[0] / both.std() + 1e-10) * edge)
+
+
+def test_nearest_k_against_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    place = lambda n: [(i, float(a), float(o)) for i, (a, o) in enumerate(zip(rng.uniform(-80, 80, n), rng.uniform(-180, 180, n)))]
+    p, s = place(60), place(40)
+    points, named = spark.createDataFrame([*p, (99, None, 1.0)], "id long, lat double, lon double"), spark.createDataFrame([*s, (40, s[3][1], s[3][2])], "sta long, lat double, lon double")
+    s = [*s, (40, s[3][1], s[3][2])]
+    hav = lambda a, b, c, d: 2 * 6371.0 * np.arcsin(np.sqrt(min(1.0, np.sin(np.radians(c - a) / 2) ** 2 + np.cos(np.radians(a)) * np.cos(np.radians(c)) * np.sin(np.radians(d - b) / 2) ** 2)))
+    flat = lambda a, b, c, d, at: np.hypot((c - a) * 111.0, (d - b) * 111.0 * np.cos(np.radians(at)))
+    for metric, f in (("sphere", lambda a, b, c, d: hav(a, b, c, d)), ("flat", lambda a, b, c, d: flat(a, b, c, d, a)), ("flat_named", lambda a, b, c, d: flat(a, b, c, d, c))):
+        got = {(r["id"], r["rank"]): (r["sta"], r["km"]) for r in match.nearest_k(points, named, 3, "sta", metric=metric).collect()}
+        assert len(got) == 180
+        for i, a, o in p:
+            want = sorted((f(a, o, c, d), j) for j, c, d in s)[:3]
+            assert all(abs(got[(i, k + 1)][1] - want[k][0]) < 1e-6 for k in range(3))
+    assert match.nearest_k(points, named.limit(0), 3, "sta").count() == 0 and match.nearest_k(points.limit(0), named, 3, "sta").count() == 0
