@@ -90,17 +90,19 @@ class Library:
         out: list[bytes] = [b""] * len(cuts)
         for i, ids in zip(apart.tolist(), self._encoded(cuts.take(pa.array(apart)).to_pylist()), strict=True):
             out[i] = packed(ids)
+        if not len(rest):
+            return out
         some = cuts.take(pa.array(rest))
         sizes = pc.binary_length(some).to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(sizes)
-        data = memoryview(some.buffers()[2]) if len(rest) else b""  # what was taken lies in a row from 0
+        data = memoryview(some.buffers()[2])  # what was taken lies in a row from 0
         edges = [0, *ends[self.joined - 1 :: self.joined].tolist()]
         edges += [int(ends[-1])] * (len(ends) % self.joined > 0)
         whole = self._encoded([str(data[a:b], "utf-8") for a, b in pairwise(edges)])
         ids = np.array(list(chain.from_iterable(whole)), dtype="<u4")
         reached = np.cumsum(self.length[ids])
         stop = np.searchsorted(reached, ends) + 1
-        if len(ends) and not (reached[np.minimum(stop, len(reached)) - 1] == ends).all():
+        if not (reached[np.minimum(stop, len(reached)) - 1] == ends).all():
             raise ValueError("tokens cross a cut")
         raw, first = ids.tobytes(), 0
         for i, last in zip(rest.tolist(), (4 * stop).tolist(), strict=True):
