@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -35,6 +35,8 @@ WINDOW = 20
 #: Labelled documents that are fitted on at most (in expectation; a hash of the id picks them), landmarks, and words of either class.
 TRAIN_DOCUMENTS, LANDMARKS, TRAIN_WORDS = 3000, 256, 6_000
 WORD = re.compile(r"\w+")
+#: Rows of a matrix that training works on at once: the driver's memory is bounded by it.
+BLOCK = 256
 #: Where a sentence ends.
 SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 #: Single characters set apart by single others, as in "i d i o t" or "i.d.i.o.t".
@@ -126,14 +128,19 @@ def _triples(word: str) -> set[int]:
 
 def _squared_hinge(x: np.ndarray, y: np.ndarray, share: np.ndarray, cost: float = 2000.0, rounds: int = 25) -> np.ndarray:
     """Weights (the last is the bias) of the L2 machine by Newton steps; ``share``: weight of each row."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    ridge = np.eye(x.shape[1])
+    size = x.shape[1] + 1
+    w = np.zeros(size)
+    ridge = np.eye(size)
     ridge[-1, -1] = 1e-3
     for _ in range(rounds):
-        inside = y * (x @ w) < 1
-        a = x[inside] * (cost * share[inside])[:, None]
-        new = np.linalg.solve(ridge + a.T @ x[inside], a.T @ y[inside])
+        left, right = ridge.copy(), np.zeros(size)
+        for at in range(0, len(x), BLOCK):
+            rows = np.column_stack([x[at : at + BLOCK], np.ones(len(x[at : at + BLOCK]))])
+            inside = y[at : at + BLOCK] * (rows @ w) < 1
+            rows, a = rows[inside], rows[inside] * (cost * share[at : at + BLOCK][inside])[:, None]
+            left += a.T @ rows
+            right += a.T @ y[at : at + BLOCK][inside]
+        new = np.linalg.solve(left, right)
         if np.abs(new - w).max() < 1e-7:
             break
         w = new
@@ -144,8 +151,8 @@ def _backing(x: np.ndarray, counts: np.ndarray, alike: float = 0.7) -> np.ndarra
     """Weights of the witnesses, the first rows of ``x``: how many documents' witnesses are like each, for one and the clean words (the other rows) that are."""
     unit = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)).astype(np.float32)
     n, out = len(counts), []
-    for at in range(0, n, 500):
-        near = unit[at : min(at + 500, n)] @ unit.T >= alike
+    for at in range(0, n, BLOCK):
+        near = unit[at : min(at + BLOCK, n)] @ unit.T >= alike
         out.append((near[:, :n] @ counts - 1) / (1 + near[:, n:].sum(1)))
     return np.log1p(np.maximum(np.concatenate(out), 0)) + 0.1
 
@@ -166,8 +173,8 @@ def _logistic(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def fit(documents: list[list[set[str]]], labels: list[int], landmarks: int = LANDMARKS, rounds: int = 3) -> Model:
-    """Fit on the sentences (sets of words) of labelled documents. With one class only, every score is that class's share, smoothed."""
+def fit(documents: list[list[Collection[str]]], labels: list[int], landmarks: int = LANDMARKS, rounds: int = 3) -> Model:
+    """Fit on the sentences (distinct words) of labelled documents. With one class only, every score is that class's share, smoothed."""
     y = np.array(labels)
     none = Model(np.zeros(CODES**3, np.float32), 0.0, 0.0, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5 + 1))), 0.0)
     toxic, clean = [d for d, l in zip(documents, labels, strict=True) if l == 1 and d], [d for d, l in zip(documents, labels, strict=True) if l == 0 and d]
@@ -178,11 +185,11 @@ def fit(documents: list[list[set[str]]], labels: list[int], landmarks: int = LAN
     every = sorted(set().union(*(s for d in documents for s in d)))
     memo: dict[str, np.ndarray] = {}
     for places, code in by_length(every):
-        i, j, k = np.array(_subsequences(code.shape[1])).T
-        own = ((code[:, i] * CODES + code[:, j]) * CODES + code[:, k]).astype(np.int32)
+        code, (i, j, k) = code.astype(np.int32), np.array(_subsequences(code.shape[1])).T
+        own = ((code[:, i] * CODES + code[:, j]) * CODES + code[:, k])
         memo.update(zip([every[p] for p in places.tolist()], own, strict=True))
 
-    def with_triple(docs: list[list[set[str]]], but: set[str]) -> np.ndarray:
+    def with_triple(docs: list[list[Collection[str]]], but: set[str]) -> np.ndarray:
         """In how many documents each subsequence is."""
         out = np.zeros(CODES**3)
         for d in docs:
@@ -195,7 +202,7 @@ def fit(documents: list[list[set[str]]], labels: list[int], landmarks: int = LAN
     a, b = len(toxic), len(clean)
     odds = in_toxic / a * np.log(((in_toxic + 0.5) / (a + 1)) / ((in_clean + 0.5) / (b + 1)))
 
-    def top(d: list[set[str]], score: dict) -> list[str]:
+    def top(d: list[Collection[str]], score: dict) -> list[str]:
         """The highest words of the highest sentence."""
         ranked = [sorted((w for w in s if w not in seen), key=lambda w: (score[w], w), reverse=True)[:3] for s in d]
         return max((r for r in ranked if r), key=lambda r: (score[r[0]], r[0]), default=[])
@@ -221,7 +228,7 @@ def fit(documents: list[list[set[str]]], labels: list[int], landmarks: int = LAN
         whiten = vectors[:, keep] / np.sqrt(values[keep])
         fold = z.T @ whiten
         words = positive + background
-        x = np.vstack([_features(words[i : i + 2000], index) @ fold for i in range(0, len(words), 2000)])
+        x = np.vstack([_features(words[i : i + BLOCK], index) @ fold for i in range(0, len(words), BLOCK)])
         sign = np.array([1.0] * len(positive) + [-1.0] * len(background))
         counts = np.array([picked[w] for w in positive], float) * _backing(x, np.array([picked[w] for w in positive], float))
         share = np.concatenate([0.5 * counts / counts.sum(), np.full(len(background), 0.5 / max(1, len(background)))])
@@ -251,7 +258,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = known.where(hashed_share(F.col("k"), sampling_rate(known, most))).dropDuplicates(["k"]).limit(2 * most)  # bounded, so it is broadcast
     rows = docs.join(F.broadcast(picked), docs[id_col] == picked.k).select(text_or_empty(docs[text_col]).alias("t"), picked.y.alias("label")).toPandas()
     rows = rows.sort_values(["t", "label"], ignore_index=True)
-    return fit([sentences_of(t) for t in rows["t"]], rows["label"].tolist())
+    once: dict[str, str] = {}  # one object for all places of a word
+    return fit([[tuple(once.setdefault(w, w) for w in s) for s in sentences_of(t)] for t in rows["t"]], rows["label"].tolist())
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
