@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, idfile, pii, sharding, simhash, syncmers, toxicity, urlfilter
+from . import bpe, chat, decontamination, idfile, pii, sharding, simhash, syncmers, toxicity, urlfilter, vec_queries
 from .common import materialize, new_path, small_batches, table, text_or_empty
 
 
@@ -95,12 +95,12 @@ def op10_idfile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_urlfilter, op3_decontamination, op4_sharding, op5_syncmers, op6_toxicity, op7_bpe, op8_chat, op9_pii, op10_idfile)}
+    return {f.__name__: f for f in (op1_simhash, op2_urlfilter, op3_decontamination, op4_sharding, op5_syncmers, op6_toxicity, op7_bpe, op8_chat, op9_pii, op10_idfile, vec_queries.op11_veccodes)}
 
 
 #: DuckDB's SQL for the queries that SQL can express.
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": SHARDING_SQL, "op8_chat": CHAT_SQL}
+    return {"op4_sharding": SHARDING_SQL, "op8_chat": CHAT_SQL, "op11_veccodes": vec_queries.VECCODES_SQL}
 
 
 CHAT_SQL = """
