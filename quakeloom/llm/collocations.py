@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .vocabulary import numbered, places, summed, written
 
 WINDOW = 4
 #: One window in so many triggers.
@@ -28,17 +28,13 @@ PERIOD = 16
 #: Words of a block, and distinct chunks of a task before its counts are passed on.
 BLOCK_WORDS = 1 << 21
 TASK_CHUNKS = 200_000
+#: Frequent pairs that are sent to every task (16 MB); beyond, each block gets its own.
+MOST_PAIRS = 2_000_000
 #: Lower case of A-Z; punctuation and line ends part pieces.
 _TABLE = bytes(10 if c in b".,;:!?\x0a\x0b\x0c\x0d" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def pieces(text: bytes) -> list[list[bytes]]:
     """The words of each piece of a text."""
     return [w for line in text.translate(_TABLE).split(b"\n") if (w := line.split())]
@@ -117,60 +113,19 @@ def parse(docs: DataFrame, text: str = "text", lang: str = "lang", period: int =
     return parts.groupBy("lang", "chunk", "closed").agg(F.sum("n").alias("n"))
 
 
-class Block:
-    """Distinct chunks of one language as codes of a dictionary. ``codes``: words, with -1 after each chunk; ``weights``: of phrases that start at a place."""
-
-    def __init__(self, codes: np.ndarray, weights: np.ndarray):
-        self.codes, self.weights = codes, weights
-
-    @classmethod
-    def of(cls, chunks: list[bytes], closed: list[bool], n: list[int]) -> tuple[Block, list[bytes]]:
-        number = defaultdict()
-        number.default_factory = number.__len__
-        codes, weights = [], []
-        for chunk, last, times in zip(chunks, closed, n, strict=True):
-            words = chunk.split(b" ")
-            codes += map(number.__getitem__, words)
-            codes.append(-1)
-            owned = len(words) if last else len(words) - WINDOW
-            weights += [times] * owned
-            weights += [0] * (len(words) - owned + 1)
-        return cls(np.array(codes, dtype=np.int32), np.array(weights, dtype=np.int64)), list(number)
-
-    def totals(self, ids: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-        """Weights summed by id, in whole numbers."""
-        order = np.argsort(ids, kind="stable")
-        sums = np.concatenate([[0], np.cumsum(self.weights[starts][order])])
-        upto = np.searchsorted(ids[order], np.arange(size + 1))
-        return sums[upto[1:]] - sums[upto[:-1]]
-
-    def words(self, size: int) -> np.ndarray:
-        at = np.flatnonzero(self.codes >= 0)
-        return self.totals(self.codes[at], at, size)
-
-    def pairs(self, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places where a pair of frequent words starts, and the pairs as numbers; ``frequent`` is True for such codes, its last place is for -1."""
-        ok = frequent[self.codes]
-        at = np.flatnonzero(ok[:-1] & ok[1:])
-        return at, self.codes[at].astype(np.int64) * len(frequent) + self.codes[at + 1]
-
-    def longer(self, at: np.ndarray, pairs: np.ndarray, kept: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(words, first places, sums) of all phrases of 3 to ``most`` words whose pairs are all ``kept``, with a sum over 0."""
-        good = at[np.isin(pairs, kept)]
-        ids = np.full(len(self.codes), -1, dtype=np.int64)
-        ids[good] = np.searchsorted(kept, pairs[np.isin(pairs, kept)])
-        pair, size = ids.copy(), len(kept)
-        for m in range(3, most + 1):
-            ahead = np.full(len(ids), -1, dtype=np.int64)
-            ahead[: len(ids) - (m - 2)] = pair[m - 2 :]
-            places = np.flatnonzero((ids >= 0) & (ahead >= 0))
-            if not len(places):
-                return
-            keys, first, back = np.unique(ids[places] * size + ahead[places], return_index=True, return_inverse=True)
-            ids = np.full(len(ids), -1, dtype=np.int64)
-            ids[places] = back.ravel()
-            sums = self.totals(back.ravel(), places, len(keys))
-            yield m, places[first][sums > 0], sums[sums > 0]
+def _cut(chunks: list[bytes], closed: list[bool], n: list[int]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Chunks as codes of a dictionary with -1 after each, the weights of phrases that start at a place, and the dictionary."""
+    number = defaultdict()
+    number.default_factory = number.__len__
+    number[b"\n"] = 0  # after each chunk; no word has a line end
+    tokens = (b" \n ".join(chunks) + b" \n").split(b" ")
+    codes = np.fromiter(map(number.__getitem__, tokens), dtype=np.int32, count=len(tokens)) - 1
+    ends = np.flatnonzero(codes < 0)
+    sizes = np.diff(ends, prepend=-1)
+    inside = np.arange(len(codes)) - np.repeat(ends - sizes + 1, sizes)
+    owned = sizes - 1 - np.where(closed, 0, WINDOW)
+    weights = np.where(inside < np.repeat(owned, sizes), np.repeat(np.array(n, dtype=np.int64), sizes), 0)
+    return codes, weights, list(number)[1:]
 
 
 def _blocks(chunks: DataFrame) -> DataFrame:
@@ -182,12 +137,13 @@ def _blocks(chunks: DataFrame) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             nonlocal number
             for lang, (c, last, n) in held.items():
-                block, words = Block.of(c, last, n)
-                sums = block.words(len(words))
+                codes, weights, words = _cut(c, last, n)
+                at = np.flatnonzero(codes >= 0)
+                sums = summed(codes[at], weights[at], len(words))
                 k = len(words)
                 cols = [
                     pa.array([number] * (k + 1), pa.int64()), pa.array([lang] * (k + 1), pa.string()), pa.array([*range(k), None], pa.int32()), pa.array([*words, None], pa.binary()), pa.array([*sums.tolist(), None], pa.int64()),
-                    pa.array([None] * k + [block.codes.tobytes()], pa.binary()), pa.array([None] * k + [block.weights.tobytes()], pa.binary()),
+                    pa.array([None] * k + [codes.tobytes()], pa.binary()), pa.array([None] * k + [weights.tobytes()], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=["block", "lang", "code", "word", "n", "codes", "weights"])
                 number += 1
@@ -204,66 +160,116 @@ def _blocks(chunks: DataFrame) -> DataFrame:
         yield from out()
 
     rows = chunks.select("lang", "chunk", "closed", "n")
-    return _written(rows.mapInArrow(cut, "block long, lang string, code int, word binary, n long, codes binary, weights binary"), "blocks")
-
+    return written(rows.mapInArrow(cut, "block long, lang string, code int, word binary, n long, codes binary, weights binary"), "blocks")
 
-def _opened(blocks: pa.Table, words: pa.Table) -> tuple[Block, list[bytes | None], np.ndarray, str]:
-    """A block with the words that are frequent: by code, and a mask that is False for all others and for -1."""
-    block = Block(np.frombuffer(blocks.column("codes")[0].as_py(), np.int32), np.frombuffer(blocks.column("weights")[0].as_py(), np.int64))
-    codes = words.column("code").to_numpy()
-    frequent = np.zeros(int(block.codes.max(initial=0)) + 2, dtype=bool)
-    frequent[codes] = True
-    name = dict(zip(codes.tolist(), words.column("word").to_pylist(), strict=True))
-    return block, name, frequent, blocks.column("lang")[0].as_py()
 
-
-def _of_pairs(blocks: pa.Table, words: pa.Table) -> pa.Table:
-    none = pa.table({"block": pa.array([], pa.int64()), "pair": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "phrase": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})
+def _reduced(blocks: pa.Table, words: pa.Table) -> pa.Table:
+    """A block as numbers of frequent words in runs of two and more, with -1 in place of all between."""
+    none = pa.table({"block": pa.array([], pa.int64()), "ids": pa.array([], pa.binary()), "weights": pa.array([], pa.binary())})
     if not blocks.num_rows or not words.num_rows:
         return none
-    block, name, frequent, lang = _opened(blocks, words)
-    at, pairs = block.pairs(frequent)
-    keys, back = np.unique(pairs, return_inverse=True)
-    sums = block.totals(back.ravel(), at, len(keys))
-    phrases = [name[a] + b" " + name[b] for a, b in zip((keys // len(frequent)).tolist(), (keys % len(frequent)).tolist(), strict=True)]
-    k = len(keys)
-    return pa.table({"block": pa.array([blocks.column("block")[0].as_py()] * k, pa.int64()), "pair": pa.array(keys, pa.int64()), "lang": pa.array([lang] * k, pa.string()), "phrase": pa.array(phrases, pa.binary()), "n": pa.array(sums, pa.int64())})
-
-
-def _of_longer(blocks: pa.Table, found: pa.Table, most: int) -> pa.Table:
-    lang, phrases, n = None, [], []
-    if blocks.num_rows and found.num_rows:
-        words, kept = found.filter(found.column("word").is_valid()), found.column("pair").drop_null().to_numpy()
-        block, name, frequent, lang = _opened(blocks, words)
-        at, pairs = block.pairs(frequent)
-        for m, places, sums in block.longer(at, pairs, np.sort(kept), most):
-            phrases += [b" ".join([name[c] for c in block.codes[i : i + m].tolist()]) for i in places.tolist()]
-            n += sums.tolist()
-    return pa.table({"lang": pa.array([lang] * len(n), pa.string()), "phrase": pa.array(phrases, pa.binary()), "n": pa.array(n, pa.int64())})
+    codes, weights = (np.frombuffer(blocks.column(c)[0].as_py(), t) for c, t in (("codes", np.int32), ("weights", np.int64)))
+    of = np.full(int(codes.max()) + 2, -1, dtype=np.int32)  # its last place is for the code -1
+    of[words.column("code").to_numpy()] = words.column("id").to_numpy()
+    ids = of[codes]
+    known = ids >= 0
+    before, after = np.r_[False, known[:-1]], np.r_[known[1:], False]
+    run = known & (before | after)
+    stay = run | np.r_[False, run[:-1]]  # one -1 after each run
+    return pa.table({"block": blocks.column("block"), "ids": pa.array([np.where(run, ids, -1)[stay].astype(np.int32).tobytes()], pa.binary()), "weights": pa.array([weights[stay].tobytes()], pa.binary())})
+
+
+def _opened(ids: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, weights, places where a pair starts, pairs as numbers)."""
+    ids, weights = np.frombuffer(ids, np.int32), np.frombuffer(weights, np.int64)
+    at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
+    return ids, weights, at, ids[at].astype(np.int64) << 32 | ids[at + 1]
+
+
+def _longer(ids: bytes, weights: bytes, kept: np.ndarray, most: int) -> tuple[list, list]:
+    """All phrases of 3 to ``most`` words whose pairs are all in ``kept``, as lists of numbers, and their sums."""
+    ids, weights, at, pairs = _opened(ids, weights)
+    pair = np.full(len(ids), -1, dtype=np.int64)
+    pair[at] = places(kept, pairs)
+    own, phrases, n = pair, [], []
+    for m in range(3, most + 1):
+        ahead = np.full(len(ids), -1, dtype=np.int64)
+        ahead[: len(ids) - (m - 2)] = pair[m - 2 :]
+        starts = np.flatnonzero((own >= 0) & (ahead >= 0))
+        if not len(starts):
+            break
+        keys, first, back = np.unique(own[starts] * len(kept) + ahead[starts], return_index=True, return_inverse=True)
+        own = np.full(len(ids), -1, dtype=np.int64)
+        own[starts] = back.ravel()
+        sums = summed(back.ravel(), weights[starts], len(keys))
+        there = starts[first][sums > 0]
+        phrases += np.stack([ids[there + k] for k in range(m)], axis=1).tolist()
+        n += sums[sums > 0].tolist()
+    return phrases, n
+
+
+def _pairs(with_block: bool):
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, ids, weights in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                _, weights, at, own = _opened(ids, weights)
+                keys, back = np.unique(own, return_inverse=True)
+                sums = summed(back.ravel(), weights[at], len(keys))
+                if not with_block:
+                    keys, sums = keys[sums > 0], sums[sums > 0]
+                cols = [pa.array(keys, pa.int64()), pa.array(sums, pa.int64())] + ([pa.array(np.full(len(keys), block))] if with_block else [])
+                yield pa.RecordBatch.from_arrays(cols, names=["pair", "n"] + ["block"] * with_block)
+
+    return pairs
+
+
+def _long_phrases(reduced: DataFrame, doubles: DataFrame, most: int) -> DataFrame:
+    """``ids, f`` of phrases of 3 and more words, summed over blocks. Few frequent pairs are sent to every task, many to the blocks that hold them."""
+    spark, schema = reduced.sparkSession, "ids array<int>, n long"
+    if doubles.limit(MOST_PAIRS + 1).count() <= MOST_PAIRS:
+        kept = spark.sparkContext.broadcast(np.sort(doubles.select("pair").toArrow().column("pair").to_numpy()))
+
+        def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for ids, weights in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    phrases, n = _longer(ids, weights, kept.value, most)
+                    yield pa.RecordBatch.from_arrays([pa.array(phrases, pa.list_(pa.int32())), pa.array(n, pa.int64())], names=["ids", "n"])
+
+        rows = reduced.mapInArrow(longer, schema)
+    else:
+        own = reduced.mapInArrow(_pairs(True), "pair long, n long, block long").join(doubles.select("pair"), "pair").select(F.col("block").alias("of"), "pair")
+
+        def within(blocks: pa.Table, own: pa.Table) -> pa.Table:
+            phrases, n = [], []
+            if blocks.num_rows and own.num_rows:
+                phrases, n = _longer(blocks.column("ids")[0].as_py(), blocks.column("weights")[0].as_py(), np.sort(own.column("pair").to_numpy()), most)
+            return pa.table({"ids": pa.array(phrases, pa.list_(pa.int32())), "n": pa.array(n, pa.int64())})
+
+        rows = reduced.groupBy("block").cogroup(own.groupBy("of")).applyInArrow(within, schema)
+    return rows.groupBy("ids").agg(F.sum("n").alias("f"))
 
 
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, most: int = 5) -> tuple[DataFrame, DataFrame]:
     """(phrases, totals): ``lang, phrase, f`` of all phrases of 1 to ``most`` words that occur ``least`` times in their language,
-    and ``lang, n``, the words of each language. Phrases are binary, their words joined by a space.
+    and ``lang, n``, the words of each language. Phrases are their words joined by a space.
     """
     if not 2 <= most <= WINDOW + 1:
         raise ValueError(f"phrases have 2 to {WINDOW + 1} words")
-    parts = _blocks(_written(parse(docs, text, lang), "chunks"))
-    blocks, words = parts.where("codes is not null").select("block", "lang", "codes", "weights"), parts.where("word is not null").select("block", "lang", "code", "word", "n")
-    sums = _written(words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where("f > 0"), "words")
+    parts = _blocks(written(parse(docs, text, lang), "chunks"))
+    blocks, words = parts.where("codes is not null").select("block", "codes", "weights"), parts.where("word is not null").select(F.col("block").alias("of"), "lang", "code", "word", "n")
+    sums = written(words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where("f > 0"), "words")
     totals = sums.groupBy("lang").agg(F.sum("f").alias("n"))
-    singles = sums.where(F.col("f") >= least)
-    own = _written(words.drop("n").join(singles.drop("f"), ["lang", "word"]).select("block", "code", "word"), "frequent")
-    pairs_of = blocks.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(_of_pairs, "block long, pair long, lang string, phrase binary, n long")
-    pairs = _written(pairs_of, "pairs")
-    doubles = _written(pairs.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "doubles")
-    out = singles.select("lang", F.col("word").alias("phrase"), "f").unionByName(doubles)
+    singles = written(numbered(sums.where(F.col("f") >= least), "frequent"), "frequent")
+    own = words.join(singles.select("lang", "word", "id"), ["lang", "word"]).select("of", "code", "id")
+    reduced = written(blocks.groupBy("block").cogroup(own.groupBy("of")).applyInArrow(_reduced, "block long, ids binary, weights binary"), "reduced")
+    doubles = written(reduced.mapInArrow(_pairs(False), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "doubles")
+    found = doubles.select(F.array(F.shiftright("pair", 32).cast("int"), F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("ids"), "f")
     if most > 2:
-        kept = pairs.join(doubles.drop("f"), ["lang", "phrase"]).select("block", "pair")
-        found = own.select("block", "code", "word", F.lit(None).cast("long").alias("pair")).unionByName(kept.select("block", F.lit(None).cast("int").alias("code"), F.lit(None).cast("binary").alias("word"), "pair"))
-        rows = blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(lambda b, f: _of_longer(b, f, most), "lang string, phrase binary, n long")
-        out = out.unionByName(rows.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
-    return out, totals
+        found = found.unionByName(_long_phrases(reduced, doubles, most).where(F.col("f") >= least))
+    spelled = found.select("ids", "f", F.posexplode("ids").alias("at", "id")).join(singles.select("id", "lang", "word"), "id")
+    spelled = spelled.groupBy("ids", "f").agg(F.min("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("at", F.col("word").cast("string").alias("word")))).alias("w"))
+    longer = spelled.select("lang", F.array_join(F.col("w.word"), " ").alias("phrase"), "f")
+    return singles.select("lang", F.col("word").cast("string").alias("phrase"), "f").unionByName(longer), totals
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, most: int = 5, top: int = 2000, share: int = 100) -> DataFrame:
@@ -275,7 +281,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     are not read. An empty table gives no rows.
     """
     phrases, totals = frequent_phrases(docs, text, lang, least, most)
-    phrases = _written(phrases.withColumn("phrase", F.col("phrase").cast("string")), "phrases")
+    phrases = written(phrases, "phrases")
     words = F.split("phrase", " ")
     big = lambda c: F.col(c).cast("decimal(19,0)")
     own = phrases.where(F.size(words) > 1).select("lang", "phrase", F.col("f").alias("a"), words.alias("w"))

@@ -55,8 +55,8 @@ def test_query_equals_sql_and_brute_force(spark, data):
     assert rows == plain([tuple(r) for r in spark.read.parquet(f"{data}/documents.parquet").select("lang", "text").collect()], 100)
 
 
-@pytest.mark.parametrize(("seed", "period", "share"), [(1, 2, 100), (2, 5, 60), (3, 16, 100)])
-def test_many_cuts_and_blocks_lose_nothing(spark, monkeypatch, seed, period, share):
+@pytest.mark.parametrize(("seed", "period", "share", "sent"), [(1, 2, 100, 2_000_000), (2, 5, 60, 0), (3, 16, 100, 3)])
+def test_many_cuts_and_blocks_lose_nothing(spark, monkeypatch, seed, period, share, sent):
     """Small blocks, chunks with many cuts, ties, hot lines, null and long texts, columns that the operator names itself."""
     rng = random.Random(seed)
     words = ["A", "b", "ça", "日本", "d", "\xa0e", "f\x00g", "H"]
@@ -66,6 +66,7 @@ def test_many_cuts_and_blocks_lose_nothing(spark, monkeypatch, seed, period, sha
     monkeypatch.setattr(collocations.Parser.__init__, "__defaults__", (period,))
     monkeypatch.setattr(collocations.parse, "__defaults__", ("text", "lang", period))
     monkeypatch.setattr(collocations, "BLOCK_WORDS", 50)
+    monkeypatch.setattr(collocations, "MOST_PAIRS", sent)  # with few of them blocks get their own pairs
     df = spark.createDataFrame([(a, b, "x", 1, True) for a, b in rows], "lang string, text string, chunk string, n int, closed boolean").repartition(4)
     got = collocations.collocations(df, least=4, top=30, share=share)
     assert sorted(map(tuple, got.collect())) == plain(rows, 4, top=30, share=share)
