@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, idfile, phrase_queries, pii, sharding, simhash, syncmers, toxicity, urlfilter, vec_queries
+from . import bpe, chat, decontamination, idfile, lm_queries, phrase_queries, pii, sharding, simhash, syncmers, toxicity, urlfilter, vec_queries
 from .common import materialize, new_path, small_batches, table, text_or_empty
 
 
@@ -95,7 +95,7 @@ def op10_idfile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_urlfilter, op3_decontamination, op4_sharding, op5_syncmers, op6_toxicity, op7_bpe, op8_chat, op9_pii, op10_idfile, vec_queries.op11_veccodes, phrase_queries.op13_collocations)}
+    return {f.__name__: f for f in (op1_simhash, op2_urlfilter, op3_decontamination, op4_sharding, op5_syncmers, op6_toxicity, op7_bpe, op8_chat, op9_pii, op10_idfile, vec_queries.op11_veccodes, lm_queries.op12_suffixtree, phrase_queries.op13_collocations)}
 
 
 #: DuckDB's SQL for the queries that SQL can express.
