@@ -26,7 +26,7 @@ WINDOW = 4
 #: One window in so many triggers.
 PERIOD = 16
 #: Words of a block, and distinct chunks of a task before its counts are passed on.
-BLOCK_WORDS = 1 << 21
+BLOCK_WORDS = 3 << 19
 TASK_CHUNKS = 200_000
 #: Frequent pairs that are sent to every task (16 MB); beyond, each block gets its own.
 MOST_PAIRS = 2_000_000
@@ -113,23 +113,27 @@ def parse(docs: DataFrame, text: str = "text", lang: str = "lang", period: int =
     return parts.groupBy("lang", "chunk", "closed").agg(F.sum("n").alias("n"))
 
 
-def _cut(chunks: list[bytes], closed: list[bool], n: list[int]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Chunks as codes of a dictionary with -1 after each, the weights of phrases that start at a place, and the dictionary."""
+def _cut(chunks: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """Chunks as codes of a dictionary with -1 after each, and the dictionary."""
     number = defaultdict()
     number.default_factory = number.__len__
     number[b"\n"] = 0  # after each chunk; no word has a line end
     tokens = (b" \n ".join(chunks) + b" \n").split(b" ")
     codes = np.fromiter(map(number.__getitem__, tokens), dtype=np.int32, count=len(tokens)) - 1
+    return codes, list(number)[1:]
+
+
+def _weights(codes: np.ndarray, closed: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How often the phrases that start at each place of the chunks are parsed; none in what belongs to the next chunk."""
     ends = np.flatnonzero(codes < 0)
     sizes = np.diff(ends, prepend=-1)
     inside = np.arange(len(codes)) - np.repeat(ends - sizes + 1, sizes)
     owned = sizes - 1 - np.where(closed, 0, WINDOW)
-    weights = np.where(inside < np.repeat(owned, sizes), np.repeat(np.array(n, dtype=np.int64), sizes), 0)
-    return codes, weights, list(number)[1:]
+    return np.where(inside < np.repeat(owned, sizes), np.repeat(n, sizes), 0)
 
 
 def _blocks(chunks: DataFrame) -> DataFrame:
-    """Rows of blocks (``codes``, ``weights``) and of their words (``code, word, n``), written once."""
+    """Rows of blocks (``codes``; ``closed, times`` of their chunks) and of their words (``code, word, n``), written once."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, number = defaultdict(lambda: ([], [], [])), 0, TaskContext.get().partitionId() << 24
@@ -137,15 +141,17 @@ def _blocks(chunks: DataFrame) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             nonlocal number
             for lang, (c, last, n) in held.items():
-                codes, weights, words = _cut(c, last, n)
+                closed, times = np.array(last, dtype=bool), np.array(n, dtype=np.int64)
+                codes, words = _cut(c)
+                c.clear()
                 at = np.flatnonzero(codes >= 0)
-                sums = summed(codes[at], weights[at], len(words))
+                sums = summed(codes[at], _weights(codes, closed, times)[at], len(words))
                 k = len(words)
                 cols = [
                     pa.array([number] * (k + 1), pa.int64()), pa.array([lang] * (k + 1), pa.string()), pa.array([*range(k), None], pa.int32()), pa.array([*words, None], pa.binary()), pa.array([*sums.tolist(), None], pa.int64()),
-                    pa.array([None] * k + [codes.tobytes()], pa.binary()), pa.array([None] * k + [weights.tobytes()], pa.binary()),
+                    *(pa.array([None] * k + [x.tobytes()], pa.binary()) for x in (codes, closed, times)),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, names=["block", "lang", "code", "word", "n", "codes", "weights"])
+                yield pa.RecordBatch.from_arrays(cols, names=["block", "lang", "code", "word", "n", "codes", "closed", "times"])
                 number += 1
             held.clear()
 
@@ -160,7 +166,7 @@ def _blocks(chunks: DataFrame) -> DataFrame:
         yield from out()
 
     rows = chunks.select("lang", "chunk", "closed", "n")
-    return written(rows.mapInArrow(cut, "block long, lang string, code int, word binary, n long, codes binary, weights binary"), "blocks")
+    return written(rows.mapInArrow(cut, "block long, lang string, code int, word binary, n long, codes binary, closed binary, times binary"), "blocks")
 
 
 def _reduced(blocks: pa.Table, words: pa.Table) -> pa.Table:
@@ -168,7 +174,7 @@ def _reduced(blocks: pa.Table, words: pa.Table) -> pa.Table:
     none = pa.table({"block": pa.array([], pa.int64()), "ids": pa.array([], pa.binary()), "weights": pa.array([], pa.binary())})
     if not blocks.num_rows or not words.num_rows:
         return none
-    codes, weights = (np.frombuffer(blocks.column(c)[0].as_py(), t) for c, t in (("codes", np.int32), ("weights", np.int64)))
+    codes, closed, times = (np.frombuffer(blocks.column(c)[0].as_buffer(), t) for c, t in (("codes", np.int32), ("closed", bool), ("times", np.int64)))
     of = np.full(int(codes.max()) + 2, -1, dtype=np.int32)  # its last place is for the code -1
     of[words.column("code").to_numpy()] = words.column("id").to_numpy()
     ids = of[codes]
@@ -176,17 +182,21 @@ def _reduced(blocks: pa.Table, words: pa.Table) -> pa.Table:
     before, after = np.r_[False, known[:-1]], np.r_[known[1:], False]
     run = known & (before | after)
     stay = run | np.r_[False, run[:-1]]  # one -1 after each run
-    return pa.table({"block": blocks.column("block"), "ids": pa.array([np.where(run, ids, -1)[stay].astype(np.int32).tobytes()], pa.binary()), "weights": pa.array([weights[stay].tobytes()], pa.binary())})
+    weights = _weights(codes, closed, times)[stay]
+    if not len(weights) or weights.max() < 2**31:
+        weights = weights.astype(np.int32)
+    return pa.table({"block": blocks.column("block"), "ids": pa.array([np.where(run, ids, -1)[stay].astype(np.int32).tobytes()], pa.binary()), "weights": pa.array([weights.tobytes()], pa.binary())})
 
 
-def _opened(ids: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _opened(ids: pa.Scalar, weights: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(ids, weights, places where a pair starts, pairs as numbers)."""
-    ids, weights = np.frombuffer(ids, np.int32), np.frombuffer(weights, np.int64)
+    ids, weights = np.frombuffer(ids.as_buffer(), np.int32), weights.as_buffer()
+    weights = np.frombuffer(weights, np.int32 if weights.size == ids.nbytes else np.int64).astype(np.int64)
     at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
     return ids, weights, at, ids[at].astype(np.int64) << 32 | ids[at + 1]
 
 
-def _longer(ids: bytes, weights: bytes, kept: np.ndarray, most: int) -> tuple[list, list]:
+def _longer(ids: pa.Scalar, weights: pa.Scalar, kept: np.ndarray, most: int) -> tuple[list, list]:
     """All phrases of 3 to ``most`` words whose pairs are all in ``kept``, as lists of numbers, and their sums."""
     ids, weights, at, pairs = _opened(ids, weights)
     pair = np.full(len(ids), -1, dtype=np.int64)
@@ -208,17 +218,56 @@ def _longer(ids: bytes, weights: bytes, kept: np.ndarray, most: int) -> tuple[li
     return phrases, n
 
 
-def _pairs(with_block: bool):
+def _slot(pairs: np.ndarray, slots: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((pairs.view(np.uint64) * _MIX[0]) >> np.uint64(20)).astype(np.int64) & (slots - 1)
+
+
+def _filter(reduced: DataFrame, least: int, slots: int) -> np.ndarray:
+    """A bit for each of so many slots: whether the pairs that fall into it occur ``least`` times together.
+
+    Counters stop at ``least``, so they are small; those of a task's blocks are added first. A pair whose slot is too low is not frequent.
+    """
+    kind = np.dtype(np.uint8 if least < 128 else np.uint32)
+    span = min(slots, 1 << 16)
+
+    def counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(slots, dtype=kind)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                _, weights, at, pairs = _opened(batch.column(1)[i], batch.column(2)[i])
+                slot, back = np.unique(_slot(pairs, slots), return_inverse=True)
+                total[slot] = np.minimum(least, summed(back.ravel(), weights[at], len(slot)) + total[slot])
+        parts = total.reshape(-1, span)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "counts"])
+
+    def added(parts: pa.Table) -> pa.Table:
+        total = np.zeros(span, dtype=np.int64)
+        for c in parts.column("counts"):
+            total += np.frombuffer(c.as_buffer(), dtype=kind)
+        return pa.table({"part": parts.column("part").slice(0, 1), "bits": pa.array([np.packbits(total >= least).tobytes()], pa.binary())})
+
+    rows = reduced.mapInArrow(counters, "part int, counts binary").groupBy("part").applyInArrow(added, "part int, bits binary").toArrow()
+    found = dict(zip(rows.column("part").to_pylist(), rows.column("bits").to_pylist(), strict=True))
+    none = bytes(-(-span // 8))
+    return np.concatenate([np.unpackbits(np.frombuffer(found.get(p, none), np.uint8))[:span] for p in range(slots // span)]).astype(bool)
+
+
+def _pairs(likely: np.ndarray | None):
+    """Pairs of a block and their sums; with ``likely`` only those in its slots, without it the block, too."""
+
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, ids, weights in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                _, weights, at, own = _opened(ids, weights)
+            for i in range(batch.num_rows):
+                _, weights, at, own = _opened(batch.column(1)[i], batch.column(2)[i])
+                if likely is not None:
+                    there = likely.value[_slot(own, len(likely.value))] & (weights[at] > 0)
+                    at, own = at[there], own[there]
                 keys, back = np.unique(own, return_inverse=True)
-                sums = summed(back.ravel(), weights[at], len(keys))
-                if not with_block:
-                    keys, sums = keys[sums > 0], sums[sums > 0]
-                cols = [pa.array(keys, pa.int64()), pa.array(sums, pa.int64())] + ([pa.array(np.full(len(keys), block))] if with_block else [])
-                yield pa.RecordBatch.from_arrays(cols, names=["pair", "n"] + ["block"] * with_block)
+                cols = [pa.array(keys, pa.int64()), pa.array(summed(back.ravel(), weights[at], len(keys)), pa.int64())]
+                if likely is None:
+                    cols.append(pa.array(np.full(len(keys), batch.column(0)[i].as_py()), pa.int64()))
+                yield pa.RecordBatch.from_arrays(cols, names=["pair", "n", "block"][: len(cols)])
 
     return pairs
 
@@ -231,18 +280,18 @@ def _long_phrases(reduced: DataFrame, doubles: DataFrame, most: int) -> DataFram
 
         def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for ids, weights in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    phrases, n = _longer(ids, weights, kept.value, most)
+                for i in range(batch.num_rows):
+                    phrases, n = _longer(batch.column(1)[i], batch.column(2)[i], kept.value, most)
                     yield pa.RecordBatch.from_arrays([pa.array(phrases, pa.list_(pa.int32())), pa.array(n, pa.int64())], names=["ids", "n"])
 
         rows = reduced.mapInArrow(longer, schema)
     else:
-        own = reduced.mapInArrow(_pairs(True), "pair long, n long, block long").join(doubles.select("pair"), "pair").select(F.col("block").alias("of"), "pair")
+        own = reduced.mapInArrow(_pairs(None), "pair long, n long, block long").join(doubles.select("pair"), "pair").select(F.col("block").alias("of"), "pair")
 
         def within(blocks: pa.Table, own: pa.Table) -> pa.Table:
             phrases, n = [], []
             if blocks.num_rows and own.num_rows:
-                phrases, n = _longer(blocks.column("ids")[0].as_py(), blocks.column("weights")[0].as_py(), np.sort(own.column("pair").to_numpy()), most)
+                phrases, n = _longer(blocks.column("ids")[0], blocks.column("weights")[0], np.sort(own.column("pair").to_numpy()), most)
             return pa.table({"ids": pa.array(phrases, pa.list_(pa.int32())), "n": pa.array(n, pa.int64())})
 
         rows = reduced.groupBy("block").cogroup(own.groupBy("of")).applyInArrow(within, schema)
@@ -251,18 +300,21 @@ def _long_phrases(reduced: DataFrame, doubles: DataFrame, most: int) -> DataFram
 
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, most: int = 5) -> tuple[DataFrame, DataFrame]:
     """(phrases, totals): ``lang, phrase, f`` of all phrases of 1 to ``most`` words that occur ``least`` times in their language,
-    and ``lang, n``, the words of each language. Phrases are their words joined by a space.
+    and ``lang, n``, the words of each language. Phrases are their words joined by a space. Pairs are counted only where hashed
+    counters of all pairs, which are never too low, leave it open whether they are frequent.
     """
     if not 2 <= most <= WINDOW + 1:
         raise ValueError(f"phrases have 2 to {WINDOW + 1} words")
     parts = _blocks(written(parse(docs, text, lang), "chunks"))
-    blocks, words = parts.where("codes is not null").select("block", "codes", "weights"), parts.where("word is not null").select(F.col("block").alias("of"), "lang", "code", "word", "n")
+    blocks, words = parts.where("codes is not null").select("block", "codes", "closed", "times"), parts.where("word is not null").select(F.col("block").alias("of"), "lang", "code", "word", "n")
     sums = written(words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where("f > 0"), "words")
     totals = sums.groupBy("lang").agg(F.sum("f").alias("n"))
     singles = written(numbered(sums.where(F.col("f") >= least), "frequent"), "frequent")
     own = words.join(singles.select("lang", "word", "id"), ["lang", "word"]).select("of", "code", "id")
     reduced = written(blocks.groupBy("block").cogroup(own.groupBy("of")).applyInArrow(_reduced, "block long, ids binary, weights binary"), "reduced")
-    doubles = written(reduced.mapInArrow(_pairs(False), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "doubles")
+    slots = 1 << min(26, max(16, ((totals.agg(F.sum("n")).first()[0] or 0) // 32).bit_length()))  # the filter has at most 8 MB
+    likely = docs.sparkSession.sparkContext.broadcast(_filter(reduced, least, slots))
+    doubles = written(reduced.mapInArrow(_pairs(likely), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "doubles")
     found = doubles.select(F.array(F.shiftright("pair", 32).cast("int"), F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("ids"), "f")
     if most > 2:
         found = found.unionByName(_long_phrases(reduced, doubles, most).where(F.col("f") >= least))
