@@ -20,7 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .vocabulary import numbered, places, summed, written
+from .common import discard
+from .vocabulary import likely_slots, numbered, places, slot, slots_for, summed, written
 
 WINDOW = 4
 #: One window in so many triggers.
@@ -218,39 +219,10 @@ def _longer(ids: pa.Scalar, weights: pa.Scalar, kept: np.ndarray, most: int) ->
     return phrases, n
 
 
-def _slot(pairs: np.ndarray, slots: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return ((pairs.view(np.uint64) * _MIX[0]) >> np.uint64(20)).astype(np.int64) & (slots - 1)
-
-
-def _filter(reduced: DataFrame, least: int, slots: int) -> np.ndarray:
-    """A bit for each of so many slots: whether the pairs that fall into it occur ``least`` times together.
-
-    Counters stop at ``least``, so they are small; those of a task's blocks are added first. A pair whose slot is too low is not frequent.
-    """
-    kind = np.dtype(np.uint8 if least < 128 else np.uint32)
-    span = min(slots, 1 << 16)
-
-    def counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(slots, dtype=kind)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                _, weights, at, pairs = _opened(batch.column(1)[i], batch.column(2)[i])
-                slot, back = np.unique(_slot(pairs, slots), return_inverse=True)
-                total[slot] = np.minimum(least, summed(back.ravel(), weights[at], len(slot)) + total[slot])
-        parts = total.reshape(-1, span)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "counts"])
-
-    def added(parts: pa.Table) -> pa.Table:
-        total = np.zeros(span, dtype=np.int64)
-        for c in parts.column("counts"):
-            total += np.frombuffer(c.as_buffer(), dtype=kind)
-        return pa.table({"part": parts.column("part").slice(0, 1), "bits": pa.array([np.packbits(total >= least).tobytes()], pa.binary())})
-
-    rows = reduced.mapInArrow(counters, "part int, counts binary").groupBy("part").applyInArrow(added, "part int, bits binary").toArrow()
-    found = dict(zip(rows.column("part").to_pylist(), rows.column("bits").to_pylist(), strict=True))
-    none = bytes(-(-span // 8))
-    return np.concatenate([np.unpackbits(np.frombuffer(found.get(p, none), np.uint8))[:span] for p in range(slots // span)]).astype(bool)
+def _keys(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for i in range(batch.num_rows):
+        _, weights, at, pairs = _opened(batch.column(1)[i], batch.column(2)[i])
+        yield pairs, weights[at]
 
 
 def _pairs(likely: np.ndarray | None):
@@ -261,7 +233,7 @@ def _pairs(likely: np.ndarray | None):
             for i in range(batch.num_rows):
                 _, weights, at, own = _opened(batch.column(1)[i], batch.column(2)[i])
                 if likely is not None:
-                    there = likely.value[_slot(own, len(likely.value))] & (weights[at] > 0)
+                    there = likely.value[slot(own, len(likely.value))] & (weights[at] > 0)
                     at, own = at[there], own[there]
                 keys, back = np.unique(own, return_inverse=True)
                 cols = [pa.array(keys, pa.int64()), pa.array(summed(back.ravel(), weights[at], len(keys)), pa.int64())]
@@ -305,15 +277,18 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     """
     if not 2 <= most <= WINDOW + 1:
         raise ValueError(f"phrases have 2 to {WINDOW + 1} words")
-    parts = _blocks(written(parse(docs, text, lang), "chunks"))
+    chunks = written(parse(docs, text, lang), "chunks")
+    parts = _blocks(chunks)
+    discard(chunks)
     blocks, words = parts.where("codes is not null").select("block", "codes", "closed", "times"), parts.where("word is not null").select(F.col("block").alias("of"), "lang", "code", "word", "n")
     sums = written(words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where("f > 0"), "words")
     totals = sums.groupBy("lang").agg(F.sum("f").alias("n"))
     singles = written(numbered(sums.where(F.col("f") >= least), "frequent"), "frequent")
     own = words.join(singles.select("lang", "word", "id"), ["lang", "word"]).select("of", "code", "id")
     reduced = written(blocks.groupBy("block").cogroup(own.groupBy("of")).applyInArrow(_reduced, "block long, ids binary, weights binary"), "reduced")
-    slots = 1 << min(26, max(16, ((totals.agg(F.sum("n")).first()[0] or 0) // 32).bit_length()))  # the filter has at most 8 MB
-    likely = docs.sparkSession.sparkContext.broadcast(_filter(reduced, least, slots))
+    discard(parts)
+    slots = slots_for(totals.agg(F.sum("n")).first()[0] or 0)
+    likely = docs.sparkSession.sparkContext.broadcast(likely_slots(reduced, _keys, least, slots))
     doubles = written(reduced.mapInArrow(_pairs(likely), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "doubles")
     found = doubles.select(F.array(F.shiftright("pair", 32).cast("int"), F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("ids"), "f")
     if most > 2:
