@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.geo import attenuation, haversine_km, hypocentral_km
 from ..functions.lineage import cut
+from .inversion import fit_magnitudes, invert_magnitudes  # noqa: F401  part of this module's interface
+from .stats import mad
 
 
 def amplitude_distance(picks_amp: DataFrame) -> DataFrame:
@@ -49,66 +50,11 @@ def kcore_prune(obs: DataFrame, min_sta: int = 8, min_ev: int = 3, station: str
 
 def reject_mad(obs: DataFrame, k: float = 4.0, column: str = "resid") -> DataFrame:
     """Rows whose residual is within k scaled MADs; all rows where that is zero or undefined."""
-    med = obs.agg(F.percentile(column, F.lit(0.5)).alias("_m"))
-    dev = obs.crossJoin(F.broadcast(med)).agg((1.4826 * F.percentile(F.abs(F.col(column) - F.col("_m")), F.lit(0.5))).alias("_mad"))
-    rows = obs.crossJoin(F.broadcast(dev))
+    dev = mad(obs, column).select(F.col("mad").alias("_mad"))
+    rows = obs.crossJoin(F.broadcast(dev))  # one row
     return rows.where(F.col("_mad").isNull() | F.isnan("_mad") | (F.col("_mad") <= 0) | (F.abs(column) <= k * F.col("_mad"))).drop("_mad")
 
 
-def invert_magnitudes(obs: DataFrame, damp: float = 1e-3, gauge_w: float = 1000.0, fix_n: float | None = None) -> tuple[DataFrame, DataFrame, dict[str, float]]:
-    """Events' magnitudes, station terms and attenuation from amplitudes by damped least squares.
-
-    The model is log10A = M_i + C_sp - n_p log10(r/100) - k_p r for event i, station and phase sp; station terms of a phase sum to
-    about zero. Event terms are eliminated by per-event sums, the reduced normal matrix of the station terms and slopes is a
-    grouped sum over pairs of terms within an event, and only it (its size is that of the station list) is solved on the driver.
-    ``fix_n`` holds n and moves its term to the data. ``obs``: event_id, station, phase, dist_hypo_km, log10A.
-    """
-    r = F.greatest(F.col("dist_hypo_km"), F.lit(0.001))
-    rows = obs.select("event_id", "station", "phase", (F.col("log10A") + (fix_n * F.log10(r / 100) if fix_n is not None else F.lit(0.0))).alias("y"), F.log10(r / 100).alias("g"), r.alias("r"))
-    key = F.concat_ws("|", F.lit("C"), "station", "phase")
-    slopes = [F.struct(F.concat_ws("|", F.lit("k"), "phase").alias("k"), (-F.col("r")).alias("v"))]
-    if fix_n is None:
-        slopes.append(F.struct(F.concat_ws("|", F.lit("n"), "phase").alias("k"), (-F.col("g")).alias("v")))
-    terms = rows.withColumn("x", F.array(F.struct(key.alias("k"), F.lit(1.0).alias("v")), *slopes))
-    terms = cut(terms)
-    events = terms.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("b"))
-    u = terms.select("event_id", F.explode("x").alias("x")).groupBy("event_id", "x.k").agg(F.sum("x.v").alias("v"))
-    d2 = damp * damp
-    # A'A of the other unknowns, and its right side, observation by observation.
-    own = terms.select("y", F.col("x").alias("x1"), F.explode("x").alias("a")).select("y", "a", F.explode("x1").alias("b"))
-    full = own.groupBy(F.col("a.k").alias("i"), F.col("b.k").alias("j")).agg(F.sum(F.col("a.v") * F.col("b.v")).alias("s"))
-    right = terms.select("y", F.explode("x").alias("a")).groupBy(F.col("a.k").alias("i")).agg(F.sum(F.col("a.v") * F.col("y")).alias("s"))
-    w = u.join(events, "event_id").withColumn("d", F.col("n") + d2)
-    pairs = w.select("event_id", F.col("k").alias("i"), F.col("v").alias("vi"), "d").join(w.select("event_id", F.col("k").alias("j"), F.col("v").alias("vj")), "event_id")
-    less = pairs.groupBy("i", "j").agg(F.sum(-F.col("vi") * F.col("vj") / F.col("d")).alias("s"))
-    right_less = w.groupBy(F.col("k").alias("i")).agg(F.sum(-F.col("v") * F.col("b") / F.col("d")).alias("s"))
-    s = full.unionByName(less).groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
-    b = right.unionByName(right_less).groupBy("i").agg(F.sum("s").alias("s")).collect()
-    names = sorted({x[0] for x in b})
-    at = {k: n for n, k in enumerate(names)}
-    a = np.zeros((len(names), len(names)))
-    for i, j, v in s:
-        a[at[i], at[j]] += v
-    a += d2 * np.eye(len(names))
-    for phase in {k.rsplit("|", 1)[1] for k in names if k.startswith("C|")}:
-        one = np.array([float(k.startswith("C|") and k.rsplit("|", 1)[1] == phase) for k in names])
-        a += gauge_w**2 * np.outer(one, one)
-    rhs = np.zeros(len(names))
-    for i, v in b:
-        rhs[at[i]] += v
-    c = np.linalg.solve(a, rhs) if names else np.zeros(0)
-    spark = obs.sparkSession
-    solved = spark.createDataFrame([(k, float(v)) for k, v in zip(names, c, strict=True)], "k string, c double")
-    used = u.join(F.broadcast(solved), "k").groupBy("event_id").agg(F.sum(F.col("v") * F.col("c")).alias("uc"))
-    mags = events.join(used, "event_id", "left").select("event_id", ((F.col("b") - F.coalesce("uc", F.lit(0.0))) / (F.col("n") + d2)).alias("M_rel"))
-    coeffs = {k: float(v) for k, v in zip(names, c, strict=True) if not k.startswith("C|")}
-    if fix_n is not None:
-        coeffs |= {f"n|{k.split('|')[1]}": fix_n for k in list(coeffs) if k.startswith("k|")}
-    counts = obs.groupBy("station", "phase").agg(F.count(F.lit(1)).alias("n_obs"))
-    station_terms = counts.join(F.broadcast(solved), F.concat_ws("|", F.lit("C"), "station", "phase") == F.col("k"), "left").select("station", "phase", F.col("c").alias("C"), "n_obs")
-    return mags, station_terms, coeffs
-
-
 def residuals(obs: DataFrame, mags: DataFrame, terms: DataFrame, coeffs: dict[str, float]) -> DataFrame:
     """``obs`` with each row's own magnitude ``m_sta`` and its residual."""
     loss = F.lit(None).cast("double")

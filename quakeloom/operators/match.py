@@ -7,11 +7,15 @@ in one bucket is dealt over cells.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import flat_km, haversine_km
 from ..functions.lineage import cut
+from . import cells
+from .intervals import availability_at, interval_join  # noqa: F401  part of this module's interface
 
 #: Rows of a table of named points or region nodes up to which it is broadcast.
 SMALL = 100_000
@@ -122,9 +126,21 @@ def asof_nearest(left: DataFrame, right: DataFrame, on: str, by: str | None = No
 
 
 def in_regions(points: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``points`` with ``region`` for each region that has a node circle (radius and buffer) around the point; distinct."""
-    n = small(nodes.select("region", F.col("lat").alias("_a"), F.col("lon").alias("_o"), (F.col("radius") + F.col("buffer_zone")).alias("_reach")))
-    return points.join(n, haversine_km("lat", "lon", "_a", "_o") <= F.col("_reach")).drop("_a", "_o", "_reach").distinct()
+    """``points`` with ``region`` for each region that has a node circle (radius and buffer) around the point; distinct.
+
+    Each circle is put under the cells of its size that it reaches into, a point under its cell of every size in use.
+    """
+    km = F.col("radius") + F.col("buffer_zone")
+    n = nodes.where(km.isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("region", F.col("lat").alias("_a"), F.col("lon").alias("_o"), km.alias("_reach")).where("_reach >= 0").distinct()
+    n = n.withColumn("_level", cells.level_of(F.col("_reach"))).withColumn("_c", F.explode(cells.cover(F.col("_level"), F.col("_a"), F.col("_o"), F.col("_reach"))))
+    n = n.select("region", "_a", "_o", "_reach", "_level", F.col("_c.y").alias("_y"), F.col("_c.x").alias("_x"))
+    levels = sorted(r[0] for r in n.select("_level").distinct().collect())  # at most 19
+    if not levels:
+        return points.where("false").withColumn("region", F.lit(None).cast(nodes.schema["region"].dataType))
+    p = points.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels])))
+    y, x = cells.cell(F.col("_level"), F.col("lat"), F.col("lon"))
+    near = p.withColumn("_y", y).withColumn("_x", x).join(n, ["_level", "_y", "_x"]).where(haversine_km("lat", "lon", "_a", "_o") <= F.col("_reach"))
+    return near.select(*points.columns, "region").distinct()
 
 
 def nearest_k(points: DataFrame, named: DataFrame, k: int, name: str, key: str = "id", metric: str = "flat") -> DataFrame:
@@ -179,22 +195,25 @@ def within_radius_counts(points: DataFrame, named: DataFrame, radius_km: float =
     return near.groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(top)
 
 
-def interval_join(rows: DataFrame, epochs: DataFrame, key: str, time: str) -> DataFrame:
-    """Each row with the epoch that holds its time, start included, end not; an open end never ends; of several the earliest."""
-    e = epochs.select(*[F.col(c).alias(c if c == key else f"epoch_{c}") for c in epochs.columns])
-    inside = (F.col("epoch_start_date") <= F.col(time)) & (F.col("epoch_end_date").isNull() | (F.col(time) < F.col("epoch_end_date")))
-    tagged = rows.withColumn("_l", F.monotonically_increasing_id())
-    hit = tagged.join(e, key).where(inside).withColumn("_r", F.row_number().over(Window.partitionBy("_l").orderBy("epoch_start_date", *[c for c in e.columns if c not in (key, "epoch_start_date")]))).where("_r = 1")
-    return tagged.join(hit.select("_l", *[c for c in e.columns if c != key]), "_l", "left").drop("_l")
-
-
 def event_pairs(events: DataFrame, deg: float = 0.1) -> DataFrame:
-    """``id_a, id_b`` of events within ``deg`` degrees in both coordinates, each pair once, from a grid of that cell size."""
-    a = events.select(F.col("id").alias("id_a"), F.col("lat").alias("la"), F.col("lon").alias("oa"))
-    a = a.withColumn("y", F.explode(_near(F.col("la"), deg))).withColumn("x", F.explode(_near(F.col("oa"), deg)))
-    b = events.select(F.col("id").alias("id_b"), F.col("lat").alias("lb"), F.col("lon").alias("ob"), F.floor(F.col("lat") / deg).alias("y"), F.floor(F.col("lon") / deg).alias("x"))
-    near = (F.col("id_a") < F.col("id_b")) & (F.abs(F.col("la") - F.col("lb")) <= deg) & (F.abs(F.col("oa") - F.col("ob")) <= deg)
-    return a.join(b, ["x", "y"]).where(near).select("id_a", "id_b")
+    """``id_a, id_b`` of events within ``deg`` degrees in both coordinates, over the date line, too; each pair once.
+
+    Cells are of that size. A cell's events meet each other and those of four of the eight cells around it; the other four meet it.
+    """
+    size = deg * (1 + 1e-9)
+    n = max(1, math.floor(360 / size))
+    wide = 360 / n
+    e = events.where("lat is not null and lon is not null").select("id", "lat", "lon")
+    e = e.withColumn("y", F.floor(F.col("lat") / size)).withColumn("x", F.least(F.lit(n - 1), F.floor(F.pmod(F.col("lon"), F.lit(360.0)) / wide)))
+    around = sorted({(0, 0), (0, 1 % n), (1, -1 % n), (1, 0), (1, 1 % n)})
+    a = e.select(F.col("id").alias("ia"), F.col("lat").alias("la"), F.col("lon").alias("oa"), "y", "x", F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in around])).alias("d"))
+    a = a.select("ia", "la", "oa", (F.col("d.dy") + F.col("y")).alias("y"), F.pmod(F.col("x") + F.col("d.dx"), F.lit(n)).alias("x"), ((F.col("d.dy") == 0) & (F.col("d.dx") == 0)).alias("own"))
+    b = e.select(F.col("id").alias("ib"), F.col("lat").alias("lb"), F.col("lon").alias("ob"), "y", "x")
+    gap = F.abs(F.col("oa") - F.col("ob"))
+    near = (F.abs(F.col("la") - F.col("lb")) <= deg) & ((gap <= deg) | (360 - gap <= deg))
+    once = F.when(F.col("own"), F.col("ia") < F.col("ib")).otherwise(F.col("ia") != F.col("ib"))
+    pairs = a.join(b, ["y", "x"]).where(near & once).select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))
+    return pairs if n > 2 else pairs.distinct()
 
 
 def pair_times(pairs: DataFrame, picks: DataFrame) -> DataFrame:
@@ -205,15 +224,31 @@ def pair_times(pairs: DataFrame, picks: DataFrame) -> DataFrame:
 
 
 def drop_isolated(events: DataFrame, neighbours: int = 10, km: float = 10.0) -> DataFrame:
-    """Events with at least so many others within the distance."""
-    deg = km / 110.0
-    a = events.select(F.col("id").alias("ia"), F.col("lat").alias("la"), F.col("lon").alias("oa"))
-    # A degree of longitude is shorter away from the equator, so longitudes are not part of the cell's key.
-    a = a.withColumn("y", F.explode(_near(F.col("la"), deg)))
-    b = events.select(F.col("id").alias("ib"), F.col("lat").alias("lb"), F.col("lon").alias("ob"), F.floor(F.col("lat") / deg).alias("y"))
-    near = a.join(b, "y").where((F.col("ia") != F.col("ib")) & (haversine_km("la", "oa", "lb", "ob") <= km))
-    kept = near.groupBy("ia").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= neighbours)
-    return events.join(kept, events.id == kept.ia, "left_semi")
+    """Events with at least so many others within the distance.
+
+    Events of a cell so small that all in it are neighbours need no distances if the cell holds enough. Only the others, at most
+    ``neighbours`` to a cell, are compared with the events of the cells that their circle reaches into.
+    """
+    small_level = max(cells.LEAST, math.floor(math.log2(km / (math.pi * cells.RADIUS / 180) / 4))) if km > 0 else cells.LEAST
+    fits = km > 4 * 2.0**small_level * math.pi * cells.RADIUS / 180 / 1.0001
+    e = events.where("lat is not null and lon is not null").select("id", "lat", "lon")
+    y, x = cells.cell(F.lit(small_level), F.col("lat"), F.col("lon"))
+    own = e.withColumn("_y", y).withColumn("_x", x)
+    crowded = own.groupBy("_y", "_x").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > neighbours).select("_y", "_x")
+    if not fits or neighbours < 1:
+        crowded = crowded.where("false")
+    # Near the poles cells are wider than high: their events are compared.
+    tight = F.abs(F.col("lat")) < 60
+    sure = own.where(tight).join(crowded, ["_y", "_x"], "left_semi").select("id")
+    open_ = own.where(tight).join(crowded, ["_y", "_x"], "left_anti").unionByName(own.where(~tight)).select(F.col("id").alias("ia"), F.col("lat").alias("la"), F.col("lon").alias("oa"))
+    level = cells.level_of(F.lit(float(km)))
+    a = open_.withColumn("_c", F.explode(cells.cover(level, F.col("la"), F.col("oa"), F.lit(float(km))))).select("ia", "la", "oa", F.col("_c.y").alias("y"), F.col("_c.x").alias("x"))
+    y, x = cells.cell(level, F.col("lat"), F.col("lon"))
+    b = e.select(F.col("id").alias("ib"), F.col("lat").alias("lb"), F.col("lon").alias("ob"), y.alias("y"), x.alias("x"))
+    near = a.join(b, ["y", "x"]).where((F.col("ia") != F.col("ib")) & (haversine_km("la", "oa", "lb", "ob") <= km))
+    counted = near.groupBy("ia").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= neighbours).select(F.col("ia").alias("id"))
+    kept = (sure.unionByName(counted) if neighbours > 0 else e.select("id")).distinct()
+    return events.join(kept, "id", "left_semi").select(*events.columns)
 
 
 def new_rows(rows: DataFrame, written: DataFrame, keys: list[str]) -> DataFrame:

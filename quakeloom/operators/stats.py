@@ -8,19 +8,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.lineage import cut
+from .order_stats import beside, running_sums, with_quantiles
+from .slopes import theil_sen  # noqa: F401  part of this module's interface
 
 
 def summary(df: DataFrame, column: str, by: list[str] = ()) -> DataFrame:
     """Count, least, 1 %, median, 99 % and greatest; quantiles are exact, linear between ranks."""
-    q = F.percentile(column, F.array(*[F.lit(x) for x in (0.01, 0.5, 0.99)]))
-    out = df.groupBy(*by).agg(F.count(column).alias("n"), F.min(column).alias("least"), q.alias("_q"), F.max(column).alias("greatest"))
-    return out.select(*by, "n", "least", F.get("_q", F.lit(0)).alias("p01"), F.get("_q", F.lit(1)).alias("median"), F.get("_q", F.lit(2)).alias("p99"), "greatest")
+    own = df.groupBy(*by).agg(F.count(column).alias("n"), F.min(column).alias("least"), F.max(column).alias("greatest"))
+    return with_quantiles(own, df, column, {"p01": 0.01, "median": 0.5, "p99": 0.99}, by).select(*by, "n", "least", "p01", "median", "p99", "greatest")
 
 
 def describe_by(df: DataFrame, column: str, by: list[str]) -> DataFrame:
-    q = F.percentile(column, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)]))
-    out = df.groupBy(*by).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("least"), q.alias("_q"), F.max(column).alias("greatest"))
-    return out.select(*by, "n", "mean", "std", "least", *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(("q1", "median", "q3"))], "greatest")
+    own = df.groupBy(*by).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("least"), F.max(column).alias("greatest"))
+    return with_quantiles(own, df, column, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by).select(*by, "n", "mean", "std", "least", "q1", "median", "q3", "greatest")
 
 
 def mean_error(df: DataFrame, column: str, by: list[str]) -> DataFrame:
@@ -35,10 +36,12 @@ def spread(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def mad(df: DataFrame, column: str, by: list[str] = ()) -> DataFrame:
-    """``median`` and ``mad``: 1.4826 times the median of the distances from the median."""
-    med = df.groupBy(*by).agg(F.percentile(column, F.lit(0.5)).alias("_m"))
-    both = df.join(med, list(by)) if by else df.crossJoin(F.broadcast(med))  # one row
-    return both.groupBy(*by).agg(F.first("_m").alias("median"), (1.4826 * F.percentile(F.abs(F.col(column) - F.col("_m")), F.lit(0.5))).alias("mad"))
+    """``median`` and ``mad``: 1.4826 times the median of the distances from the median. Both null for a group without values."""
+    by = list(by)
+    groups = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    med = cut(with_quantiles(groups, df, column, {"median": 0.5}, by).drop("_n"))
+    away = beside(df.select(*by, column), med, by).select(*by, F.abs(F.col(column) - F.col("median")).alias("_d"))
+    return with_quantiles(med, away, "_d", {"_m": 0.5}, by).select(*by, "median", (1.4826 * F.col("_m")).alias("mad"))
 
 
 def monthly_rate(df: DataFrame, ts: str, fill: bool = True) -> DataFrame:
@@ -97,7 +100,7 @@ def slice_median(df: DataFrame, x: str, y: str, start: float, stop: float, width
     on_edge = F.floor(k) == k
     at = F.when(on_edge, F.array(F.floor(k) - 1, F.floor(k))).otherwise(F.array(F.floor(k)))
     rows = df.where(F.col(x).between(start, stop)).select(F.explode(at).alias("slice"), F.col(y).alias("_y")).where(F.col("slice").between(0, n - 1))
-    return rows.groupBy("slice").agg(F.count(F.lit(1)).alias("n"), F.percentile("_y", F.lit(0.5)).alias("median"))
+    return with_quantiles(rows.groupBy("slice").agg(F.count(F.lit(1)).alias("n")), rows, "_y", {"median": 0.5}, ["slice"])
 
 
 def fmd(df: DataFrame, mag: str, by: list[str] = (), dm: float = 0.1) -> DataFrame:
@@ -135,37 +138,10 @@ def ols(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
 
 
-def theil_sen(pairs: DataFrame, x: str, y: str, max_rows: int = 20_000) -> DataFrame:
-    """Median of the slopes of all pairs, intercept and the 95 % bounds from Kendall's variance, ties included.
-
-    The method is defined on all pairs of its anchors: at most ``max_rows`` are taken, more are an error.
-    """
-    rows = C.row_ids(pairs.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null"), ["x", "y"], "i").persist()
-    n = rows.count()
-    if n > max_rows:
-        raise ValueError(f"{n} anchors are more than {max_rows}")
-    other = rows.select(F.col("x").alias("x2"), F.col("y").alias("y2"))
-    slopes = rows.join(F.broadcast(other), F.col("x") < F.col("x2")).select(((F.col("y2") - F.col("y")) / (F.col("x2") - F.col("x"))).alias("s"))
-    tie = lambda c: F.coalesce(F.sum(F.col("k") * (F.col("k") - 1) * (2 * F.col("k") + 5)), F.lit(0))
-    tx = rows.groupBy("x").agg(F.count(F.lit(1)).alias("k")).agg(tie("k")).first()[0]
-    ty = rows.groupBy("y").agg(F.count(F.lit(1)).alias("k")).agg(tie("k")).first()[0]
-    nt = slopes.count()
-    sigma = math.sqrt(max(0.0, (n * (n - 1) * (2 * n + 5) - tx - ty) / 18))
-    z = 1.959963984540054
-    lower, upper = max(0, min(nt - 1, round((nt - z * sigma) / 2))), max(0, min(nt - 1, round((nt + z * sigma) / 2) - 1))
-    quant = [0.5] + ([lower / (nt - 1), upper / (nt - 1)] if nt > 1 else [0.0, 0.0])
-    q = slopes.agg(F.percentile("s", F.array(*[F.lit(v) for v in quant])).alias("q"))
-    m = rows.agg(F.percentile("x", F.lit(0.5)).alias("mx"), F.percentile("y", F.lit(0.5)).alias("my"))
-    out = q.crossJoin(F.broadcast(m))
-    slope = F.get("q", F.lit(0))
-    return out.select(slope.alias("slope"), (F.col("my") - slope * F.col("mx")).alias("intercept"), F.get("q", F.lit(1)).alias("low"), F.get("q", F.lit(2)).alias("high"))
-
-
 def average_rank(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Ranks from 1, ties with the mean of theirs. Distinct values are ranked, so equal rows cost one."""
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("_k"))
-    upto = F.sum("_k").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return df.join(counts.withColumn(name, upto - (F.col("_k") - 1) / 2).drop("_k"), column)
+    """Ranks from 1, ties with the mean of theirs. Distinct values are ranked by ranges, so equal rows cost one and no task ranks all."""
+    counts = running_sums(df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_k")), column, {"_upto": "_k"})
+    return df.join(counts.select(column, (F.col("_upto") - (F.col("_k") - 1) / 2).alias(name)), column)
 
 
 def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -178,9 +154,8 @@ def ks_two_sample(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """Kolmogorov-Smirnov distance of two samples and the asymptotic p; counts of distinct values are what meets."""
     rows = a.select(F.col(column).alias("x"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionAll(b.select(F.col(column).alias("x"), F.lit(0).alias("a"), F.lit(1).alias("b")))
     counts = rows.where("x is not null").groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    upto = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = counts.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    steps = counts.select(F.sum("a").over(upto).alias("ca"), F.sum("b").over(upto).alias("cb")).crossJoin(F.broadcast(total))
+    steps = running_sums(counts, "x", {"ca": "a", "cb": "b"}).crossJoin(F.broadcast(total))
     d = steps.agg(F.max(F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))).alias("d"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     en = F.sqrt(F.col("na") * F.col("nb") / (F.col("na") + F.col("nb")))
     t = en * F.col("d")

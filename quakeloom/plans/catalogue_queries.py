@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import geo, signal
-from ..operators import associate, classify, magnitude, match, relational, stats
+from ..operators import associate, classify, magnitude, match, relational, selection, stats
 from . import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -271,9 +272,18 @@ def _anchors(spark, sf_dir):
 ANCHORS = f"with {V.ORIGIN}, a as (select user_id, avg(mag) as x, avg(depth) as y from origin_v group by 1)"
 
 
-@query(ANCHORS + ", s as (select (q.y - p.y) / (q.x - p.x) as s from a p join a q on p.x < q.x), m as (select median(s) as slope from s) select round(slope, 6) as slope, round((select median(y) from a) - slope * (select median(x) from a), 6) as intercept from m")
+SLOPES = """, s as (select (q.y - p.y) / (q.x - p.x) as s from a p join a q on p.x < q.x),
+ties as (select (select sum(k * (k - 1) * (2 * k + 5)) from (select count(*) as k from a group by x)) + (select sum(k * (k - 1) * (2 * k + 5)) from (select count(*) as k from a group by y)) as t, (select count(*) from a) as n),
+spread as (select 1.959963984540054::double * sqrt((n * (n - 1) * (2 * n + 5) - t) / 18) as w from ties),
+m as (select median(s) as slope, list_sort(list(s)) as l, count(*) as nt from s)
+select round(slope, 6) as slope, round((select median(y) from a) - slope * (select median(x) from a), 6) as intercept,
+  round(l[1 + cast(greatest(0, least(nt - 1, round_even((nt - w) / 2, 0))) as bigint)], 6) as low, round(l[1 + cast(greatest(0, least(nt - 1, round_even((nt + w) / 2, 0) - 1)) as bigint)], 6) as high
+from m, spread"""
+
+
+@query(ANCHORS + SLOPES)
 def theil_sen(spark, sf_dir):
-    return stats.theil_sen(_anchors(spark, sf_dir), "x", "y").select(*_r("slope", "intercept"))
+    return stats.theil_sen(_anchors(spark, sf_dir), "x", "y").select(*_r("slope", "intercept", "low", "high"))
 
 
 @query(f"with {V.ORIGIN}, m as (select cat, median(mag) as med from origin_v group by 1) select cat, round(any_value(med), 6) as median, round(1.4826 * median(abs(mag - med)), 6) as mad from origin_v join m using (cat) group by cat")
@@ -301,13 +311,13 @@ def ks_two_sample(spark, sf_dir):
     return stats.ks_two_sample(o.where("cat = 'view'"), o.where("cat = 'click'"), "depth").select(F.round("d", 9).alias("d"))
 
 
-KDE = f"with {V.ORIGIN}, v as (select lon as x, lat as y from origin_v where cat = 'view'), c as (select covar_samp(x, x) * 0.09 as a, covar_samp(x, y) * 0.09 as b, covar_samp(y, y) * 0.09 as c, count(*) as m from v), g as (select -130 + i as gx, 40 + j as gy from range(0, 10) r(i), range(0, 11) s(j))"
+KDE = f"with {V.ORIGIN}, v as (select lon as x, lat as y from origin_v), c as (select covar_samp(x, x) * 0.09 as a, covar_samp(x, y) * 0.09 as b, covar_samp(y, y) * 0.09 as c, count(*) as m from v), g as (select -130 + i as gx, 40 + j as gy from range(0, 10) r(i), range(0, 11) s(j))"
 
 
 @query(KDE + " select cast(gx as double) as gx, cast(gy as double) as gy, round(sum(exp(-0.5 * (c.c * pow(gx - x, 2) - 2 * c.b * (gx - x) * (gy - y) + c.a * pow(gy - y, 2)) / (c.a * c.c - c.b * c.b))) / (any_value(m) * 2 * pi() * any_value(sqrt(c.a * c.c - c.b * c.b))), 6) as density from v, c, g group by 1, 2")
 def kde_grid(spark, sf_dir):
     grid = spark.range(10).select((F.col("id") - 130).cast("double").alias("gx")).crossJoin(spark.range(11).select((F.col("id") + 40).cast("double").alias("gy")))
-    points = V.catalogue(spark, sf_dir, "view").select(F.col("lon").alias("x"), F.col("lat").alias("y"))
+    points = V.origins(spark, sf_dir).select(F.col("lon").alias("x"), F.col("lat").alias("y"))
     return stats.kde2d(points, grid, 0.3).select("gx", "gy", *_r("density"))
 
 
@@ -320,11 +330,11 @@ def kcore_prune(spark, sf_dir):
 
 @query()
 def magnitude_inversion(spark, sf_dir):
-    """Relative magnitudes of all events with two measurements, and their errors."""
-    obs = V.assoc(spark, sf_dir).select(F.col("orid").alias("event_id"), F.concat(F.lit("S"), F.col("sta") % 100).alias("station"), "phase", F.col("dist").alias("dist_hypo_km"), F.log10("amp").alias("log10A"))
+    """Relative magnitudes of all events with two measurements, and their errors, after one rejection of outliers."""
+    obs = V.assoc(spark, sf_dir).select(F.col("orid").alias("event_id"), F.concat(F.lit("S"), F.col("sta")).alias("station"), "phase", F.col("dist").alias("dist_hypo_km"), F.log10("amp").alias("log10A"))
     obs = magnitude.kcore_prune(obs, 8, 2)
-    mags, terms, coeffs = magnitude.invert_magnitudes(obs, fix_n=1.0)
-    return magnitude.event_magnitudes(magnitude.residuals(obs, mags, terms, coeffs)).select("event_id", "n_obs", "n_P", "n_S", *_r("M_rel", "M_sta_std", "M_rel_sem"))
+    kept, _, _ = magnitude.fit_magnitudes(obs, fix_n=1.0)
+    return magnitude.event_magnitudes(kept).select("event_id", "n_obs", "n_P", "n_S", *_r("M_rel", "M_sta_std", "M_rel_sem"))
 
 
 @query(f"with {V.RASTER}, {V.ORIGIN}, p as (select id, (event_id_mod % 380) / 10.0::double as x, (event_id_mod * 7 % 380) / 10.0::double as y from (select id, id as event_id_mod from origin_v)), c as (select id, x - floor(x) as fx, y - floor(y) as fy, cast(floor(x) as bigint) as x0, cast(floor(y) as bigint) as y0 from p), k as (select c.id, (case when i = 1 then fx else 1 - fx end) * (case when j = 1 then fy else 1 - fy end) as w, z from c cross join range(0, 2) a(i) cross join range(0, 2) b(j) left join raster_v r on r.x = x0 + i and r.y = y0 + j) select id, case when count(z) = count(*) then round(sum(w * z), 6) end as v from k where w > 0 group by id")
@@ -413,9 +423,9 @@ def overlap_stack(spark, sf_dir):
     return signal.overlap_stack(w, ["id"], (2, 2)).select("id", "sample", *_r("p"))
 
 
-@query(f"with {V.TRACE}, s as (select id, i as sample, samples[i + 1] as p from trace_v, range(0, 64) r(i) where i < len(samples)), o as (select *, sample - row_number() over (partition by id order by sample) as g from s where sample >= 4 and p >= 0.1) select id, cast(min(sample) as integer) as onset, cast(max(sample) as integer) as offset_, cast(arg_max(sample, (p, -sample)) as integer) as pick, round(max(p), 6) as max_prob from o group by id, g")
+@query(f"with {V.TRACE}, s as (select id, unnest(range(len(samples))) as sample, unnest(samples) as p from trace_v), o as (select *, sample - row_number() over (partition by id order by sample) as g from s where sample >= 4 and p >= 0.1) select id, cast(min(sample) as integer) as onset, cast(max(sample) as integer) as offset_, cast(arg_max(sample, (p, -sample)) as integer) as pick, round(max(p), 6) as max_prob from o group by id, g")
 def trigger_picks(spark, sf_dir):
-    s = V.traces(spark, sf_dir).select("id", F.posexplode("samples").alias("sample", "p")).where("sample < 64")
+    s = V.traces(spark, sf_dir).select("id", F.posexplode("samples").alias("sample", "p"))
     t = signal.trigger(s, ["id"], 0.1, 4)
     return t.select("id", F.col("onset").cast("int"), F.col("offset").cast("int").alias("offset_"), F.col("pick").cast("int"), *_r("max_prob"))
 
@@ -426,12 +436,12 @@ def pad_truncate(spark, sf_dir):
     return t.select("id", F.round(F.aggregate("f", F.lit(0.0), lambda s, x: s + x), 5).alias("total"), F.array_size("f").cast("bigint").alias("n"))
 
 
-EVENT_PAIRS = f"with {V.ORIGIN}, e as (select * from origin_v where cat = 'view'), pairs as (select a.id as id_a, b.id as id_b from e a join e b on a.id < b.id and abs(a.lat - b.lat) <= 0.1 and abs(a.lon - b.lon) <= 0.1)"
+EVENT_PAIRS = f"with {V.ORIGIN}, e as (select * from origin_v), pairs as (select a.id as id_a, b.id as id_b from e a join e b on a.id < b.id and abs(a.lat - b.lat) <= 0.1 and abs(a.lon - b.lon) <= 0.1)"
 
 
 @query(EVENT_PAIRS + " select id_a, id_b from pairs")
 def event_pairs(spark, sf_dir):
-    return match.event_pairs(V.catalogue(spark, sf_dir, "view"), 0.1)
+    return match.event_pairs(V.origins(spark, sf_dir), 0.1)
 
 
 @query(f"with {V.ORDER}, {V.ASSOC}, p as (select orid, sta, phase, min(dist) as t from assoc_v group by 1, 2, 3), e as (select a.orid as id_a, b.orid as id_b from order_v a join order_v b on a.orid < b.orid and abs(a.lat - b.lat) <= 0.1 and abs(a.lon - b.lon) <= 0.1) select id_a, id_b, x.sta as station, x.phase as phase, round(x.t - y.t, 6) as dt from e join p x on x.orid = id_a join p y on y.orid = id_b and y.sta = x.sta and y.phase = x.phase")
@@ -440,9 +450,9 @@ def pair_diff_times(spark, sf_dir):
     return match.pair_times(match.event_pairs(V.order_origins(spark, sf_dir).withColumnRenamed("orid", "id"), 0.1), picks).select("id_a", "id_b", "station", "phase", *_r("dt"))
 
 
-@query(f"with {V.ORIGIN}, e as (select * from origin_v where cat = 'view'), n as (select a.id as id, count(*) as n from e a join e b on a.id <> b.id and {V.hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 50 group by 1) select id from n where n >= 10")
+@query(f"with {V.ORIGIN}, e as (select * from origin_v), n as (select a.id as id, count(*) as n from e a join e b on a.id <> b.id and abs(a.lat - b.lat) <= 0.46 and {V.hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 50 group by 1) select id from n where n >= 10")
 def isolated_events(spark, sf_dir):
-    return match.drop_isolated(V.catalogue(spark, sf_dir, "view"), 10, 50).select("id")
+    return match.drop_isolated(V.origins(spark, sf_dir), 10, 50).select("id")
 
 
 @query()
@@ -494,3 +504,120 @@ def interval_epochs(spark, sf_dir):
     epochs = o.select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("station"), F.col("o_orderdate").alias("start_date"), (F.col("o_orderdate") + F.expr("interval 90 day")).alias("end_date"))
     t = V.table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "l_partkey", F.col("o_custkey").alias("station"), F.col("l_shipdate").alias("t"))
     return match.interval_join(t, epochs, "station", "t").where("epoch_k is not null").groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.min_by("epoch_k", F.struct("epoch_start_date", "epoch_k")).alias("epoch"))
+
+
+INVENTORY = "s as (select o_custkey as station, ['HHZ', 'BHN', 'EHZ', 'HH1', 'BHZ', 'EHE'][1 + o_orderkey % 6] as channel, o_orderdate as start_date, if(o_orderkey % 7 = 0, null, o_orderdate + interval 60 day) as end_date from orders), t as (select l_orderkey, l_linenumber, l_partkey, o_custkey as station, l_shipdate as t from lineitem join orders on o_orderkey = l_orderkey)"
+
+
+@query("with " + INVENTORY + """, f as (select l_orderkey, l_linenumber, l_partkey, t, coalesce(bool_or(channel like '%Z'), false) as has_vertical, coalesce(bool_or(channel similar to '.*[EN12]'), false) as has_horizontal, coalesce(bool_or(channel like 'HH%'), false) as has_hh, coalesce(bool_or(channel like 'BH%'), false) as has_bh, coalesce(bool_or(channel like 'EH%'), false) as has_eh from t left join s on t.station = s.station and start_date <= t and (end_date is null or t < end_date) group by all) select * from f""")
+def availability_at_pick(spark, sf_dir):
+    o = V.table(spark, sf_dir, "orders")
+    channel = F.get(F.array(*[F.lit(c) for c in ("HHZ", "BHN", "EHZ", "HH1", "BHZ", "EHE")]), (F.col("o_orderkey") % 6).cast("int"))
+    inventory = o.select(F.col("o_custkey").alias("station"), channel.alias("channel"), F.col("o_orderdate").alias("start_date"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate") + F.expr("interval 60 day")).alias("end_date"))
+    t = V.table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "l_partkey", F.col("o_custkey").alias("station"), F.col("l_shipdate").alias("t"))
+    return match.availability_at(t, inventory, "station", "t").drop("station").dropDuplicates()
+
+
+@query(f"with {V.ORIGIN}, q as (select cat, quantile_cont(depth, [0.25, 0.5, 0.75]) as q, count(depth) as n, avg(depth) as mean, stddev_samp(depth) as std, min(depth) as least, max(depth) as greatest from origin_v group by cat) select cat, n, round(mean, 6) as mean, round(std, 6) as std, round(least, 6) as least, round(q[1], 6) as q1, round(q[2], 6) as median, round(q[3], 6) as q3, round(greatest, 6) as greatest from q")
+def describe_by_class(spark, sf_dir):
+    return stats.describe_by(V.origins(spark, sf_dir), "depth", ["cat"]).select("cat", "n", *_r("mean", "std", "least", "q1", "median", "q3", "greatest"))
+
+
+@query(f"with {V.ORIGIN}, m as (select median(mag) as m from origin_v), d as (select 1.4826 * median(abs(mag - m)) as d from origin_v, m) select cat, count(*) as n, round(max(abs(mag)), 6) as largest from origin_v, d where abs(mag) <= 2 * d group by cat")
+def reject_mad(spark, sf_dir):
+    """Rows whose value is within two scaled deviations of zero."""
+    return magnitude.reject_mad(V.origins(spark, sf_dir), 2.0, "mag").groupBy("cat").agg(F.count(F.lit(1)).alias("n"), F.round(F.max(F.abs("mag")), 6).alias("largest"))
+
+
+@query(f"with {V.ORDER} select year(ts) as year, count(*) as n from order_v where ts > timestamp '1994-01-01' and ts <= timestamp '1996-06-30' group by 1")
+def time_window(spark, sf_dir):
+    rows = selection.time_window(V.order_origins(spark, sf_dir), "ts", dt.datetime(1994, 1, 1), dt.datetime(1996, 6, 30), "right")
+    return rows.groupBy(F.year("ts").cast("bigint").alias("year")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {V.ORIGIN}, p as (select id as pivot_id, time_s as t from origin_v where mag >= 2.5) select id, pivot_id from origin_v join p on abs(time_s - t) <= 120 and id <> pivot_id")
+def around_pivots(spark, sf_dir):
+    """Events within two minutes of the largest ones."""
+    o = V.origins(spark, sf_dir).select("id", "time_s", "mag")
+    return selection.around(o, o.where("mag >= 2.5"), "time_s", 120.0).where("id <> pivot_id").select("id", "pivot_id")
+
+
+@query(f"with {V.ORIGIN}, {V.STATION}, b as (select min(lat) - 0.1 as a, max(lat) + 0.1 as b, min(lon) as c, max(lon) as d from station_v where net < 12) select id, lat, lon from origin_v, b where lat between a and b and lon between c and d")
+def inside_station_box(spark, sf_dir):
+    """Events inside the box of the stations of some networks, a little higher."""
+    s = V.stations(spark, sf_dir).where("net < 12")
+    return selection.inside_box_of(V.origins(spark, sf_dir), s, ["lat", "lon"], {"lat": 0.1}).select("id", "lat", "lon")
+
+
+@query(f"with {V.ASSOC}, {V.STATION} select sta, phase, count(*) as n from assoc_v where sta not in (select sta from station_v where net = 3) and sta in (select sta from station_v where elevation < 1500) group by 1, 2")
+def station_lists(spark, sf_dir):
+    """Picks but for a deny-list of stations, of those of an allow-list."""
+    s = V.stations(spark, sf_dir)
+    rows = selection.only(selection.without(V.assoc(spark, sf_dir), s.where("net = 3"), ["sta"]), s.where("elevation < 1500"), ["sta"])
+    return rows.groupBy("sta", "phase").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {V.ORIGIN}, m as (select *, if(id % 11 = 0, -9, mag) as md, [' ML ', 'mw', 'Md', 'mlv', 'MWW'][1 + id % 5] as mag_type from origin_v) select mag_type, count(*) as n, round(avg(md), 6) as mean from m where md > -5 and lower(trim(mag_type)) in ('ml', 'mw', 'mww') group by 1")
+def magnitude_types(spark, sf_dir):
+    """Without sentinels, of the accepted types."""
+    kind = F.get(F.array(*[F.lit(t) for t in (" ML ", "mw", "Md", "mlv", "MWW")]), (F.col("id") % 5).cast("int"))
+    m = V.origins(spark, sf_dir).withColumn("md", F.when(F.col("id") % 11 == 0, -9.0).otherwise(F.col("mag"))).withColumn("mag_type", kind)
+    rows = selection.of_types(selection.without_sentinels(m, "md"), "mag_type", ["ml", "mw", "mww"])
+    return rows.groupBy("mag_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("md"), 6).alias("mean"))
+
+
+@query(f"with {V.ASSOC}, m as (select orid, list(struct_pack(t := ['Md', 'ML', 'mb', 'MLv'][1 + l_partkey % 4], v := if(l_partkey % 5 = 0, null, amp)) order by l_linenumber, l_partkey, amp) as l from assoc_v group by 1), f as (select orid, list_filter(l, lambda x: lower(x.t) in ('ml', 'mlv') and x.v is not null) as l from m) select orid, round(l[1].v, 4) as ml from f where len(l) > 0")
+def first_magnitudes(spark, sf_dir):
+    """Each event's first magnitude of an accepted type."""
+    kind = F.get(F.array(*[F.lit(t) for t in ("Md", "ML", "mb", "MLv")]), (F.col("l_partkey") % 4).cast("int"))
+    m = V.assoc(spark, sf_dir).select("orid", F.struct("l_linenumber", "l_partkey", "amp", kind.alias("mag_type"), F.when(F.col("l_partkey") % 5 != 0, F.col("amp")).alias("mag")).alias("m"))
+    return selection.first_magnitude(m.groupBy("orid").agg(F.array_sort(F.collect_list("m")).alias("mags")), "mags").select("orid", F.round("ml", 4).alias("ml"))
+
+
+@query(f"with {V.ORDER}, {V.ASSOC}, c as (select orid, count(*) as picks from assoc_v group by 1) select cast(floor(depth / 5) as bigint) as band, count(*) as n from order_v join c using (orid) where depth >= 5 and depth < 30 and picks >= 4 group by 1")
+def depth_bands(spark, sf_dir):
+    """Events of enough picks by five kilometres of depth, in a band."""
+    c = V.assoc(spark, sf_dir).groupBy("orid").agg(F.count(F.lit(1)).alias("picks"))
+    rows = selection.least_picks(selection.depth_band(V.order_origins(spark, sf_dir).join(c, "orid"), 5.0, 30.0), 4)
+    return rows.groupBy(F.floor(F.col("depth") / 5).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {V.ASSOC}, r as (select orid, sta, ['no waveform at ' || sta, 'ok', 'gap in trace', 'no response'][1 + l_partkey % 4] as reason, [5.0, 40.0, 100.0][1 + l_partkey % 3] as fs from assoc_v) select sta, count(*) as n from r where contains(reason, 'no ') and fs > 10 group by 1")
+def failures_by_text(spark, sf_dir):
+    """Failures by what their text holds, of traces that are sampled often enough."""
+    of = lambda values, k: F.get(F.array(*values), (F.col("l_partkey") % k).cast("int"))
+    texts = [F.concat(F.lit("no waveform at "), F.col("sta").cast("string")), F.lit("ok"), F.lit("gap in trace"), F.lit("no response")]
+    r = V.assoc(spark, sf_dir).select("sta", of(texts, 4).alias("reason"), of([F.lit(5.0), F.lit(40.0), F.lit(100.0)], 3).alias("fs"))
+    return selection.sampled_faster(selection.failed_with(r, "no ")).groupBy("sta").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {V.ASSOC} select a.orid, a.sta, a.arid as arid_df1, b.arid as arid_df2, round(a.dist - b.dist, 6) as gap from assoc_v a join assoc_v b on a.orid = b.orid and a.sta = b.sta where a.phase = 'P' and b.phase = 'S'")
+def reconcile_tables(spark, sf_dir):
+    """Rows of two tables of measurements that agree in event and station."""
+    a = V.assoc(spark, sf_dir).select("orid", "sta", "arid", "dist", "phase")
+    rows = selection.reconcile(a.where("phase = 'P'"), a.where("phase = 'S'"), ["orid", "sta"])
+    return rows.select("orid", "sta", "arid_df1", "arid_df2", F.round(F.col("dist_df1") - F.col("dist_df2"), 6).alias("gap"))
+
+
+@query(f"with {V.ORIGIN}, w as (select id, user_id % 50 as sta, time_s + (id % 5) * 0.3 as origin_s from origin_v), p as (select id as pick, user_id % 50 as sta, time_s as otime from origin_v) select id, pick from w join p using (sta) where abs(otime - origin_s) < 1")
+def same_station_origin(spark, sf_dir):
+    """Windows with the picks of their station whose origin time is the same within a second."""
+    o = V.origins(spark, sf_dir).withColumn("sta", F.col("user_id") % 50)
+    w = o.select("id", "sta", (F.col("time_s") + (F.col("id") % 5) * 0.3).alias("origin_s"))
+    return selection.same_station_origin(w, o.select(F.col("id").alias("pick"), "sta", F.col("time_s").alias("otime"))).select("id", "pick")
+
+
+@query(f"with {V.STATION}, {V.ASSOC}, e as (select sta, min(pick_time) as start_date, count(distinct pick_time) as starts from assoc_v where l_partkey % 3 = 0 group by 1) select sta, start_date, coalesce(starts > 1, false) as again from station_v left join e using (sta)")
+def first_starts(spark, sf_dir):
+    """Stations with their first start, and whether they were deployed again."""
+    e = V.assoc(spark, sf_dir).where("l_partkey % 3 = 0").select("sta", F.col("pick_time").alias("start_date"))
+    again = selection.redeployed(e, "sta").select("sta", F.lit(True).alias("again"))
+    rows = selection.with_first_start(V.stations(spark, sf_dir).select("sta"), e, "sta").join(again, "sta", "left")
+    return rows.select("sta", "start_date", F.coalesce("again", F.lit(False)).alias("again"))
+
+
+@query(f"with {V.ORIGIN}, r as (select * from origin_v where cat = 'click'), l as (select * from origin_v where cat not in ('view', 'click')), d as (select l.id, min(sqrt(pow((l.time_s - r.time_s) / 120, 2) + pow({V.hav('l.lat', 'l.lon', 'r.lat', 'r.lon')} / 25, 2))) as metric from l, r group by 1) select cast(bound as double) as bound, count(*) filter (metric < bound) as n, round(count(*) filter (metric < bound) / count(*)::double, 9) as share from d, (values (0.1), (0.2), (1.4142135623730951), (20.0)) t(bound) group by bound")
+def scaled_match_bounds(spark, sf_dir):
+    """How many nearest matches lie below each scaled distance."""
+    m = match.nearest_scaled(V.local(spark, sf_dir), V.catalogue(spark, sf_dir, "click"))
+    return selection.scaled_matches(m, (0.1, 0.2, 2**0.5, 20.0)).select("bound", "n", F.round("share", 9).alias("share"))
