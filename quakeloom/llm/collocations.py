@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard
-from .vocabulary import likely_slots, numbered, places, slot, slots_for, summed, written
+from .vocabulary import likely_slots, places, slot, slots_for, summed, written
 
 WINDOW = 4
 #: One window in so many triggers.
@@ -29,6 +29,8 @@ PERIOD = 16
 #: Words of a block, and distinct chunks of a task before its counts are passed on.
 BLOCK_WORDS = 3 << 19
 TASK_CHUNKS = 200_000
+#: Pairs of a task before their sums are passed on.
+TASK_PAIRS = 2_000_000
 #: Frequent pairs that are sent to every task (16 MB); beyond, each block gets its own.
 MOST_PAIRS = 2_000_000
 #: Lower case of A-Z; punctuation and line ends part pieces.
@@ -226,20 +228,33 @@ def _keys(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _pairs(likely: np.ndarray | None):
-    """Pairs of a block and their sums; with ``likely`` only those in its slots, without it the block, too."""
+    """With ``likely`` the pairs in its slots and their sums over a task's blocks, without it all pairs and the block that holds them."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            keys, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            sums = summed(back.ravel(), np.concatenate([n for _, n in held]), len(keys))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sums, pa.int64())], names=["pair", "n"])
+
         for batch in batches:
             for i in range(batch.num_rows):
                 _, weights, at, own = _opened(batch.column(1)[i], batch.column(2)[i])
-                if likely is not None:
-                    there = likely.value[slot(own, len(likely.value))] & (weights[at] > 0)
-                    at, own = at[there], own[there]
-                keys, back = np.unique(own, return_inverse=True)
-                cols = [pa.array(keys, pa.int64()), pa.array(summed(back.ravel(), weights[at], len(keys)), pa.int64())]
                 if likely is None:
-                    cols.append(pa.array(np.full(len(keys), batch.column(0)[i].as_py()), pa.int64()))
-                yield pa.RecordBatch.from_arrays(cols, names=["pair", "n", "block"][: len(cols)])
+                    keys = np.unique(own)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.full(len(keys), batch.column(0)[i].as_py()), pa.int64())], names=["pair", "block"])
+                    continue
+                there = likely.value[slot(own, len(likely.value))] & (weights[at] > 0)
+                keys, back = np.unique(own[there], return_inverse=True)
+                held.append((keys, summed(back.ravel(), weights[at[there]], len(keys))))
+                size += len(keys)
+                if size > TASK_PAIRS:
+                    yield out()
+                    size = 0
+        if held:
+            yield out()
 
     return pairs
 
@@ -258,7 +273,7 @@ def _long_phrases(reduced: DataFrame, doubles: DataFrame, most: int) -> DataFram
 
         rows = reduced.mapInArrow(longer, schema)
     else:
-        own = reduced.mapInArrow(_pairs(None), "pair long, n long, block long").join(doubles.select("pair"), "pair").select(F.col("block").alias("of"), "pair")
+        own = reduced.mapInArrow(_pairs(None), "pair long, block long").join(doubles.select("pair"), "pair").select(F.col("block").alias("of"), "pair")
 
         def within(blocks: pa.Table, own: pa.Table) -> pa.Table:
             phrases, n = [], []
@@ -270,6 +285,20 @@ def _long_phrases(reduced: DataFrame, doubles: DataFrame, most: int) -> DataFram
     return rows.groupBy("ids").agg(F.sum("n").alias("f"))
 
 
+def _frequent_words(words: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(``of, code, id`` of each block's frequent words; ``id, lang, word, f``). Rows are moved by word once, for the sums and to bring them back: a word has a row a block."""
+    moved = words.repartition("lang", "word")
+    sums = moved.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least).withColumn("at", F.monotonically_increasing_id())
+    own = written(moved.drop("n").join(sums, ["lang", "word"], "left").where("at is not null"), "frequent")
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    parts, most = own.agg(F.max(part), F.max(place)).first()
+    bits = (most or 0).bit_length()
+    if (parts or 0).bit_length() + bits > 31:
+        raise ValueError("too many frequent words for numbers of 32 bits")
+    number = F.shiftleft(part, bits).bitwiseOR(place).cast("int").alias("id")
+    return own.select("of", "code", number), own.select(number, "lang", "word", "f").distinct()
+
+
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, most: int = 5) -> tuple[DataFrame, DataFrame]:
     """(phrases, totals): ``lang, phrase, f`` of all phrases of 1 to ``most`` words that occur ``least`` times in their language,
     and ``lang, n``, the words of each language. Phrases are their words joined by a space. Pairs are counted only where hashed
@@ -281,10 +310,8 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     parts = _blocks(chunks)
     discard(chunks)
     blocks, words = parts.where("codes is not null").select("block", "codes", "closed", "times"), parts.where("word is not null").select(F.col("block").alias("of"), "lang", "code", "word", "n")
-    sums = written(words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where("f > 0"), "words")
-    totals = sums.groupBy("lang").agg(F.sum("f").alias("n"))
-    singles = written(numbered(sums.where(F.col("f") >= least), "frequent"), "frequent")
-    own = words.join(singles.select("lang", "word", "id"), ["lang", "word"]).select("of", "code", "id")
+    totals = written(words.groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0"), "totals")
+    own, singles = _frequent_words(words, least)
     reduced = written(blocks.groupBy("block").cogroup(own.groupBy("of")).applyInArrow(_reduced, "block long, ids binary, weights binary"), "reduced")
     discard(parts)
     slots = slots_for(totals.agg(F.sum("n")).first()[0] or 0)
