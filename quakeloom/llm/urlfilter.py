@@ -49,7 +49,8 @@ def _segments(path: Column) -> Column:
 def templates(pages: DataFrame) -> DataFrame:
     """``host, segs, template, known, bad`` of every distinct path from ``host, path, bad`` (bad: 1, 0 or null).
 
-    A template has ``*`` for a varying segment, ``~`` for merged children and the segment itself for others. Only distinct
+    A template has ``*`` for a varying segment, ``~`` for merged children and the segment after ``=`` for others, so that no url can name
+    a mark. Only distinct
     paths and counts are shuffled. Rounds go on until no path does, one for each place where paths of a node part.
     """
     level = pages.groupBy("host", _segments(F.col("path")).alias("segs")).agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("known"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
@@ -62,7 +63,7 @@ def templates(pages: DataFrame) -> DataFrame:
         shared = F.when(differ == 0, F.array_size("low")).otherwise((differ - 1).cast("int"))
         steps = ends.select(F.col("host").alias("h"), F.col("node").alias("nd"), shared.alias("c"), F.slice("low", F.lit(1), shared).alias("common"))
         level = level.join(steps, (F.col("host") == F.col("h")) & (F.col("node") == F.col("nd")))
-        longer = F.when(F.col("c") == 0, F.col("node")).otherwise(F.concat("node", F.lit("/"), F.array_join("common", "/")))
+        longer = F.when(F.col("c") == 0, F.col("node")).otherwise(F.concat("node", F.lit("/="), F.array_join("common", "/=")))
         at = F.col("at") + F.col("c")
         level = materialize(level.select("host", "segs", longer.alias("node"), at.alias("at"), *counts, F.get("segs", at).alias("seg")), "nodes")
         out = level.where("seg is null").select("host", "segs", F.col("node").alias("template"), "known", "bad")
@@ -82,7 +83,7 @@ def templates(pages: DataFrame) -> DataFrame:
         error = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest("known", F.lit(1)) + 1 / F.greatest(rest_known, F.lit(1))))
         z = (F.col("bad") / F.greatest("known", F.lit(1)) - rest_bad / F.greatest(rest_known, F.lit(1))) / error
         differs = (F.col("known") > 0) & (rest_known > 0) & (F.abs(z) > Z)
-        branch = F.when(varies, F.lit("*")).when(differs, F.col("seg")).otherwise(F.lit("~"))
+        branch = F.when(varies, F.lit("*")).when(differs, F.concat(F.lit("="), "seg")).otherwise(F.lit("~"))
         step = both.select(F.col("host").alias("h"), F.col("node").alias("nd"), F.col("seg").alias("sg"), branch.alias("branch"))
         down = level.join(step, (F.col("host") == F.col("h")) & (F.col("node") == F.col("nd")) & (F.col("seg") == F.col("sg")))
         level = materialize(down.select("host", "segs", F.concat("node", F.lit("/"), "branch").alias("node"), (F.col("at") + 1).alias("at"), *counts), "paths")
@@ -111,4 +112,4 @@ def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col:
     rows = own.withColumn("segs", _segments(F.col("path"))).withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
     rows = rows.join(by_shape, (rows.host == by_shape.sh) & (rows.segs == by_shape.ss), "left")
     method = F.when(F.col("bad_share") >= REJECT, F.lit("block")).otherwise(F.lit("allow"))
-    return rows.select(F.col("page_id").alias(id_col), "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", method).alias("verdict"), "template", "bad_share")
+    return rows.select(F.col("page_id").alias(id_col), "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", method).alias("verdict"), F.regexp_replace("template", "/=", "/").alias("template"), "bad_share")
