@@ -152,7 +152,9 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str | Colu
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     small_batches(df.sparkSession)
     own = df.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    kind = dict(own.dtypes)["doc_id"]
+    given = kind = dict(own.dtypes)["doc_id"]
+    if given in ("tinyint", "smallint", "int", "bigint"):  # pandas would make them doubles beside a null
+        own, kind = own.withColumn("doc_id", F.col("doc_id").cast("string")), "string"
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,7 +171,8 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str | Colu
                 out.insert(0, "doc_id", keys.iloc[at:end].to_numpy())
                 yield out
 
-    return own.mapInPandas(encoded, schema).withColumnRenamed("doc_id", id_col)
+    rows = own.mapInPandas(encoded, schema)
+    return rows.withColumn("doc_id", F.col("doc_id").cast(given)).withColumnRenamed("doc_id", id_col)
 
 
 def decode_documents(df: DataFrame, ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:
