@@ -128,6 +128,7 @@ def write_ids(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     dealt = own.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = dealt.withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas would make numbers doubles beside a null
 
     def chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, number, first = TaskContext.get().partitionId(), 0, 0
@@ -144,7 +145,7 @@ def write_ids(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
         size = 0
         for batch in batches:
-            texts, keys = batch["text"].tolist(), [None if k is None or k != k else int(k) for k in batch["doc_id"]]
+            texts, keys = batch["text"].tolist(), [None if k is None else int(k) for k in batch["doc_id"]]
             for at, stop in portions(texts):
                 ids, bounds = encode(texts[at:stop])
                 for k, i, j in zip(keys[at:stop], bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -174,7 +175,7 @@ def read_documents(spark: SparkSession, path: str, keep_ids: bool = False) -> Da
         for batch in batches:
             for offset, keys, starts, lengths, payload in zip(batch["offset"], batch["doc_ids"], batch["starts"], batch["lengths"], batch["payload"], strict=True):
                 ids = unpack(payload)
-                out = pd.DataFrame({"doc_id": pd.array(list(keys), "Int64"), "start": starts + offset, "n_tokens": lengths})
+                out = pd.DataFrame({"doc_id": pd.array([None if k is None else int(k) for k in keys], "Int64"), "start": starts + offset, "n_tokens": lengths})
                 spans = list(zip(starts.tolist(), (starts + lengths).tolist(), strict=True))
                 out["ids_crc32"] = [zlib.crc32(ids[i:j].tobytes()) for i, j in spans]
                 if keep_ids:
@@ -182,5 +183,5 @@ def read_documents(spark: SparkSession, path: str, keep_ids: bool = False) -> Da
                 yield out
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    rows = read_chunks(spark, path).select("offset", "doc_ids", "starts", "lengths", "payload")
+    rows = read_chunks(spark, path).select("offset", F.col("doc_ids").cast("array<string>").alias("doc_ids"), "starts", "lengths", "payload")
     return rows.mapInPandas(unpacked, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * keep_ids)
