@@ -155,13 +155,13 @@ def plain_verdicts(pages, bad):
             row[2] += bad[page]
     out, open_ = {}, {}
     for key, row in paths.items():
-        open_.setdefault((key[0], ""), []).append((key, 0, row))
+        open_.setdefault((key[0], ()), []).append((key, 0, row))
     while open_:
         after = {}
         for (host, node), rows in open_.items():
             c = 0
             while all(len(k[1]) > at + c for k, at, _ in rows) and len({k[1][at + c] for k, at, _ in rows}) == 1:
-                node, c = f"{node}/{rows[0][0][1][rows[0][1] + c]}", c + 1
+                node, c = (*node, ("=", rows[0][0][1][rows[0][1] + c])), c + 1
             kids = {}
             for k, at, row in rows:
                 if len(k[1]) == at + c:
@@ -176,8 +176,8 @@ def plain_verdicts(pages, bad):
                 v, rest = sums[seg], total - sums[seg]
                 pooled = (total[2] + 1) / (total[1] + 2)
                 z = (v[2] / max(v[1], 1) - rest[2] / max(rest[1], 1)) / (pooled * (1 - pooled) * (1 / max(v[1], 1) + 1 / max(rest[1], 1))) ** 0.5
-                branch = "*" if seg in rare and many else seg if v[1] and rest[1] and abs(z) > urlfilter.Z else "~"
-                after.setdefault((host, f"{node}/{branch}"), []).extend(own)
+                branch = ("*",) if seg in rare and many else ("=", seg) if v[1] and rest[1] and abs(z) > urlfilter.Z else ("~",)
+                after.setdefault((host, (*node, branch)), []).extend(own)
         open_ = after
     by, hosts = {}, {}
     for k, row in paths.items():
@@ -185,14 +185,15 @@ def plain_verdicts(pages, bad):
         hosts[k[0]] = np.array(hosts.get(k[0], (0, 0))) + row[1:]
     rate = (sum(v[1] for v in hosts.values()) + 1) / (sum(v[0] for v in hosts.values()) + 4)
     share = {t: (v[1] + urlfilter.PRIOR * (hosts[t[0]][1] + urlfilter.PRIOR * rate) / (hosts[t[0]][0] + urlfilter.PRIOR)) / (v[0] + urlfilter.PRIOR) for t, v in by.items()}
-    return {k: (out[k][1], share[out[k]]) for k in paths}
+    return {k: ("".join("/" + x[-1] for x in out[k][1]), share[out[k]]) for k in paths}
 
 
 def test_method_verdicts_equal_a_plain_walk(spark, data):
     pages = [tuple(r) for r in spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url").collect()]
     hot = [(10_000 + i, f"http://hot.example/{'spam' if i % 3 == 0 else 'good'}/{i % 7}/x/y/{'q' if i % 5 else 'z'}/{i}") for i in range(300)]
     pages += hot + [(20_000, "http://deep.example/" + "a/" * 3000), (20_001, "http://deep.example/" + "a/" * 2000 + "b")]
-    bad = {i: int(i % 3 == 0 if i >= 10_000 else i % 2) for i, _ in pages if i % 4 == 0}
+    pages += [(30_000 + i, f"http://marks.example/{('~', '*', '=a', 'a')[i % 4]}/{('~', '*', 'b')[i % 3]}/{i % 9}") for i in range(240)]
+    bad = {i: int(i % 3 == 0 if i >= 10_000 else i % 2) for i, _ in pages if i % 4 == 0 or i >= 30_000}
     frame = spark.createDataFrame(pages, "page_id long, url string")
     got = urlfilter.judge(frame, spark.createDataFrame(list(bad.items()), "page_id long, bad int")).collect()
     want = plain_verdicts(pages, bad)
@@ -203,6 +204,26 @@ def test_method_verdicts_equal_a_plain_walk(spark, data):
         assert r["rule"] is not None or r["verdict"] == ("block" if share >= urlfilter.REJECT else "allow")
 
 
+@pytest.mark.parametrize("name", ["spam", "~", "*", "=", "=~"])
+def test_marks_in_urls_are_segments(spark, name):
+    """A bad branch is rejected whatever its segment is called."""
+    urls = [(i, f"http://h.example/{name}/{i}") for i in range(60)] + [(100 + i, f"http://h.example/{'abcd'[i % 4]}/{i}") for i in range(20)]
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in urls], "page_id long, bad int")
+    got = urlfilter.judge(spark.createDataFrame(urls, "page_id long, url string"), labels).collect()
+    assert {r["verdict"] for r in got if r["page_id"] < 100} == {"block"} and {r["verdict"] for r in got if r["page_id"] >= 100} == {"allow"}
+
+
+def test_large_ids_stay_beside_null_ones(spark):
+    large = 9007199254740993
+    df = spark.createDataFrame([(large, "a b"), (None, "c"), (-large, "")], "doc_id long, text string")
+    for part in (df.coalesce(1), df):
+        got = bpe.encode_documents(part)
+        assert got.schema["doc_id"].dataType.simpleString() == "bigint" and {r["doc_id"] for r in got.collect()} == {large, None, -large}
+        path = new_path(spark, "large")
+        idfile.write_ids(part, path)
+        assert {r["doc_id"] for r in idfile.read_documents(spark, path).collect()} == {large, None, -large}
+
+
 def test_templates_are_rejected_by_purity(spark):
     urls = [(i, f"http://A.example/{'spam' if i % 2 else 'good'}/{i}.html") for i in range(400)]
     urls += [(5000 + i, f"http://d.example/a/b/c/d/{'spam' if i % 2 else 'good'}/{i}") for i in range(400)]  # parts at the fifth segment

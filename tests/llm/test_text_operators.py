@@ -218,6 +218,8 @@ def test_decontamination_of_planted_and_awkward_rows(spark, docs):
     left = decontamination.remove_contaminated(all_docs, frame)
     clean = sorted((str(d), t or "") for d, t in rows if not any(item_matches(t, x) >= 0.8 for _, x, _ in items))
     assert left.columns == all_docs.columns and sorted((str(r["doc_id"]), r["text"] or "") for r in left.collect()) == clean
+    named = all_docs.withColumns({"hit_1": F.lit(1), "hit_2": F.lit(2), "k1": F.lit(3)})
+    assert decontamination.remove_contaminated(named, frame).columns == named.columns and decontamination.remove_contaminated(named, frame).count() == len(clean)
     assert decontamination.contaminated(all_docs, frame.limit(0)).count() == 0
     assert decontamination.contaminated(all_docs.limit(0), frame).count() == 0
 
