@@ -113,6 +113,32 @@ def snr_db(signal: str | Column, noise: str | Column) -> Column:
     return F.when((s > 0) & (n > 0), 20 * F.log10(s / n))
 
 
+#: Seconds of noise before the first pick. By case: seconds from the pick named first to the signal's start and end. Fixed values.
+NOISE_S, SIGNAL_S = 8.0, {"PS": ("S", -1.0, 2.0), "P": ("P", 1.0, 4.0), "S": ("S", 0.0, 3.0)}
+
+
+def phase_windows(picks: DataFrame, keys: list[str]) -> DataFrame:
+    """For each key the windows that its picks allow: ``case`` (PS, P or S), ``noise_start, noise_end, signal_start, signal_end`` in seconds.
+
+    ``picks``: the keys, phase, time_s; of several picks of a phase the earliest counts. Noise ends at the first pick. Without a pick there is no row.
+    """
+    at = lambda phase: F.min(F.when(F.col("phase") == phase, F.col("time_s")))
+    rows = picks.groupBy(*keys).agg(at("P").alias("P"), at("S").alias("S")).where("P is not null or S is not null")
+    rows = rows.withColumn("case", F.when(F.col("S").isNull(), "P").when(F.col("P").isNull(), "S").otherwise("PS"))
+    pick = lambda k: F.coalesce(*[F.when(F.col("case") == c, F.col(v[0]) + v[k]) for c, v in SIGNAL_S.items()])
+    first = F.coalesce("P", "S")
+    return rows.select(*keys, "case", (first - NOISE_S).alias("noise_start"), first.alias("noise_end"), pick(1).alias("signal_start"), pick(2).alias("signal_end"))
+
+
+def cut_windows(traces: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, case, snr_db`` of traces (keys, t0, fs, samples) whose noise and signal windows lie inside them."""
+    both = traces.join(windows, keys)
+    place = lambda c: F.round((F.col(c) - F.col("t0")) * F.col("fs")).cast("int")
+    inside = (F.col("noise_start") >= F.col("t0")) & (place("signal_end") <= F.array_size("samples"))
+    part = lambda a, b: F.slice("samples", place(a) + 1, place(b) - place(a))
+    return both.where(inside).select(*keys, "case", snr_db(part("signal_start", "signal_end"), part("noise_start", "noise_end")).alias("snr_db"))
+
+
 def extremes(samples: str, fs: str) -> Column:
     top, low = F.array_max(samples), F.array_min(samples)
     return F.struct(top.alias("max_amp"), low.alias("min_amp"), ((F.array_position(F.col(samples), low) - F.array_position(F.col(samples), top)) / F.col(fs)).alias("seconds"))

@@ -74,29 +74,31 @@ def match_events(ref: DataFrame, local: DataFrame, dt_s: float, dist_km: float |
 def nearest_scaled(local: DataFrame, ref: DataFrame, t_scale: float = 120.0, x_scale: float = 25.0, unit: str = "km", first_window: float = 1.0, rounds: int = 12) -> DataFrame:
     """For every local event the reference event of least sqrt((dt/t)^2 + (dx/x)^2), however far: ``id, ref_id, dt, dist, metric``.
 
-    Windows grow fourfold. A candidate within the window's bound is final, since the time part alone bounds the
-    metric from below; the rest go on. What is left after the last round is compared with the whole of ``ref``.
+    Windows grow fourfold in time and space. A candidate within the window's bound is final, since either part alone bounds the
+    metric from below, and all that are as near are in the window; the rest go on. The last window holds every pair.
     """
-    need = local.select("id", "time_s", "lat", "lon").where("time_s is not null and lat is not null and lon is not null")
-    other = ref.select("id", "time_s", "lat", "lon").where("time_s is not null and lat is not null and lon is not null")
+    need = cut(local.select("id", "time_s", "lat", "lon").where("time_s is not null and lat is not null and lon is not null"))
+    other = cut(ref.select("id", "time_s", "lat", "lon").where("time_s is not null and lat is not null and lon is not null"))
+    per = math.pi * 6371.0 / 180 if unit == "deg" else 1.0
+    metric = F.hypot(F.col("dt") / t_scale, F.col("dist") / per / x_scale)
+    ends = need.agg(F.min("time_s"), F.max("time_s")).first() + other.agg(F.min("time_s"), F.max("time_s")).first()
+    whole = 0.0 if None in ends else math.hypot((max(ends) - min(ends)) / t_scale, 20_040.0 / per / x_scale) + 1.0
     out, window = None, first_window
-    scale = F.lit(3.141592653589793 * 6371.0 / 180) if unit == "deg" else F.lit(1.0)
-    metric = F.hypot(F.col("dt") / t_scale, F.col("dist") / scale / x_scale)
 
     def best(pairs: DataFrame) -> DataFrame:
-        rows = pairs.select(F.col("ref_id").alias("id"), F.col("id").alias("ref_id"), (-F.col("dt")).alias("dt"), (F.col("dist") / scale).alias("dist"), metric.alias("metric"))
-        return rows.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("metric", "ref_id"))).where("_r = 1").drop("_r")
+        rows = pairs.select(F.col("ref_id").alias("id"), F.col("id").alias("ref_id"), (-F.col("dt")).alias("dt"), (F.col("dist") / per).alias("dist"), metric.alias("metric"))
+        first = rows.groupBy("id").agg(F.min(F.struct("metric", "ref_id", "dt", "dist")).alias("b"))
+        return first.select("id", "b.ref_id", "b.dt", "b.dist", "b.metric")
 
-    for _ in range(rounds):
-        found = best(candidates(need, other, window * t_scale)).where(F.col("metric") <= window).persist()
+    for k in range(max(rounds, 1) + 60):
+        window = whole if k >= rounds else min(window, whole)
+        found = cut(best(candidates(need, other, max(window, 1e-9) * t_scale, window * x_scale * per)).where(F.col("metric") <= window))
         out = found if out is None else out.unionByName(found)
-        need = need.join(found, "id", "left_anti").persist()
-        if need.isEmpty():
+        need = cut(need.join(found, "id", "left_anti"))
+        if window >= whole or need.isEmpty():
             return out
         window *= 4
-    rest = need.select(*[F.col(c).alias(f"ref_{c}") for c in need.columns]).crossJoin(other)
-    rest = rest.withColumn("dt", F.col("time_s") - F.col("ref_time_s")).withColumn("dist", haversine_km("ref_lat", "ref_lon", "lat", "lon"))
-    return out.unionByName(best(rest))
+    return out
 
 
 def compare_catalogs(local: DataFrame, refs: dict[str, DataFrame], dt_s: float, dist_km: float) -> DataFrame:
@@ -216,11 +218,18 @@ def event_pairs(events: DataFrame, deg: float = 0.1) -> DataFrame:
     return pairs if n > 2 else pairs.distinct()
 
 
-def pair_times(pairs: DataFrame, picks: DataFrame) -> DataFrame:
-    """Differential travel times of event pairs at each shared station and phase. ``picks``: id, station, phase, travel_s."""
+def pair_times(pairs: DataFrame, picks: DataFrame, coherence: DataFrame | None = None, least: float = 0.1) -> DataFrame:
+    """Differential travel times of event pairs at each shared station and phase. ``picks``: id, station, phase, travel_s.
+
+    With ``coherence`` (id_a, id_b, station, phase, coherence, as ``signal.pair_delay`` measures it) only times of more than the least stay.
+    """
     a = picks.select(F.col("id").alias("id_a"), "station", "phase", F.col("travel_s").alias("ta"))
     b = picks.select(F.col("id").alias("id_b"), "station", "phase", F.col("travel_s").alias("tb"))
-    return pairs.join(a, "id_a").join(b, ["id_b", "station", "phase"]).select("id_a", "id_b", "station", "phase", (F.col("ta") - F.col("tb")).alias("dt"))
+    times = pairs.join(a, "id_a").join(b, ["id_b", "station", "phase"]).select("id_a", "id_b", "station", "phase", (F.col("ta") - F.col("tb")).alias("dt"))
+    if coherence is None:
+        return times
+    keys = ["id_a", "id_b", "station", "phase"]
+    return times.join(coherence.where(F.col("coherence") > least).select(*keys, "coherence"), keys)
 
 
 def drop_isolated(events: DataFrame, neighbours: int = 10, km: float = 10.0) -> DataFrame:

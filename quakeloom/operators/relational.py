@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.geo import bearing, haversine_km
+from ..functions.geodesic import inverse
 from ..functions.lineage import cut
 from .match import candidates, nearest_k, small
 
@@ -61,14 +61,14 @@ def azimuthal_gap(azimuth: Column, single: str = "zero") -> Column:
 
 
 def event_geometry(assoc: DataFrame, origin: DataFrame, gap_single: str = "zero") -> tuple[DataFrame, DataFrame]:
-    """Associations with delta (degrees), esaz and seaz; origins with nass, nsphz and gap.
+    """Associations with delta (degrees of 6371 km), esaz and seaz on the ellipsoid; origins with nass, nsphz and gap.
 
-    Picks without station coordinates stay in the first and are left out of the gap.
+    seaz is the azimuth at the station of the way to the event, esaz the opposite direction. Picks without station coordinates stay in
+    the first and are left out of the gap.
     """
     o = origin.select("orid", F.col("lat").alias("_la"), F.col("lon").alias("_lo"))
-    a = assoc.join(o, "orid", "left")
-    delta = haversine_km("_la", "_lo", "slatitude", "slongitude") / (np.pi * 6371.0 / 180)
-    a = a.withColumn("delta", delta).withColumn("esaz", bearing("_la", "_lo", "slatitude", "slongitude")).withColumn("seaz", bearing("slatitude", "slongitude", "_la", "_lo")).drop("_la", "_lo")
+    a = assoc.join(o, "orid", "left").withColumn("_g", inverse("_la", "_lo", "slatitude", "slongitude"))
+    a = a.withColumn("delta", F.col("_g.km") / (np.pi * 6371.0 / 180)).withColumn("esaz", F.pmod(F.col("_g.baz") + 180, F.lit(360.0))).withColumn("seaz", F.col("_g.baz")).drop("_la", "_lo", "_g")
     per = a.groupBy("orid").agg(F.count(F.lit(1)).alias("nass"), F.count_if(F.col("phase") == "S").alias("nsphz"), azimuthal_gap(F.when(F.col("slatitude").isNotNull(), F.col("esaz")), gap_single).alias("gap"))
     return a, origin.join(per, "orid", "left")
 

@@ -60,9 +60,21 @@ def qc_flag(spark, sf_dir):
     return relational.qc_gate(_picked(spark, sf_dir), 2, 2, flag_only=True).select("orid", "qc_pass")
 
 
-GEOMETRY = f"""with {V.ASSOC}, {V.ORDER}, {V.STATION},
-a as (select assoc_v.*, {V.azimuth('o.lat', 'o.lon', 's.lat', 's.lon')} as esaz, {V.hav('o.lat', 'o.lon', 's.lat', 's.lon')} / (pi() * 6371.0 / 180) as delta
-  from assoc_v join order_v o using (orid) left join station_v s using (sta)),
+def _geodesic(steps: int = 8) -> str:
+    """SQL of the inverse problem on the ellipsoid: one pair of selections for each step."""
+    arc = "select *, atan2(ss, cs) as s, if(ss = 0, 0.0, c1 * c2 * sin(lam) / ss) as sa, 1 - pow(if(ss = 0, 0.0, c1 * c2 * sin(lam) / ss), 2) as ca from (select *, sqrt(pow(c2 * sin(lam), 2) + pow(c1 * s2 - s1 * c2 * cos(lam), 2)) as ss, s1 * s2 + c1 * c2 * cos(lam) as cs from {})"
+    tilt = "select *, cs - 2 * s1 * s2 / ca as m, f / 16 * ca * (4 + f * (4 - 3 * ca)) as c from ({})"
+    parts = ["e0 as (select assoc_v.*, 1 / 298.257223563::double as f, sin(atan((1 - 1 / 298.257223563::double) * tan(radians(o.lat)))) as s1, cos(atan((1 - 1 / 298.257223563::double) * tan(radians(o.lat)))) as c1, sin(atan((1 - 1 / 298.257223563::double) * tan(radians(s.lat)))) as s2, cos(atan((1 - 1 / 298.257223563::double) * tan(radians(s.lat)))) as c2, radians(s.lon - o.lon) as l, radians(s.lon - o.lon) as lam from assoc_v join order_v o using (orid) left join station_v s using (sta))"]
+    keep = "* exclude (ss, cs, s, sa, ca, m, c, lam)"
+    for k in range(steps):
+        parts.append(f"e{k + 1} as (select {keep}, l + (1 - c) * f * sa * (s + c * ss * (m + c * cs * (2 * m * m - 1))) as lam from ({tilt.format(arc.format(f'e{k}'))}))")
+    last = tilt.format(arc.format(f"e{steps}"))
+    parts.append(f"e as (select *, 6378.137 * (1 - f) * (1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2)))) as scale, u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2))) as b, degrees(atan2(c1 * sin(lam), c1 * s2 * cos(lam) - s1 * c2)) as ahead from (select *, ca * (1 / pow(1 - f, 2) - 1) as u2 from ({last})))")
+    return ", ".join(parts)
+
+
+GEOMETRY = f"""with {V.ASSOC}, {V.ORDER}, {V.STATION}, {_geodesic()},
+a as (select orid, phase, ahead + 360 - 360 * floor((ahead + 360) / 360) as esaz, scale * (s - b * ss * (m + b / 4 * (cs * (2 * m * m - 1) - b / 6 * m * (4 * ss * ss - 3) * (4 * m * m - 3)))) / (pi() * 6371.0 / 180) as delta from e),
 l as (select *, esaz - lag(esaz) over (partition by orid order by esaz) as step from a),
 g as (select orid, count(*) as nass, count(*) filter (phase = 'S') as nsphz,
   case when count(*) = 1 then 0.0 else greatest(max(step), 360 + min(esaz) - max(esaz)) end as gap, max(delta) as far from l group by orid)"""

@@ -44,9 +44,17 @@ def xyz(spark: SparkSession, path: str) -> DataFrame:
 
 
 def preamble_csv(spark: SparkSession, path: str, names: list[str], header_word: str, encoding: str = "ISO-8859-1") -> DataFrame:
-    """A file with lines before its header: rows that are too short, and the header itself, go by content."""
-    df = spark.read.option("header", False).option("encoding", encoding).csv(path, schema=", ".join(f"`{n}` string" for n in names))
-    return df.where(F.col(names[-1]).isNotNull() & (F.lower(F.trim(names[0])) != header_word.lower()))
+    """A file with lines before its header, which is the first line that begins with ``header_word``: what follows it stays, empty last columns or not.
+
+    Lines are told apart by their place in the file, so each file is read as a whole by one task; such files are short lists.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    lines = files.select(F.col("path").alias("_f"), F.posexplode(F.split(F.decode("content", encoding), "\r?\n")).alias("_at", "_line"))
+    starts = F.lower(F.trim(F.regexp_replace("_line", '^[\\s"\ufeff]+', ""))).startswith(header_word.lower())
+    head = lines.where(starts).groupBy(F.col("_f").alias("_h")).agg(F.min("_at").alias("_head"))
+    rows = lines.join(head, (lines["_f"] == head["_h"]) & (F.col("_at") > F.col("_head"))).where(F.trim("_line") != "")
+    parsed = F.from_csv("_line", ", ".join(f"`{n}` string" for n in names), {"mode": "PERMISSIVE"})
+    return rows.select(parsed.alias("r")).select("r.*")
 
 
 def geojson_events(spark: SparkSession, path: str) -> DataFrame:
