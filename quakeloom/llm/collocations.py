@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard
-from .vocabulary import likely_slots, places, slot, slots_for, summed, written
+from .vocabulary import likely_slots, numbered, places, slot, slots_for, summed, written
 
 WINDOW = 4
 #: One window in so many triggers.
@@ -31,6 +31,8 @@ BLOCK_WORDS = 3 << 19
 TASK_CHUNKS = 200_000
 #: Pairs of a task before their sums are passed on.
 TASK_PAIRS = 2_000_000
+#: Bits of a word's number.
+WIDTH = 31
 #: Frequent pairs that are sent to every task (16 MB); beyond, each block gets its own.
 MOST_PAIRS = 2_000_000
 #: Lower case of A-Z; punctuation and line ends part pieces.
@@ -286,15 +288,19 @@ def _long_phrases(reduced: DataFrame, doubles: DataFrame, most: int) -> DataFram
 
 
 def _frequent_words(words: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """(``of, code, id`` of each block's frequent words; ``id, lang, word, f``). Rows are moved by word once, for the sums and to bring them back: a word has a row a block."""
-    moved = words.repartition("lang", "word")
-    sums = moved.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least).withColumn("at", F.monotonically_increasing_id())
-    own = written(moved.drop("n").join(sums, ["lang", "word"], "left").where("at is not null"), "frequent")
+    """(``of, code, id`` of each block's frequent words; ``id, lang, word, f``). Rows are moved once, by word; a word has a row a block.
+
+    A word's number is the least place of its rows. Where places need more than ``WIDTH`` bits, words are numbered densely and joined.
+    """
+    same = Window.partitionBy("lang", "word")
+    rows = words.withColumn("row", F.monotonically_increasing_id()).withColumn("f", F.sum("n").over(same)).withColumn("at", F.min("row").over(same))
+    own = written(rows.where(F.col("f") >= least).select("of", "code", "lang", "word", "f", "at"), "frequent")
     part, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
     parts, most = own.agg(F.max(part), F.max(place)).first()
     bits = (most or 0).bit_length()
-    if (parts or 0).bit_length() + bits > 31:
-        raise ValueError("too many frequent words for numbers of 32 bits")
+    if (parts or 0).bit_length() + bits > WIDTH:
+        singles = written(numbered(own.select("lang", "word", "f").distinct(), "numbers"), "numbers")
+        return own.join(singles.drop("f"), ["lang", "word"]).select("of", "code", "id"), singles.select("id", "lang", "word", "f")
     number = F.shiftleft(part, bits).bitwiseOR(place).cast("int").alias("id")
     return own.select("of", "code", number), own.select(number, "lang", "word", "f").distinct()
 
