@@ -6,30 +6,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km, hypocentral_km
+from ..functions.lineage import cut
 from .match import in_regions, small
 from .relational import dedupe_events
 
 
-def travel_times(stations: DataFrame, nodes: DataFrame, v1d: DataFrame, max_km: float = 300.0) -> DataFrame:
-    """``sta, node, phase, tt``: distance over the mean velocity down to the node's depth (the table's last layer at or above it). A straight-ray stand-in."""
+def travel_times(stations: DataFrame, nodes: DataFrame, v1d: DataFrame, max_km: float = 300.0, inside: DataFrame | None = None) -> DataFrame:
+    """``sta, node, phase, tt``: distance over the mean velocity down to the node's depth (the table's last layer at or above it). A straight-ray stand-in.
+
+    ``inside`` (sta, region): a node (then a struct with its region) is seen by the stations of its region only.
+    """
     v = v1d.groupBy().agg(F.array_sort(F.collect_list(F.struct("depth", "vp", "vs"))).alias("layers"))
     n = nodes.crossJoin(F.broadcast(v)).withColumn("above", F.filter("layers", lambda x: x["depth"] <= F.col("depth")))
     n = n.withColumn("use", F.when(F.size("above") > 0, F.col("above")).otherwise(F.slice("layers", 1, 1)))
     mean = lambda f: F.aggregate("use", F.lit(0.0), lambda s, x: s + 1 / x[f], lambda s: F.size("use") / s)
     n = n.select("node", "lat", "lon", "depth", mean("vp").alias("P"), mean("vs").alias("S"))
     d = small(stations.select("sta", F.col("lat").alias("sa"), F.col("lon").alias("so"), F.col("elevation").alias("el"))).join(n, haversine_km("sa", "so", "lat", "lon") <= max_km)
+    if inside is not None:
+        d = d.withColumn("region", F.col("node.region")).join(small(inside), ["sta", "region"], "left_semi")
     d = d.withColumn("km", hypocentral_km(haversine_km("sa", "so", "lat", "lon"), "depth", "el"))
     return d.select("sta", "node", F.explode(F.array(*[F.struct(F.lit(p).alias("phase"), (F.col("km") / F.col(p)).alias("tt")) for p in ("P", "S")])).alias("x")).select("sta", "node", "x.*")
 
 
-def associate_picks(picks: DataFrame, stations: DataFrame, nodes: DataFrame, v1d: DataFrame, n_picks: int = 5, n_p: int = 1, n_s: int = 3, n_p_and_s: int = 1, bin_s: float = 2.0, max_km: float = 300.0) -> tuple[DataFrame, DataFrame]:
+def associate_picks(picks: DataFrame, stations: DataFrame, nodes: DataFrame, v1d: DataFrame, n_picks: int = 5, n_p: int = 1, n_s: int = 3, n_p_and_s: int = 1, bin_s: float = 2.0, max_km: float = 300.0, inside: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Events and assignments. ``picks``: pick_id, sta, phase, time_s; ``nodes``: node, lat, lon, depth.
 
     Each pick votes for the origin time it implies at each node, in its bin and the next, so an event at a bin's edge is not split.
     Bins that meet the four minima (picks, P, S, stations with both) are kept; a pick goes to its bin of most votes; bins
     are counted again and those now below the minima go. The origin time is the median of what its picks imply.
     """
-    tt = small(travel_times(stations, nodes, v1d, max_km))
+    tt = small(travel_times(stations, nodes, v1d, max_km, inside))
+    mine_of = ["pick_id"] if inside is None else ["pick_id", "region"]  # in each region a pick goes to one bin
     at = picks.join(tt, ["sta", "phase"]).withColumn("t0", F.col("time_s") - F.col("tt")).withColumn("bin", F.explode(F.array(F.floor(F.col("t0") / bin_s), F.floor(F.col("t0") / bin_s) - 1)))
     one = at.groupBy("node", "bin", "sta").agg(F.max((F.col("phase") == "P").cast("int")).alias("p"), F.max((F.col("phase") == "S").cast("int")).alias("s"))
     votes = one.groupBy("node", "bin").agg(F.sum(F.col("p") + F.col("s")).alias("n"), F.sum("p").alias("np"), F.sum("s").alias("ns"), F.sum(F.col("p") * F.col("s")).alias("both"))
@@ -37,7 +44,9 @@ def associate_picks(picks: DataFrame, stations: DataFrame, nodes: DataFrame, v1d
     good = votes.where(enough).select("node", "bin", "n")
     mine = at.join(good, ["node", "bin"])
     centre = F.abs(F.col("t0") / bin_s - F.col("bin") - 1)
-    best = mine.groupBy("pick_id").agg(F.max_by(F.struct("node", "bin", "sta", "phase", "time_s", "t0"), F.struct("n", -centre, "bin", "node")).alias("b")).select("pick_id", "b.*")
+    if inside is not None:
+        mine = mine.withColumn("region", F.col("node.region"))
+    best = mine.groupBy(*mine_of).agg(F.max_by(F.struct("node", "bin", "sta", "phase", "time_s", "t0"), F.struct("n", -centre, "bin", "node")).alias("b")).select("pick_id", "b.*")
     again = best.groupBy("node", "bin", "sta").agg(F.max((F.col("phase") == "P").cast("int")).alias("p"), F.max((F.col("phase") == "S").cast("int")).alias("s"))
     kept = again.groupBy("node", "bin").agg(F.sum(F.col("p") + F.col("s")).alias("n"), F.sum("p").alias("np"), F.sum("s").alias("ns"), F.sum(F.col("p") * F.col("s")).alias("both")).where(enough)
     rows = best.join(kept.select("node", "bin"), ["node", "bin"])
@@ -49,13 +58,9 @@ def associate_picks(picks: DataFrame, stations: DataFrame, nodes: DataFrame, v1d
 
 
 def associate_by_region(picks: DataFrame, stations: DataFrame, regions: DataFrame, nodes: DataFrame, v1d: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
-    """Association on each region's stations, then greedy de-duplication across regions. ``nodes`` has a ``region``. The regions are the short list of the model."""
-    inside = in_regions(stations, regions).persist()
-    events = assigned = None
-    for r in [x[0] for x in regions.select("region").distinct().orderBy("region").collect()]:
-        own = inside.where(F.col("region") == r).drop("region")
-        e, a = associate_picks(picks.join(own.select("sta"), "sta", "left_semi"), own, nodes.where(F.col("region") == r).drop("region"), v1d, **options)
-        events, assigned = (e, a) if events is None else (events.unionByName(e), assigned.unionByName(a))
-    kept = dedupe_events(events)
-    return kept, assigned.join(kept.select(F.col("id").alias("event_id")), "event_id", "left_semi")
-
+    """Association on each region's stations, then greedy de-duplication across regions. ``nodes`` has a ``region``. All regions are one job: a node's name holds its region."""
+    inside = in_regions(stations.select("sta", "lat", "lon"), regions).select("sta", "region")
+    named = nodes.withColumn("node", F.struct("region", "node")).drop("region")
+    events, assigned = associate_picks(picks, stations, named, v1d, inside=inside, **options)
+    kept = cut(dedupe_events(cut(events)))
+    return kept.withColumn("node", F.col("node.node")), assigned.join(kept.select(F.col("id").alias("event_id")), "event_id", "left_semi")

@@ -124,3 +124,13 @@ def running_sums(df: DataFrame, order: str, sums: dict[str, str]) -> DataFrame:
     own = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = ranged.join(F.broadcast(offsets), "_part")
     return rows.select(*df.columns, *[(F.col(f"_b_{n}") + F.sum(c).over(own)).alias(n) for n, c in sums.items()])
+
+
+def greatest_before(df: DataFrame, order: str, column: str, name: str) -> DataFrame:
+    """``df`` with the greatest value of ``column`` among all rows of smaller ``order``, whose values must be distinct; null where there is none."""
+    ranged = cut(df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()))
+    tops = ranged.groupBy("_part").agg(F.min(order).alias("_o"), F.max(column).alias("_top"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tops.select("_part", F.max("_top").over(before(Window.orderBy("_o"))).alias("_above"))  # a row for each range
+    own = F.max(column).over(before(Window.partitionBy("_part").orderBy(order)))
+    return ranged.join(F.broadcast(offsets), "_part").select(*df.columns, F.greatest(own, F.col("_above")).alias(name))

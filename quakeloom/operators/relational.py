@@ -13,6 +13,7 @@ from ..functions import columns as C
 from ..functions.geodesic import inverse
 from ..functions.lineage import cut
 from .match import candidates, nearest_k, small
+from .order_stats import greatest_before
 
 ALGORITHM = "genie"
 
@@ -156,12 +157,13 @@ def dedupe_events(events: DataFrame, dt_s: float = 10, dist_km: float = 25, max_
     # A session is named by its first time; a bucket without a start goes on with the last one before it.
     firsts = starts.groupBy("b").agg(F.array_sort(F.collect_set("start")).alias("starts"))
     buckets = own.select("b").distinct().join(firsts, "b", "left").withColumn("last", F.array_max("starts"))
-    carried = buckets.withColumn("before", F.last("last", ignorenulls=True).over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)))
+    carried = greatest_before(buckets, "b", "last", "before")
     placed = e.withColumn("b", F.floor(F.col("time_s") / width)).join(carried.select("b", "starts", "before"), "b")
     session = F.coalesce(F.array_max(F.filter("starts", lambda s: s <= F.col("time_s"))), F.col("before"))
     placed = placed.withColumn("session", session).drop("b", "starts", "before")
     sizes = placed.groupBy("session").agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.where(F.col("n") > max_session).select("session").persist()
+    large = sizes.where(F.col("n") > max_session).select("session")
+    large = cut(large)  # at most one of ``max_session`` events
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["time_s", "lat", "lon", "id"], ignore_index=True)
@@ -178,8 +180,8 @@ def dedupe_events(events: DataFrame, dt_s: float = 10, dist_km: float = 25, max_
 
 def _rounds(events: DataFrame, dt_s: float, dist_km: float) -> DataFrame:
     order = lambda p: F.struct(*[F.col(f"{p}{c}") for c in ("time_s", "lat", "lon", "id")])
-    edges = candidates(events.drop("session"), events.drop("session"), dt_s, dist_km).where(order("ref_") < order("")).select(F.col("ref_id").alias("a"), F.col("id").alias("b")).persist()
-    left, kept = events.select("id").persist(), None
+    edges = cut(candidates(events.drop("session"), events.drop("session"), dt_s, dist_km).where(order("ref_") < order("")).select(F.col("ref_id").alias("a"), F.col("id").alias("b")))
+    left, kept = cut(events.select("id")), None
     while not left.isEmpty():
         live = edges.join(left.withColumnRenamed("id", "a"), "a", "left_semi").join(left.withColumnRenamed("id", "b"), "b", "left_semi")
         stay = cut(left.join(live.select(F.col("b").alias("id")).distinct(), "id", "left_anti"))

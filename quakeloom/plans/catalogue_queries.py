@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions import geo, signal
+from ..functions import geo, signal, table_functions
 from ..operators import associate, classify, magnitude, match, relational, selection, stats
 from . import views as V
 
@@ -633,3 +633,29 @@ def scaled_match_bounds(spark, sf_dir):
     """How many nearest matches lie below each scaled distance."""
     m = match.nearest_scaled(V.local(spark, sf_dir), V.catalogue(spark, sf_dir, "click"))
     return selection.scaled_matches(m, (0.1, 0.2, 2**0.5, 20.0)).select("bound", "n", F.round("share", 9).alias("share"))
+
+
+@query(ORACLE_SQL["windows"])
+def windows_by_sql(spark, sf_dir):
+    """Windows of all traces from a table function."""
+    table_functions.register(spark)
+    V.traces(spark, sf_dir).createOrReplaceTempView("traces_of_windows")
+    return spark.sql("select id, win, start, round(aggregate(w.samples, 0D, (s, x) -> s + x), 6) as total from traces_of_windows, lateral trace_windows(traces_of_windows.samples, 16, 8) w")
+
+
+@query(ORACLE_SQL["trigger_picks"])
+def triggers_by_sql(spark, sf_dir):
+    """Triggers of all curves from a table function, partitioned by trace."""
+    table_functions.register(spark)
+    V.traces(spark, sf_dir).select("id", F.posexplode("samples").alias("sample", "p")).createOrReplaceTempView("curves")
+    return spark.sql("select id, onset, offset_, pick, round(max_prob, 6) as max_prob from triggers(table(curves) partition by (id) order by (sample), 0.1D, 4)")
+
+
+@query("with o as (select o_orderkey as id, o_orderdate::timestamp + to_seconds(o_orderkey % 86400) as a, o_orderdate::timestamp + to_seconds(o_orderkey % 86400 + o_custkey % 30000) as b from orders), m as (select *, date_trunc('day', a) + interval 1 day as d from o) select id, a as part_start, least(b, d) as part_end from m union all select id, d, b from m where b > d")
+def midnight_by_sql(spark, sf_dir):
+    """Spans split at midnight by a table function."""
+    table_functions.register(spark)
+    day, second = F.col("o_orderdate").cast("timestamp"), F.col("o_orderkey") % 86_400
+    after = lambda n: F.timestamp_micros(F.unix_micros(day) + n * 1_000_000)
+    V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), after(second).alias("a"), after(second + F.col("o_custkey") % 30_000).alias("b")).createOrReplaceTempView("spans_of_days")
+    return spark.sql("select id, part_start, part_end from spans_of_days, lateral midnight_parts(a, b)")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import row_ids
 from ..functions.geo import degree_minutes
+from ..functions.lineage import cut
 from ..functions.signal import pick_weight
 
 
@@ -32,7 +33,8 @@ def size_bounded(df: DataFrame, path: str, most_mb: float = 50.0, safety: float
 
 
 def with_rejects(df: DataFrame, good: str, bad: str) -> None:
-    """Rows whose reason is ok to one table, the others to another, both appended."""
+    """Rows whose reason is ok to one table, the others to another, both appended. What makes the rows runs once."""
+    df = cut(df)
     df.where(F.col("reason") == "ok").write.mode("append").parquet(good)
     df.where(F.coalesce(F.col("reason"), F.lit("")) != "ok").write.mode("append").parquet(bad)
 
