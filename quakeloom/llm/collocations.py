@@ -201,26 +201,42 @@ def _opened(ids: pa.Scalar, weights: pa.Scalar) -> tuple[np.ndarray, np.ndarray,
     return ids, weights, at, ids[at].astype(np.int64) << 32 | ids[at + 1]
 
 
-def _longer(ids: pa.Scalar, weights: pa.Scalar, kept: np.ndarray, most: int) -> tuple[list, list]:
-    """All phrases of 3 to ``most`` words whose pairs are all in ``kept``, as lists of numbers, and their sums."""
+def _longer(ids: pa.Scalar, weights: pa.Scalar, kept: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All phrases of 3 to ``most`` words whose pairs are all in ``kept``, length by length: rows of numbers, and their sums."""
     ids, weights, at, pairs = _opened(ids, weights)
     pair = np.full(len(ids), -1, dtype=np.int64)
     pair[at] = places(kept, pairs)
-    own, phrases, n = pair, [], []
+    own = pair
     for m in range(3, most + 1):
         ahead = np.full(len(ids), -1, dtype=np.int64)
         ahead[: len(ids) - (m - 2)] = pair[m - 2 :]
         starts = np.flatnonzero((own >= 0) & (ahead >= 0))
         if not len(starts):
-            break
+            return
         keys, first, back = np.unique(own[starts] * len(kept) + ahead[starts], return_index=True, return_inverse=True)
         own = np.full(len(ids), -1, dtype=np.int64)
         own[starts] = back.ravel()
         sums = summed(back.ravel(), weights[starts], len(keys))
         there = starts[first][sums > 0]
-        phrases += np.stack([ids[there + k] for k in range(m)], axis=1).tolist()
-        n += sums[sums > 0].tolist()
-    return phrases, n
+        yield np.stack([ids[there + k] for k in range(m)], axis=1), sums[sums > 0]
+
+
+def _hashed(phrases: np.ndarray) -> np.ndarray:
+    """A number for each row of numbers."""
+    h = np.zeros(len(phrases), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for column in phrases.T:
+            h = (h ^ column.astype(np.uint64)) * _MIX[2]
+            h ^= h >> np.uint64(31)
+    return h.view(np.int64)
+
+
+def _listed(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    phrases, n = [], []
+    for rows, sums in found:
+        phrases += rows.tolist()
+        n += sums.tolist()
+    return pa.table({"ids": pa.array(phrases, pa.list_(pa.int32())), "n": pa.array(n, pa.int64())})
 
 
 def _keys(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -261,30 +277,36 @@ def _pairs(likely: np.ndarray | None):
     return pairs
 
 
-def _long_phrases(reduced: DataFrame, doubles: DataFrame, most: int) -> DataFrame:
-    """``ids, f`` of phrases of 3 and more words, summed over blocks. Few frequent pairs are sent to every task, many to the blocks that hold them."""
+def _long_phrases(reduced: DataFrame, doubles: DataFrame, least: int, most: int, slots: int) -> DataFrame:
+    """``ids, f`` of frequent phrases of 3 and more words. Few frequent pairs are sent to every task, many to the blocks that hold them."""
     spark, schema = reduced.sparkSession, "ids array<int>, n long"
     if doubles.limit(MOST_PAIRS + 1).count() <= MOST_PAIRS:
         kept = spark.sparkContext.broadcast(np.sort(doubles.select("pair").toArrow().column("pair").to_numpy()))
 
+        def keys_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for i in range(batch.num_rows):
+                for phrases, n in _longer(batch.column(1)[i], batch.column(2)[i], kept.value, most):
+                    yield _hashed(phrases), n
+
+        likely = spark.sparkContext.broadcast(likely_slots(reduced, keys_of, least, slots))
+
         def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i in range(batch.num_rows):
-                    phrases, n = _longer(batch.column(1)[i], batch.column(2)[i], kept.value, most)
-                    yield pa.RecordBatch.from_arrays([pa.array(phrases, pa.list_(pa.int32())), pa.array(n, pa.int64())], names=["ids", "n"])
+                    found = ((p, n, likely.value[slot(_hashed(p), slots)]) for p, n in _longer(batch.column(1)[i], batch.column(2)[i], kept.value, most))
+                    yield from _listed((p[there], n[there]) for p, n, there in found).to_batches()
 
         rows = reduced.mapInArrow(longer, schema)
     else:
         own = reduced.mapInArrow(_pairs(None), "pair long, block long").join(doubles.select("pair"), "pair").select(F.col("block").alias("of"), "pair")
 
         def within(blocks: pa.Table, own: pa.Table) -> pa.Table:
-            phrases, n = [], []
-            if blocks.num_rows and own.num_rows:
-                phrases, n = _longer(blocks.column("ids")[0], blocks.column("weights")[0], np.sort(own.column("pair").to_numpy()), most)
-            return pa.table({"ids": pa.array(phrases, pa.list_(pa.int32())), "n": pa.array(n, pa.int64())})
+            if not blocks.num_rows or not own.num_rows:
+                return _listed(iter(()))
+            return _listed(_longer(blocks.column("ids")[0], blocks.column("weights")[0], np.sort(own.column("pair").to_numpy()), most))
 
         rows = reduced.groupBy("block").cogroup(own.groupBy("of")).applyInArrow(within, schema)
-    return rows.groupBy("ids").agg(F.sum("n").alias("f"))
+    return rows.groupBy("ids").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
 
 
 def _frequent_words(words: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
@@ -325,7 +347,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     doubles = written(reduced.mapInArrow(_pairs(likely), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "doubles")
     found = doubles.select(F.array(F.shiftright("pair", 32).cast("int"), F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("ids"), "f")
     if most > 2:
-        found = found.unionByName(_long_phrases(reduced, doubles, most).where(F.col("f") >= least))
+        found = found.unionByName(_long_phrases(reduced, doubles, least, most, slots))
     spelled = found.select("ids", "f", F.posexplode("ids").alias("at", "id")).join(singles.select("id", "lang", "word"), "id")
     spelled = spelled.groupBy("ids", "f").agg(F.min("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("at", F.col("word").cast("string").alias("word")))).alias("w"))
     longer = spelled.select("lang", F.array_join(F.col("w.word"), " ").alias("phrase"), "f")
