@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def strip_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
@@ -104,15 +106,11 @@ def unpivot_arrivals(df: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def row_ids(df: DataFrame, order: list[str], name: str = "pick_id", start: int = 0) -> DataFrame:
-    """Consecutive ids in the order given. Ranges of the first column are counted first, so no sort passes through one task."""
-    first = order[0]
-    cuts = df.agg(F.percentile_approx(first, [i / 32 for i in range(1, 32)], 2000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    part = F.array_size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(first))) if cuts else F.lit(0)
-    own = df.withColumn("_part", F.coalesce(part, F.lit(-1)))
-    sizes = own.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    rows = own.join(F.broadcast(before), "_part")  # 33 rows at most
+    """Consecutive ids in the order given. Rows are dealt out by range and written; ranges are counted first, then rows within theirs."""
+    ranged = cut(df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    rows = ranged.join(F.broadcast(sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))), "_part")
     at = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return rows.withColumn(name, (F.col("_before") + at - 1 + start).cast("long")).drop("_part", "_before")
 
