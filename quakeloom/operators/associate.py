@@ -2,30 +2,45 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine_km, hypocentral_km
+from ..functions.geo import haversine_km
 from ..functions.lineage import cut
+from ..functions.rays import MOST_LAYERS, first_arrival, layers_of
+from . import cells
 from .match import in_regions, small
 from .relational import dedupe_events
 
 
 def travel_times(stations: DataFrame, nodes: DataFrame, v1d: DataFrame, max_km: float = 300.0, inside: DataFrame | None = None) -> DataFrame:
-    """``sta, node, phase, tt``: distance over the mean velocity down to the node's depth (the table's last layer at or above it). A straight-ray stand-in.
+    """``sta, node, phase, tt``: first arrivals from each node to the stations within ``max_km``, through the layers of ``v1d`` (depth, vp, vs and, if given, vp_grad, vs_grad).
 
-    ``inside`` (sta, region): a node (then a struct with its region) is seen by the stations of its region only.
+    Stations are looked for in the cells that a node's circle reaches into. ``inside`` (sta, region): a node (then a struct with its
+    region) is seen by the stations of its region only.
     """
-    v = v1d.groupBy().agg(F.array_sort(F.collect_list(F.struct("depth", "vp", "vs"))).alias("layers"))
-    n = nodes.crossJoin(F.broadcast(v)).withColumn("above", F.filter("layers", lambda x: x["depth"] <= F.col("depth")))
-    n = n.withColumn("use", F.when(F.size("above") > 0, F.col("above")).otherwise(F.slice("layers", 1, 1)))
-    mean = lambda f: F.aggregate("use", F.lit(0.0), lambda s, x: s + 1 / x[f], lambda s: F.size("use") / s)
-    n = n.select("node", "lat", "lon", "depth", mean("vp").alias("P"), mean("vs").alias("S"))
-    d = small(stations.select("sta", F.col("lat").alias("sa"), F.col("lon").alias("so"), F.col("elevation").alias("el"))).join(n, haversine_km("sa", "so", "lat", "lon") <= max_km)
+    model = [r.asDict() for r in v1d.limit(MOST_LAYERS + 1).collect()]
+    if len(model) > MOST_LAYERS:
+        raise ValueError(f"more than {MOST_LAYERS} layers")
+    layers = {p: layers_of(model, v) for p, v in (("P", "vp"), ("S", "vs"))}
+    km = F.lit(float(max_km))
+    level = cells.level_of(km)
+    n = nodes.select("node", "lat", "lon", "depth").withColumn("_c", F.explode(cells.cover(level, F.col("lat"), F.col("lon"), km))).withColumn("_y", F.col("_c.y")).withColumn("_x", F.col("_c.x"))
+    y, x = cells.cell(level, F.col("lat"), F.col("lon"))
+    s = stations.select("sta", F.col("lat").alias("sa"), F.col("lon").alias("so"), F.col("elevation").alias("el"), y.alias("_y"), x.alias("_x"))
+    d = n.join(s, ["_y", "_x"]).withColumn("x", haversine_km("sa", "so", "lat", "lon")).where(F.col("x") <= km)
     if inside is not None:
         d = d.withColumn("region", F.col("node.region")).join(small(inside), ["sta", "region"], "left_semi")
-    d = d.withColumn("km", hypocentral_km(haversine_km("sa", "so", "lat", "lon"), "depth", "el"))
-    return d.select("sta", "node", F.explode(F.array(*[F.struct(F.lit(p).alias("phase"), (F.col("km") / F.col(p)).alias("tt")) for p in ("P", "S")])).alias("x")).select("sta", "node", "x.*")
+
+    @F.pandas_udf("p double, s double")
+    def arrivals(x: pd.Series, depth: pd.Series, elevation: pd.Series) -> pd.DataFrame:
+        at = x.to_numpy(), depth.fillna(0.0).to_numpy(), -elevation.fillna(0.0).to_numpy() / 1000
+        return pd.DataFrame({"p": first_arrival(*at, *layers["P"]), "s": first_arrival(*at, *layers["S"])})
+
+    d = d.select("sta", "node", arrivals("x", F.col("depth").cast("double"), F.col("el").cast("double")).alias("t"))
+    both = F.array(F.struct(F.lit("P").alias("phase"), F.col("t.p").alias("tt")), F.struct(F.lit("S").alias("phase"), F.col("t.s").alias("tt")))
+    return d.select("sta", "node", F.explode(both).alias("v")).select("sta", "node", "v.*")
 
 
 def associate_picks(picks: DataFrame, stations: DataFrame, nodes: DataFrame, v1d: DataFrame, n_picks: int = 5, n_p: int = 1, n_s: int = 3, n_p_and_s: int = 1, bin_s: float = 2.0, max_km: float = 300.0, inside: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
