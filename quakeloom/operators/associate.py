@@ -50,7 +50,7 @@ def associate_picks(picks: DataFrame, stations: DataFrame, nodes: DataFrame, v1d
     Bins that meet the four minima (picks, P, S, stations with both) are kept; a pick goes to its bin of most votes; bins
     are counted again and those now below the minima go. The origin time is the median of what its picks imply.
     """
-    tt = small(travel_times(stations, nodes, v1d, max_km, inside))
+    tt = small(cut(travel_times(stations, nodes, v1d, max_km, inside)))
     mine_of = ["pick_id"] if inside is None else ["pick_id", "region"]  # in each region a pick goes to one bin
     at = picks.join(tt, ["sta", "phase"]).withColumn("t0", F.col("time_s") - F.col("tt")).withColumn("bin", F.explode(F.array(F.floor(F.col("t0") / bin_s), F.floor(F.col("t0") / bin_s) - 1)))
     one = at.groupBy("node", "bin", "sta").agg(F.max((F.col("phase") == "P").cast("int")).alias("p"), F.max((F.col("phase") == "S").cast("int")).alias("s"))

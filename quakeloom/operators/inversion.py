@@ -128,7 +128,7 @@ def _diagonal(packed: DataFrame, system: _Unknowns) -> np.ndarray:
     return _summed(packed, system.size, make)
 
 
-def _solve(packed: DataFrame, system: _Unknowns, gauge_w: float, tolerance: float, most: int) -> np.ndarray:
+def _solve(packed: DataFrame, system: _Unknowns, gauge_w: float, tolerance: float, most: int, start: np.ndarray) -> np.ndarray:
     """Conjugate gradients; the preconditioner is the diagonal and the gauge, whose inverse has a closed form."""
     n, w2 = len(system.names), gauge_w * gauge_w
     own = [np.flatnonzero(system.phase_of == p) for p in range(len(system.phases))]
@@ -147,13 +147,15 @@ def _solve(packed: DataFrame, system: _Unknowns, gauge_w: float, tolerance: floa
             out[at] -= (w2 * out[at].sum() / (1 + w2 * (1 / d[at]).sum())) / d[at]
         return out
 
-    c = np.zeros(system.size)
+    c = start
     if not n:
         return c
     rest = _product(packed, system, None)
+    goal = tolerance * tolerance * float(rest @ precondition(rest))
+    if c.any():
+        rest = rest - _product(packed, system, c) - system.d2 * c - gauge(c)
     z = precondition(rest)
     p, rz = z, float(rest @ z)
-    goal = tolerance * tolerance * rz
     for _ in range(most):
         if rz <= goal or rz == 0.0:
             break
@@ -166,14 +168,19 @@ def _solve(packed: DataFrame, system: _Unknowns, gauge_w: float, tolerance: floa
     return c
 
 
-def invert_magnitudes(obs: DataFrame, damp: float = 1e-3, gauge_w: float = 1000.0, fix_n: float | None = None, tolerance: float = 1e-12, max_steps: int = 2000) -> tuple[DataFrame, DataFrame, dict[str, float]]:
+def invert_magnitudes(obs: DataFrame, damp: float = 1e-3, gauge_w: float = 1000.0, fix_n: float | None = None, tolerance: float = 1e-10, max_steps: int = 2000, start: tuple[DataFrame, dict[str, float]] | None = None) -> tuple[DataFrame, DataFrame, dict[str, float]]:
     """Events' magnitudes, station terms and attenuation from amplitudes by damped least squares.
 
     ``obs``: event_id, station, phase, dist_hypo_km, log10A; rows that lack one take no part. ``fix_n`` holds n and moves its term to
     the data. Returns ``event_id, M_rel``; ``station, phase, C, n_obs``; and the slopes by ``n|phase`` and ``k|phase``.
     """
     packed, system = _system(obs, fix_n, damp)
-    c = _solve(packed, system, gauge_w, tolerance, max_steps)
+    before = np.zeros(system.size)
+    if start is not None:  # station terms and slopes of an earlier solution
+        known = {(r["station"], r["phase"]): r["C"] for r in start[0].select("station", "phase", "C").collect()}
+        slopes = [start[1].get(f"{k}|{x}", 0.0) for k in ("kn" if fix_n is None else "k") for x in system.phases]
+        before[: len(system.names) + len(slopes)] = [*(known.get(x, 0.0) for x in system.names), *slopes]
+    c = _solve(packed, system, gauge_w, tolerance, max_steps, before)
     spark, n, p = obs.sparkSession, len(system.names), len(system.phases)
     kind = obs.schema["event_id"]
 
@@ -206,5 +213,5 @@ def fit_magnitudes(obs: DataFrame, damp: float = 1e-3, gauge_w: float = 1000.0,
     kept = cut(reject_mad(first, k).select(*obs.columns))
     if kept.count() == first.count():
         return first, terms, coeffs
-    mags, terms, coeffs = invert_magnitudes(kept, damp, gauge_w, fix_n)
+    mags, terms, coeffs = invert_magnitudes(kept, damp, gauge_w, fix_n, start=(terms, coeffs))
     return residuals(kept, mags, terms, coeffs), terms, coeffs

@@ -235,21 +235,18 @@ def pair_times(pairs: DataFrame, picks: DataFrame, coherence: DataFrame | None =
 def drop_isolated(events: DataFrame, neighbours: int = 10, km: float = 10.0) -> DataFrame:
     """Events with at least so many others within the distance.
 
-    Events of a cell so small that all in it are neighbours need no distances if the cell holds enough. Only the others, at most
-    ``neighbours`` to a cell, are compared with the events of the cells that their circle reaches into.
+    Cells are so small that all events of a cell and of the eight around it are neighbours of the cell's own: where these hold enough
+    no distance is needed. Only the other events are compared with those of the cells that their circle reaches into.
     """
-    small_level = max(cells.LEAST, math.floor(math.log2(km / (math.pi * cells.RADIUS / 180) / 4))) if km > 0 else cells.LEAST
-    fits = km > 4 * 2.0**small_level * math.pi * cells.RADIUS / 180 / 1.0001
     e = events.where("lat is not null and lon is not null").select("id", "lat", "lon")
-    y, x = cells.cell(F.lit(small_level), F.col("lat"), F.col("lon"))
-    own = e.withColumn("_y", y).withColumn("_x", x)
-    crowded = own.groupBy("_y", "_x").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > neighbours).select("_y", "_x")
-    if not fits or neighbours < 1:
-        crowded = crowded.where("false")
-    # Near the poles cells are wider than high: their events are compared.
-    tight = F.abs(F.col("lat")) < 60
-    sure = own.where(tight).join(crowded, ["_y", "_x"], "left_semi").select("id")
-    open_ = own.where(tight).join(crowded, ["_y", "_x"], "left_anti").unionByName(own.where(~tight)).select(F.col("id").alias("ia"), F.col("lat").alias("la"), F.col("lon").alias("oa"))
+    side = max(km, 1e-6) / (math.pi * cells.RADIUS / 180) / (2 * math.sqrt(2)) / 1.001  # degrees; of longitude they are shorter on the ground
+    own = e.withColumn("_y", F.floor(F.col("lat") / side)).withColumn("_x", F.floor(F.col("lon") / side))
+    counts = own.groupBy("_y", "_x").agg(F.count(F.lit(1)).alias("_n"))
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    sums = counts.select("_y", "_x", "_n", around.alias("d")).groupBy((F.col("_y") + F.col("d.i")).alias("_y"), (F.col("_x") + F.col("d.j")).alias("_x")).agg(F.sum("_n").alias("_n"))
+    crowded = sums.where(F.col("_n") > neighbours).select("_y", "_x")
+    sure = own.join(crowded, ["_y", "_x"], "left_semi").select("id")
+    open_ = own.join(crowded, ["_y", "_x"], "left_anti").select(F.col("id").alias("ia"), F.col("lat").alias("la"), F.col("lon").alias("oa"))
     level = cells.level_of(F.lit(float(km)))
     a = open_.withColumn("_c", F.explode(cells.cover(level, F.col("la"), F.col("oa"), F.lit(float(km))))).select("ia", "la", "oa", F.col("_c.y").alias("y"), F.col("_c.x").alias("x"))
     y, x = cells.cell(level, F.col("lat"), F.col("lon"))

@@ -120,6 +120,8 @@ def _crossing(g: pd.DataFrame) -> pd.DataFrame:
 
 def select_slopes(points: DataFrame, blocks: int, ranks: list[int], rel: float = 1e-13) -> list[float]:
     """The slopes of these ranks (from 0) among the ascending slopes of all pairs with different x."""
+    if blocks == 1:  # no more points than BLOCK: one task orders their slopes
+        return _few(points, ranks)
     n = points.count()
     rate = min(1.0, SAMPLE / max(1, n))
     some = points.where(F.pmod(F.xxhash64("x", "y", F.lit(11)), F.lit(1_000_000)) < F.lit(int(rate * 1_000_000) + 1)).select("x", "y").limit(2 * SAMPLE).toPandas()
@@ -152,6 +154,22 @@ def select_slopes(points: DataFrame, blocks: int, ranks: list[int], rel: float =
     return [high[r] for r in ranks]
 
 
+def _few(points: DataFrame, ranks: list[int]) -> list[float]:
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        d = pd.concat([pd.DataFrame({"x": [], "y": [], "w": []}), *batches])
+        x, y, w = (d[c].to_numpy(float) for c in ("x", "y", "w"))
+        i, j = np.triu_indices(len(x), 1)
+        i, j = i[x[i] != x[j]], j[x[i] != x[j]]
+        s = (y[j] - y[i]) / (x[j] - x[i])
+        order = np.argsort(s)
+        upto = np.cumsum((w[i] * w[j])[order])
+        if len(s):
+            yield pd.DataFrame({"k": range(len(ranks)), "s": s[order][np.searchsorted(upto, np.array(ranks), side="right")]})
+
+    found = {r["k"]: r["s"] for r in points.select("x", "y", "w").coalesce(1).mapInPandas(pick, "k int, s double").collect()}
+    return [found[k] for k in range(len(ranks))]
+
+
 def _between(low: float, high: float, sample: np.ndarray) -> list[float]:
     """Slopes to try inside a bracket: of the sample as long as it has some there, evenly spaced ones when they get few; outwards where it is open."""
     inside = np.unique(sample[(sample > low) & (sample < high)])
