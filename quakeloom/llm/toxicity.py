@@ -273,7 +273,7 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", score
         for at in range(0, len(texts), 250):
             sets = [words_of(t) for t in texts.iloc[at : at + 250]]
             new = [w for w in set().union(*sets) if w not in known]
-            if len(known) + len(new) > 600_000:
+            if len(known) + len(new) > 150_000:
                 known.clear()
                 new = list(set().union(*sets))
             known.update(zip(new, model.words(new).tolist(), strict=True))
