@@ -291,10 +291,24 @@ def _long_phrases(reduced: DataFrame, doubles: DataFrame, least: int, most: int,
         likely = spark.sparkContext.broadcast(likely_slots(reduced, keys_of, least, slots))
 
         def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, size = defaultdict(list), 0
+
+            def out() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                for parts in held.values():
+                    phrases, back = np.unique(np.concatenate([p for p, _ in parts]), axis=0, return_inverse=True)
+                    yield phrases, summed(back.ravel(), np.concatenate([n for _, n in parts]), len(phrases))
+                held.clear()
+
             for batch in batches:
                 for i in range(batch.num_rows):
-                    found = ((p, n, likely.value[slot(_hashed(p), slots)]) for p, n in _longer(batch.column(1)[i], batch.column(2)[i], kept.value, most))
-                    yield from _listed((p[there], n[there]) for p, n, there in found).to_batches()
+                    for phrases, n in _longer(batch.column(1)[i], batch.column(2)[i], kept.value, most):
+                        there = likely.value[slot(_hashed(phrases), slots)]
+                        held[phrases.shape[1]].append((phrases[there], n[there]))
+                        size += int(there.sum())
+                    if size > TASK_PAIRS:
+                        yield from _listed(out()).to_batches()
+                        size = 0
+            yield from _listed(out()).to_batches()
 
         rows = reduced.mapInArrow(longer, schema)
     else:
