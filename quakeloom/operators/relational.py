@@ -191,9 +191,9 @@ def _rounds(events: DataFrame, dt_s: float, dist_km: float) -> DataFrame:
     return kept
 
 
-def nearest_stations(events: DataFrame, stations: DataFrame, k: int) -> DataFrame:
-    """The k + 1 nearest stations of each event with their rank, from cells that widen until they are proven nearest."""
-    return nearest_k(events, stations, k + 1, "sta", metric="sphere").select("id", "sta", F.col("km").alias("dist"), "rank")
+def nearest_stations(events: DataFrame, stations: DataFrame, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The k + 1 nearest stations of each event with their rank, and the event's columns ``keep``; from cells that widen until they are proven nearest."""
+    return nearest_k(events, stations, k + 1, "sta", metric="sphere", keep=keep).select("id", "sta", F.col("km").alias("dist"), "rank", *keep)
 
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
