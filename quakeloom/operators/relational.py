@@ -64,7 +64,7 @@ def azimuthal_gap(azimuth: Column, single: str = "zero") -> Column:
 def event_geometry(assoc: DataFrame, origin: DataFrame, gap_single: str = "zero") -> tuple[DataFrame, DataFrame]:
     """Associations with delta (degrees of 6371 km), esaz and seaz on the ellipsoid; origins with nass, nsphz and gap.
 
-    seaz is the azimuth at the station of the way to the event, esaz the opposite direction. Picks without station coordinates stay in
+    seaz is the azimuth at the station of the way to the event, esaz the opposite direction. An event at its station has seaz 0, so esaz 180. Picks without station coordinates stay in
     the first and are left out of the gap.
     """
     o = origin.select("orid", F.col("lat").alias("_la"), F.col("lon").alias("_lo"))
