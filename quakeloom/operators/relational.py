@@ -143,8 +143,9 @@ def dedupe_events(events: DataFrame, dt_s: float = 10, dist_km: float = 25, max_
     """Greedy de-duplication in order of (time, lat, lon, id): a kept event drops all others within both bounds.
 
     Time gaps over ``dt_s`` part the events into independent sessions, each walked apart. Sessions over
-    ``max_session`` events are settled in rounds on their conflict pairs instead: an event without an earlier undecided or kept
-    neighbour stays and its neighbours go. Both give the walk's result.
+    ``max_session`` events are cut into slices of time that are walked side by side (``_slices``), or, where ``dt_s`` alone holds too many
+    events for a walk, settled in rounds on their conflict pairs: an event without an earlier undecided or kept
+    neighbour stays and its neighbours go. All give the walk's result.
     """
     e = events.where("time_s is not null and lat is not null and lon is not null")
     # The event before each one, found within a time bucket and the bucket before: no global order is needed.
@@ -174,13 +175,65 @@ def dedupe_events(events: DataFrame, dt_s: float = 10, dist_km: float = 25, max_
     together = F.floor(F.col("session") / (1024 * dt_s))
     kept = slim.join(large, "session", "left_anti").groupBy(together).applyInPandas(walk, f"id {dict(events.dtypes)['id']}")
     if not large.isEmpty():
-        kept = kept.unionByName(_rounds(slim.join(large, "session", "left_semi"), dt_s, dist_km))
+        kept = kept.unionByName(_slices(slim.join(large, "session", "left_semi").drop("session"), dt_s, dist_km))
     return events.join(kept, "id", "left_semi")
 
 
+#: Events of a slice of time that is walked in one call, and the most times ``dt_s`` that it lasts.
+SLICE_EVENTS, SLICE_LENGTH = 200_000, 64
+
+
+def _slices(events: DataFrame, dt_s: float, dist_km: float) -> DataFrame:
+    """Ids of the events that the greedy walk keeps, by slices of time no shorter than ``dt_s``.
+
+    A slice's walk depends on what is kept in the last ``dt_s`` of the slice before. All slices are walked as if that were none, then those again
+    whose beginning is not the one they were walked with, until there is none. The first slice is right at once and each one when its
+    beginning is; a walk soon forgets how it began, so few rounds are needed.
+    """
+    events = cut(events)
+    most = events.groupBy(F.floor(F.col("time_s") / dt_s)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > SLICE_EVENTS or dt_s <= 0:
+        return _rounds(events, dt_s, dist_km)
+    length = dt_s * max(1, min(SLICE_LENGTH, SLICE_EVENTS // max(1, most)))
+    sliced = cut(events.select(F.floor(F.col("time_s") / length).alias("slice"), "id", "time_s", "lat", "lon"))
+    kind = ", ".join(f"{c} {t}" for c, t in sliced.dtypes)
+
+    def walk(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty:
+            return rows
+        both = [x.sort_values(["time_s", "lat", "lon", "id"]) for x in (before, rows)]
+        # All that was kept before is kept again: nothing in it is near another.
+        order = pd.concat([both[0].assign(slice=rows["slice"].iloc[0]), both[1]], ignore_index=True)
+        keep = greedy_walk(order, dt_s, dist_km)
+        keep[: len(before)] = False
+        return order.loc[keep]
+
+    def walked(rows: DataFrame, begins: DataFrame) -> DataFrame:
+        return cut(rows.groupBy("slice").cogroup(begins.groupBy("slice")).applyInPandas(walk, kind))
+
+    def beginnings(kept: DataFrame) -> DataFrame:
+        after = (F.col("slice") + 1) * length
+        return kept.where(F.col("time_s") >= after - dt_s * 1.001).withColumn("slice", F.col("slice") + 1)
+
+    def marks(begins: DataFrame) -> DataFrame:
+        return begins.groupBy("slice").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+
+    none = sliced.limit(0)
+    kept, used = walked(sliced, none), marks(none)
+    while True:
+        begins = cut(beginnings(kept).join(sliced.select("slice").distinct(), "slice", "left_semi"))
+        now = cut(marks(begins))
+        old = used.withColumnRenamed("ids", "old")
+        changed = cut(now.join(old, "slice", "full").where(~F.col("ids").eqNullSafe(F.col("old"))).select("slice"))
+        if changed.isEmpty():
+            return kept.select("id")
+        again = walked(sliced.join(changed, "slice", "left_semi"), begins.join(changed, "slice", "left_semi"))
+        kept, used = cut(kept.join(changed, "slice", "left_anti").unionByName(again)), now
+
+
 def _rounds(events: DataFrame, dt_s: float, dist_km: float) -> DataFrame:
     order = lambda p: F.struct(*[F.col(f"{p}{c}") for c in ("time_s", "lat", "lon", "id")])
-    edges = cut(candidates(events.drop("session"), events.drop("session"), dt_s, dist_km).where(order("ref_") < order("")).select(F.col("ref_id").alias("a"), F.col("id").alias("b")))
+    edges = cut(candidates(events, events, dt_s, dist_km).where(order("ref_") < order("")).select(F.col("ref_id").alias("a"), F.col("id").alias("b")))
     left, kept = cut(events.select("id")), None
     while not left.isEmpty():
         live = edges.join(left.withColumnRenamed("id", "a"), "a", "left_semi").join(left.withColumnRenamed("id", "b"), "b", "left_semi")
