@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..functions.geo import attenuation, haversine_km, hypocentral_km
 from ..functions.lineage import cut
 from .inversion import fit_magnitudes, invert_magnitudes  # noqa: F401  part of this module's interface
+from .match import small
 from .stats import mad
+from .vectors import summed
 
 
 def amplitude_distance(picks_amp: DataFrame) -> DataFrame:
@@ -30,11 +37,54 @@ def noise_floor(obs: DataFrame, least: float) -> DataFrame:
     return obs.where(F.col("log10A") >= least)
 
 
+#: Stations whose counts are sent to every task of a round.
+MOST_STATIONS = 5_000_000
+
+
 def kcore_prune(obs: DataFrame, min_sta: int = 8, min_ev: int = 3, station: str = "station", event: str = "event_id", max_rounds: int = 200) -> DataFrame:
     """The largest part of ``obs`` where each station has ``min_sta`` rows and each event ``min_ev``; unique, so order is of no matter.
 
-    Each round is checkpointed. Only counts of keys are shuffled beside the rows.
+    Which stations are left decides which events are, so a round only counts each station's rows: an event's stations are packed once, a task
+    gets the stations that are left and gives back their counts, and rows move once, at the end.
     """
+    rows = obs.where(F.col(station).isNotNull() & F.col(event).isNotNull())
+    names = cut(rows.groupBy(F.col(station).alias("_s")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_sta).select("_s"))
+    size = names.count()
+    if size > MOST_STATIONS:
+        return _prune_rows(rows, min_sta, min_ev, station, event, max_rounds)
+    numbers = [T.StructField("_s", obs.schema[station].dataType), T.StructField("_i", T.IntegerType())]
+    stations = [r["_s"] for r in names.collect()]
+    index = small(obs.sparkSession.createDataFrame([(x, i) for i, x in enumerate(stations)], T.StructType(numbers)), MOST_STATIONS)
+    slim = rows.select(F.col(event).alias("_e"), F.col(station).alias("_s")).join(index, "_s")
+    packed = cut(slim.groupBy("_e").agg(F.collect_list("_i").alias("i")).where(F.size("i") >= min_ev).select("i"))
+    left = np.ones(size, bool)
+    for _ in range(max_rounds):
+
+        def counted(batches: Iterator[pa.RecordBatch], left: np.ndarray = left) -> np.ndarray:
+            total = np.zeros(size)
+            for batch in batches:
+                lists = batch.column("i")
+                i, n = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
+                own = np.repeat(np.arange(len(n)), n)
+                stays = np.bincount(own, weights=left[i], minlength=len(n)) >= min_ev
+                total += np.bincount(i[left[i] & stays[own]], minlength=size)
+            return total
+
+        good = left & (summed(packed, size, counted) >= min_sta) if size else left
+        if (good == left).all():
+            break
+        left = good
+    else:
+        raise RuntimeError("pruning did not settle")
+    kinds = T.StructType([T.StructField(station, obs.schema[station].dataType)])
+    alive = small(obs.sparkSession.createDataFrame([(x,) for x, there in zip(stations, left) if there], kinds), MOST_STATIONS)
+    own = rows.join(alive, station, "left_semi")
+    good = own.groupBy(event).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_ev).select(event)
+    return own.join(good, event, "left_semi").select(*obs.columns)
+
+
+def _prune_rows(obs: DataFrame, min_sta: int, min_ev: int, station: str, event: str, max_rounds: int) -> DataFrame:
+    """``kcore_prune`` for more stations than a task is sent: rows move in each round."""
     own, n = obs, obs.count()
     for _ in range(max_rounds):
         good = own.groupBy(station).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_sta).select(station)
