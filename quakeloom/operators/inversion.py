@@ -20,11 +20,14 @@ from pyspark.sql import types as T
 
 from ..functions.lineage import cut
 from .match import small
+from .vectors import summed
 
 #: Observations of an event above which its rows are dealt out.
 HEAVY = 50_000
 #: Unknowns that are sent to every task: 40 MB.
 MOST_TERMS = 5_000_000
+#: Observations of a partition: each partition makes a vector of all unknowns in each step, so there are few.
+PART = 4_000_000
 
 
 @dataclass
@@ -54,7 +57,7 @@ class _Unknowns:
 
 
 def _system(obs: DataFrame, fix_n: float | None, damp: float) -> tuple[DataFrame, _Unknowns]:
-    """Events packed as rows of arrays, and the unknowns."""
+    """Events packed by the thousand into arrays of bytes, and the unknowns."""
     r = F.greatest(F.col("dist_hypo_km"), F.lit(0.001))
     y = F.col("log10A") + (F.lit(fix_n) * F.log10(r / 100) if fix_n is not None else F.lit(0.0))
     rows = obs.select("event_id", "station", "phase", "dist_hypo_km", y.alias("y"), r.alias("r")).where("event_id is not null and station is not null and phase is not null and y is not null and dist_hypo_km is not null").drop("dist_hypo_km")
@@ -75,36 +78,48 @@ def _system(obs: DataFrame, fix_n: float | None, damp: float) -> tuple[DataFrame
         known = spark.createDataFrame([(e, h, n) for h, (e, n) in enumerate(heavy)], T.StructType(kinds))
         salt = F.pmod(F.xxhash64("station", "phase", "y", "r"), F.ceil(F.col("_n") / F.lit(HEAVY)))
         rows = rows.join(F.broadcast(known), "event_id", "left").withColumn("h", F.coalesce("_h", F.lit(-1))).withColumn("salt", F.coalesce(salt, F.lit(0)))
-    packed = rows.groupBy("event_id", "h", "salt").agg(F.collect_list(F.struct("i", "y", "r")).alias("o")).drop("salt")
+    parts = max(spark.sparkContext.defaultParallelism, -(-rows.count() // PART))
+    lists = rows.repartition(parts, "event_id", "salt").groupBy("event_id", "h", "salt").agg(F.collect_list(F.struct("i", "y", "r")).alias("o")).drop("salt")
+    arrays = [T.StructField(c, T.BinaryType()) for c in ARRAYS]
+    packed = lists.mapInArrow(_pack, T.StructType([T.StructField("event_id", T.ArrayType(rows.schema["event_id"].dataType)), *arrays]))
     at = {p: k for k, p in enumerate(phases)}
     return cut(packed), _Unknowns(names, phases, [e for e, _ in heavy], np.array([at[p] for _, p in names], dtype=np.int64), fix_n is None, damp * damp)
 
 
-def _observations(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """(term, y, r, row of the batch) of each observation; observations of each row; the row's heavy event or -1."""
-    lists = batch.column(batch.schema.get_field_index("o"))
-    flat = lists.flatten()
-    i, y, r = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-    n = np.diff(lists.offsets.to_numpy())
-    return i.astype(np.int64), y, r, np.repeat(np.arange(len(n)), n), n, batch.column(batch.schema.get_field_index("h")).to_numpy(zero_copy_only=False)
+#: Columns of packed events: observations of each event and its heavy event or -1; term, y and r of each observation.
+ARRAYS = {"n": np.int32, "h": np.int32, "i": np.int32, "y": np.float64, "r": np.float64}
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each batch of events, as the same observations are read in every step."""
+    for batch in batches:
+        lists, ids = batch.column("o"), batch.column("event_id")
+        i, y, r = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(3))
+        values = (np.diff(lists.offsets.to_numpy()), batch.column("h").to_numpy(zero_copy_only=False), i, y, r)
+        rows = [pa.array([v.astype(t).tobytes()], pa.binary()) for v, t in zip(values, ARRAYS.values(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *rows], names=["event_id", *ARRAYS])
+
+
+def _observations(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each row of packed events (term, y, r, event in the row) of each observation; observations of each event; the heavy event or -1."""
+    for at in range(batch.num_rows):
+        n, h, i, y, r = (np.frombuffer(batch.column(c)[at].as_buffer(), t) for c, t in ARRAYS.items())
+        yield i.astype(np.int64), y, r, np.repeat(np.arange(len(n)), n), n, h
 
 
 def _summed(packed: DataFrame, size: int, make: Callable) -> np.ndarray:
-    """The sum over all observations of (unknown, value) pairs; ``make`` gives them for a batch. Each task adds its own first."""
+    """The sum over all observations of (unknown, value) pairs; ``make`` gives them for a row of packed events."""
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros(size)
         for batch in batches:
-            for j, v in make(*_observations(batch)):
-                there = j >= 0
-                total += np.bincount(j[there], weights=v[there], minlength=size)
-        j = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(j, pa.int32()), pa.array(total[j], pa.float64())], names=["j", "v"])
+            for observations in _observations(batch):
+                for j, v in make(*observations):
+                    there = j >= 0
+                    total += np.bincount(j[there], weights=v[there], minlength=size)
+        return total
 
-    out = np.zeros(size)
-    for j, v in packed.mapInArrow(partial, "j int, v double").groupBy("j").agg(F.sum("v")).collect():
-        out[j] = v
-    return out
+    return summed(packed.drop("event_id"), size, partial)
 
 
 def _product(packed: DataFrame, system: _Unknowns, c: np.ndarray | None) -> np.ndarray:
@@ -186,10 +201,10 @@ def invert_magnitudes(obs: DataFrame, damp: float = 1e-3, gauge_w: float = 1000.
 
     def magnitudes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            i, y, r, row, k, h = _observations(batch)
-            t = y - sum(np.where(j >= 0, c[j], 0.0) * a for j, a in system.columns(i, r, h[row]))
-            m = np.bincount(row, weights=t, minlength=len(k)) / (k + system.d2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m)], names=["event_id", "M_rel"]).filter(pa.array(h < 0))
+            for ids, (i, y, r, row, k, h) in zip(batch.column("event_id"), _observations(batch), strict=True):
+                t = y - sum(np.where(j >= 0, c[j], 0.0) * a for j, a in system.columns(i, r, h[row]))
+                m = np.bincount(row, weights=t, minlength=len(k)) / (k + system.d2)
+                yield pa.RecordBatch.from_arrays([ids.values, pa.array(m)], names=["event_id", "M_rel"]).filter(pa.array(h < 0))
 
     schema = T.StructType([kind, T.StructField("M_rel", T.DoubleType())])
     mags = packed.mapInArrow(magnitudes, schema)

@@ -80,3 +80,16 @@ def test_second_pass_leaves_out_outliers(spark):
 def test_no_observations(spark):
     mags, terms, coeffs = magnitude.invert_magnitudes(spark.createDataFrame([], SCHEMA))
     assert mags.count() == 0 and terms.count() == 0 and coeffs == {}
+
+
+def test_a_step_moves_blocks_not_numbers(spark, monkeypatch):
+    from quakeloom.operators import inversion, vectors
+
+    rows = [(e, f"S{s:03d}", p, 10.0 + (e * 7 + s) % 50, 0.01 * ((e * s) % 97) - 1) for e in range(60) for s in range(e % 7, 200, 7) for p in "PS"]
+    obs = spark.createDataFrame(rows, "event_id long, station string, phase string, dist_hypo_km double, log10A double")
+    want = {r["event_id"]: r["M_rel"] for r in inversion.invert_magnitudes(obs)[0].collect()}
+    monkeypatch.setattr(vectors, "BLOCK", 64)
+    got = {r["event_id"]: r["M_rel"] for r in inversion.invert_magnitudes(obs)[0].collect()}
+    assert want.keys() == got.keys() and all(abs(want[e] - got[e]) < 1e-7 for e in want)
+    packed, system = inversion._system(obs, None, 1e-3)
+    assert packed.count() <= packed.rdd.getNumPartitions() and system.size == 404
