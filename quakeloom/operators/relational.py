@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,8 @@ from .match import candidates, nearest_k, small
 from .order_stats import greatest_before
 
 ALGORITHM = "genie"
+#: Arrivals that one task joins and adds up by event.
+PER_TASK = 1_000_000
 
 
 def normalize_reloc(catalog: DataFrame, picks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -74,6 +77,18 @@ def event_geometry(assoc: DataFrame, origin: DataFrame, gap_single: str = "zero"
     return a, origin.join(per, "orid", "left")
 
 
+def arrival_summary(arrivals: DataFrame, origins: DataFrame) -> DataFrame:
+    """Of each ``sta, iphase``: ``n`` arrivals, ``events`` (distinct orid), ``mean_depth`` of their origins and the sum of ``amp``.
+
+    Arrivals and origins are dealt out by event, at most about PER_TASK arrivals to a task, and added up there before stations meet.
+    """
+    parts = max(int(arrivals.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(arrivals.count() / PER_TASK))
+    rows = arrivals.repartition(parts, "orid").join(origins.select("orid", "depth").repartition(parts, "orid"), "orid", "left")
+    own = rows.groupBy("orid", "sta", "iphase").agg(F.count(F.lit(1)).alias("n"), F.sum("depth").alias("d"), F.count("depth").alias("nd"), F.sum("amp").alias("amp"))
+    mean = F.when(F.sum("nd") > 0, F.sum("d") / F.sum("nd"))
+    return own.groupBy("sta", "iphase").agg(F.sum("n").alias("n"), F.count("orid").alias("events"), mean.alias("mean_depth"), F.sum("amp").alias("amp"))
+
+
 def phase_counts(assoc: DataFrame, key: str = "orid") -> DataFrame:
     return assoc.groupBy(key).agg(F.count_if(F.col("phase") == "P").alias("p_picks"), F.count_if(F.col("phase") == "S").alias("s_picks"), F.count(F.lit(1)).alias("picks"))
 
