@@ -58,3 +58,14 @@ def test_inversions_equal_nested_loops():
         pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if z[j] <= z[i]]
         assert slopes.inversions(z, w) == sum(w[i] * w[j] for i, j in pairs)
         assert slopes.inversions(z, w, g) == sum(w[i] * w[j] for i, j in pairs if g[i] != g[j])
+
+
+def test_places_apart_by_the_last_bits(spark, monkeypatch):
+    """Means of copies differ in their last bits: slopes between them are right only if y - theta x is compared beyond its rounding."""
+    monkeypatch.setattr(slopes, "BLOCK", 40)
+    rng = np.random.default_rng(8)
+    x, y = rng.uniform(4, 5, 60), rng.normal(29, 2, 60)
+    x = np.concatenate([x, np.nextafter(x, 9), x])
+    y = np.concatenate([y, np.nextafter(y, 99), y + 0.25])
+    got = stats.theil_sen(spark.createDataFrame(list(zip(x.tolist(), y.tolist())), "x double, y double"), "x", "y").first()
+    assert [got[c] for c in ("slope", "intercept", "low", "high")] == pytest.approx(plain(x, y), rel=1e-9)
