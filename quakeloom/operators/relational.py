@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.geodesic import inverse
-from ..functions.lineage import cut
+from ..functions.lineage import cut, shared_path
 from .match import candidates, nearest_k, small
 from .order_stats import greatest_before
 
@@ -139,18 +139,15 @@ def coverage_check(expected: DataFrame, done: DataFrame, errors: DataFrame, keys
 def greedy_walk(rows: pd.DataFrame, dt_s: float, dist_km: float) -> np.ndarray:
     """Which rows, in order of time, stay: one stays unless an earlier kept one is within both bounds."""
     t, lat, lon = (rows[c].to_numpy(float) for c in ("time_s", "lat", "lon"))
-    keep, kept = np.zeros(len(rows), bool), []
-    a, o = np.radians(lat), np.radians(lon)
+    keep, a, o = np.ones(len(rows), bool), np.radians(lat), np.radians(lon)
+    c, reach = np.cos(a), t + dt_s
+    # Where the times within dt_s end, or a rounding error later: a kept row drops all it reaches at once.
+    ends = np.searchsorted(t, reach + 1e-15 * (np.abs(reach) + abs(dt_s)), "right")
     for i in range(len(rows)):
-        while kept and t[i] - t[kept[0]] > dt_s:
-            kept.pop(0)
-        k = np.array(kept, int)
-        if len(k):
-            h = np.sin((a[i] - a[k]) / 2) ** 2 + np.cos(a[i]) * np.cos(a[k]) * np.sin((o[i] - o[k]) / 2) ** 2
-            if (2 * 6371.0 * np.arcsin(np.sqrt(np.minimum(1, h))) <= dist_km).any():
-                continue
-        keep[i] = True
-        kept.append(i)
+        if keep[i] and ends[i] > i + 1:
+            k = slice(i + 1, ends[i])
+            h = np.sin((a[k] - a[i]) / 2) ** 2 + c[k] * c[i] * np.sin((o[k] - o[i]) / 2) ** 2
+            keep[k] &= (t[k] - t[i] > dt_s) | ~(2 * 6371.0 * np.arcsin(np.sqrt(np.minimum(1, h))) <= dist_km)
     return keep
 
 
@@ -194,7 +191,7 @@ def dedupe_events(events: DataFrame, dt_s: float = 10, dist_km: float = 25, max_
     return events.join(kept, "id", "left_semi")
 
 
-#: Events of a slice of time that is walked in one call, and the most times ``dt_s`` that it lasts.
+#: Events of a slice of time that is walked in one call, and the times ``dt_s`` that it lasts where there are cores for shorter ones.
 SLICE_EVENTS, SLICE_LENGTH = 200_000, 64
 
 
@@ -203,47 +200,61 @@ def _slices(events: DataFrame, dt_s: float, dist_km: float) -> DataFrame:
 
     A slice's walk depends on what is kept in the last ``dt_s`` of the slice before. All slices are walked as if that were none, then those again
     whose beginning is not the one they were walked with, until there is none. The first slice is right at once and each one when its
-    beginning is; a walk soon forgets how it began, so few rounds are needed.
+    beginning is. Sparse events soon forget how a walk began; dense ones may never, and then each round settles a slice. So slices are as
+    long as a walk can be, a round reads those it walks alone, and only slice numbers with a digest of their ends come to the driver.
     """
+    spark = events.sparkSession
     events = cut(events)
-    most = events.groupBy(F.floor(F.col("time_s") / dt_s)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    windows = events.groupBy(F.floor(F.col("time_s") / dt_s)).agg(F.count(F.lit(1)).alias("n"))
+    most, total, lasting = (x or 0 for x in windows.agg(F.max("n"), F.sum("n"), F.count(F.lit(1))).first())
     if most > SLICE_EVENTS or dt_s <= 0:
         return _rounds(events, dt_s, dist_km)
-    length = dt_s * max(1, min(SLICE_LENGTH, SLICE_EVENTS // max(1, most)))
-    sliced = cut(events.select(F.floor(F.col("time_s") / length).alias("slice"), "id", "time_s", "lat", "lon"))
-    kind = ", ".join(f"{c} {t}" for c, t in sliced.dtypes)
-
-    def walk(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty:
-            return rows
-        both = [x.sort_values(["time_s", "lat", "lon", "id"]) for x in (before, rows)]
+    cores = spark.sparkContext.defaultParallelism
+    slices = max(1, math.ceil(total / SLICE_EVENTS), min(4 * cores, math.ceil(lasting / SLICE_LENGTH)))
+    slim = events.select("id", "time_s", "lat", "lon")
+    kind = ", ".join(f"{c} {t}" for c, t in slim.dtypes)
+    rows, found = shared_path(spark, "slices"), shared_path(spark, "kept")
+    ranges = slim.withColumn("w", F.floor(F.col("time_s") / dt_s)).repartitionByRange(slices, "w").drop("w")
+    ranges.withColumn("slice", F.spark_partition_id()).write.partitionBy("slice").parquet(rows)
+
+    def read(path: str, folders: list[str], schema: str) -> DataFrame:
+        return spark.read.schema(schema).option("basePath", path).parquet(*folders)
+
+    def walked(slices: list[int]) -> DataFrame:
+        return read(found, [f"{found}/turn={last[s]}/slice={s}" for s in slices], f"{kind}, own boolean, tail boolean, turn int, slice int").drop("turn")
+
+    def walk(own: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        if own.empty:
+            return own.assign(own=False, tail=False)
+        both = [x.sort_values(["time_s", "lat", "lon", "id"]) for x in (before, own)]
         # All that was kept before is kept again: nothing in it is near another.
-        order = pd.concat([both[0].assign(slice=rows["slice"].iloc[0]), both[1]], ignore_index=True)
-        keep = greedy_walk(order, dt_s, dist_km)
-        keep[: len(before)] = False
+        order = pd.concat([x for x in both if len(x)], ignore_index=True).assign(slice=own["slice"].iloc[0])
+        keep, late = greedy_walk(order, dt_s, dist_km), order["time_s"] >= order["time_s"].iloc[-1] - dt_s * 1.001
+        order = order.assign(own=keep & (order.index >= len(before)), tail=keep & late)
+        keep[-1] = True  # a row at least, so that there is a folder
         return order.loc[keep]
 
-    def walked(rows: DataFrame, begins: DataFrame) -> DataFrame:
-        return cut(rows.groupBy("slice").cogroup(begins.groupBy("slice")).applyInPandas(walk, kind))
-
-    def beginnings(kept: DataFrame) -> DataFrame:
-        after = (F.col("slice") + 1) * length
-        return kept.where(F.col("time_s") >= after - dt_s * 1.001).withColumn("slice", F.col("slice") + 1)
-
-    def marks(begins: DataFrame) -> DataFrame:
-        return begins.groupBy("slice").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-
-    none = sliced.limit(0)
-    kept, used = walked(sliced, none), marks(none)
-    while True:
-        begins = cut(beginnings(kept).join(sliced.select("slice").distinct(), "slice", "left_semi"))
-        now = cut(marks(begins))
-        old = used.withColumnRenamed("ids", "old")
-        changed = cut(now.join(old, "slice", "full").where(~F.col("ids").eqNullSafe(F.col("old"))).select("slice"))
-        if changed.isEmpty():
-            return kept.select("id")
-        again = walked(sliced.join(changed, "slice", "left_semi"), begins.join(changed, "slice", "left_semi"))
-        kept, used = cut(kept.join(changed, "slice", "left_anti").unionByName(again)), now
+    there = [r[0] for r in read(rows, [rows], f"{kind}, slice int").select("slice").distinct().orderBy("slice").collect()]
+    before = dict(zip(there[1:], there, strict=False))
+    used, ends, last, todo, turn = {}, {}, {}, there, 0
+    while todo:
+        begun = [(before[s], s) for s in todo if ends.get(before.get(s))]
+        begins = slim.limit(0).withColumn("slice", F.lit(0))
+        if begun:
+            after = F.broadcast(spark.createDataFrame(begun, "slice int, next int"))  # a row for each slice at most
+            begins = walked([s for s, _ in begun]).where("tail").join(after, "slice").select(*slim.columns, F.col("next").alias("slice"))
+        own = read(rows, [f"{rows}/slice={s}" for s in todo], f"{kind}, slice int")
+        both = [d.repartition(len(todo), "slice").groupBy("slice") for d in (own, begins)]
+        kept = both[0].cogroup(both[1]).applyInPandas(walk, f"{kind}, slice int, own boolean, tail boolean")
+        kept.withColumn("turn", F.lit(turn)).write.mode("append").partitionBy("turn", "slice").parquet(found)
+        used |= {s: ends.get(before.get(s)) for s in todo}
+        last |= dict.fromkeys(todo, turn)
+        digest = F.sha2(F.to_json(F.sort_array(F.collect_list("id"))), 256)
+        ends |= dict.fromkeys(todo) | {r[0]: r[1] for r in walked(todo).where("tail").groupBy("slice").agg(digest).collect()}
+        changed = [s for s in there[1:] if ends[before[s]] != used[s]]
+        turn += 1
+        todo = changed if turn < 2 else changed[:cores]
+    return walked(there).where("own").select("id")
 
 
 def _rounds(events: DataFrame, dt_s: float, dist_km: float) -> DataFrame:
